@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.session import ship_package
+
 QUERY_SCORE_SCHEMA = ("row_id long, batch_id long, target_score double, "
                       "hardest_negative double, rank long, pool_size long")
 
@@ -72,6 +74,7 @@ def batch_query_scores(pairs: DataFrame, id_col: str = "row_id", batch_col: str
     ``pairs`` holds one row per (query, code) pair with a bounded ``batch_id``
     group size (the pool size), so each kernel call sees at most B rows.
     """
+    ship_package(pairs.sparkSession)
     slim = pairs.select(F.col(id_col).cast("long").alias("row_id"),
                         F.col(batch_col).cast("long").alias("batch_id"),
                         F.col(query_col).alias("query_vec"), F.col(code_col).alias("code_vec"))

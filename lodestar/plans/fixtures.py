@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import first_line, pretokens
 from lodestar.operators.rowid import global_row_id
+from lodestar.session import ship_package
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
