@@ -9,14 +9,12 @@ tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import normalize_query
 from lodestar.functions.vector import discount, gain
-from lodestar.operators.rowid import global_row_id
+from lodestar.operators.rowid import rank_within
 
 
 def filter_code_lang(raw: DataFrame, code_lang: str, col: str = "Language") -> DataFrame:
@@ -48,20 +46,6 @@ def relevance_lookup(pairs: DataFrame, annotations: DataFrame, default: float =
                  .withColumn("relevance", F.coalesce(F.col("relevance"), F.lit(float(default)))))
 
 
-def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str],
-                rank_col: str) -> DataFrame:
-    """Dense 1-based rank inside each group without a per-group window.
-
-    A global dense id over ``group_cols + order`` (range partitioned, so a hot
-    group spans many tasks) minus the group's first id.
-    """
-    keyed = global_row_id(df, [*group_cols, *order], "_g")
-    starts = keyed.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
-    return (keyed.join(starts, list(group_cols))
-                 .withColumn(rank_col, (F.col("_g") - F.col("_g0") + 1).cast("bigint"))
-                 .drop("_g", "_g0"))
-
-
 def annotated_predictions(predictions: DataFrame, annotations: DataFrame) -> DataFrame:
     """Predictions of annotated queries, left-joined with their annotations."""
     queries = annotations.select("query").distinct()
@@ -128,6 +112,19 @@ def ndcg(predictions: DataFrame, annotations: DataFrame, variant: str = "within"
                          F.count(F.lit(1)).alias("n_queries"))
 
 
+def ndcg_both(predictions: DataFrame, annotations: DataFrame) -> DataFrame:
+    """A7, both variants in one pass: ``(ndcg_within, ndcg_all, n_queries)``."""
+    ranked = dcg_rank(predictions, annotations)
+    dcgs = ranked.groupBy("query").agg(
+        F.sum(gain("relevance") * discount("rank_within")).alias("dcg_within"),
+        F.sum(gain("relevance") * discount("rank_all")).alias("dcg_all"))
+    per_query = idcg(annotations).where(F.col("idcg") > 0).join(dcgs, "query", "left")
+    return per_query.agg(
+        F.avg(F.coalesce(F.col("dcg_within"), F.lit(0.0)) / F.col("idcg")).alias("ndcg_within"),
+        F.avg(F.coalesce(F.col("dcg_all"), F.lit(0.0)) / F.col("idcg")).alias("ndcg_all"),
+        F.count(F.lit(1)).alias("n_queries"))
+
+
 def merge_batch_predictions(batched: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """Per query keep the predictions of the latest batch (later batches win)."""
     latest = batched.groupBy("query").agg(F.max(batch_col).alias(batch_col))

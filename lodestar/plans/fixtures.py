@@ -116,3 +116,19 @@ def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (base.select("Language", "Query", "GitHubUrl", F.col("g").cast("double").alias("Relevance"))
                 .unionByName(base.select("Language", "Query", "GitHubUrl",
                                          F.greatest(F.col("g") - 1, F.lit(0)).cast("double").alias("Relevance"))))
+
+
+def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as validation histories: run = user, epoch = 1-based order
+    by (ts, event_id) inside the user, ``valid_loss = value / 100``."""
+    from lodestar.operators.rowid import rank_within
+    ev = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    ranked = rank_within(ev, ["user_id"], ["ts", "event_id"], "epoch")
+    return ranked.select(F.col("user_id").alias("run_id"), "epoch",
+                         (F.col("value") / F.lit(100.0)).alias("valid_loss"))
+
+
+def text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2 over F1: every query and code text as one ``text`` column."""
+    from lodestar.operators.corpus import text_stream as stream
+    return stream(text_pairs(spark, sf_dir), ("code", "query"))

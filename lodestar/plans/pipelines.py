@@ -1,0 +1,102 @@
+"""End-to-end pipelines (Q1-Q5), each a chain of the library's DataFrame operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar import config
+from lodestar.functions.text import strip_newlines
+from lodestar.operators import bpe, corpus, encoder, langid, relevance, rowid, scoring, search
+from lodestar.sources import files
+
+
+def prepare_corpus(spark: SparkSession, root: str, code_lang: str, langs: Sequence[str] | None = None,
+                   langid_model: DataFrame | None = None, predicate: Column | None = None,
+                   threshold: float = config.LANGID_THRESHOLD) -> DataFrame:
+    """Q1: S2 -> P4 -> P1 -> G1.
+
+    Reads every split directory in one scan, optionally keeps rows whose
+    docstring (newlines as spaces) is identified as one of ``langs``, projects
+    to ``url, identifier, code, query`` and numbers rows densely in
+    (split order, url) order.
+    """
+    raw = files.scan_splits(spark, root, code_lang)
+    if predicate is not None:
+        raw = raw.where(predicate)
+    if langs:
+        if langid_model is None:
+            raise ValueError("a language filter needs a fitted language model")
+        keyed = raw.withColumn("_doc", strip_newlines("docstring")).withColumn("_k", F.monotonically_increasing_id())
+        keyed = keyed.checkpoint(eager=True)          # pins the row key used by the join below
+        pred = langid.langid_predict(keyed, langid_model, "_doc", "_k")
+        raw = langid.filter_nl(pred, langs, threshold).drop("_doc", "_k", "lang_pred", "lang_prob")
+    projected = corpus.corpus_projection(raw)
+    return rowid.global_row_id(projected, ["split_order", "url"], "row_id")
+
+
+def prepare_training(pairs: DataFrame, model: bpe.BpeModel | None = None,
+                     batch_size: int = config.BATCH_SIZE, epoch: int = 0) -> tuple[DataFrame, bpe.BpeModel]:
+    """Q2: tokenizer (trained on code and query text when not given) -> B5 ->
+    T2 split -> W3 batches (train shuffled per epoch, valid in order, test in
+    pools of 1 + distractors)."""
+    if model is None:
+        model = bpe.bpe_train(bpe.word_counts(corpus.text_stream(pairs)))
+    tok = bpe.tokenize_fields(pairs, model)
+    split = rowid.split_80_10_10(tok)
+    shuffled = rowid.shuffle_rows(split, epoch)
+    pos = F.when(F.col("split") == "train", F.col("shuffle_pos")).otherwise(F.col("split_pos"))
+    size = F.when(F.col("split") == "test", F.lit(config.MRR_POOL)).otherwise(F.lit(batch_size))
+    batched = shuffled.withColumn("batch_id", F.floor(pos / size).cast("bigint"))
+    return batched, model
+
+
+def _encoded_pairs(batched: DataFrame, weights: DataFrame, shared: bool) -> DataFrame:
+    enc = encoder.encode_pair(batched.select("row_id", "code_ids", "query_ids"), weights, shared)
+    return enc.join(batched.select("row_id", "split", "batch_id"), "row_id")
+
+
+def test_mrr(batched: DataFrame, weights: DataFrame, shared: bool = True) -> DataFrame:
+    """Q3: test split -> encode -> in-pool scores (pools of 1000) -> MRR."""
+    enc = _encoded_pairs(batched.where(F.col("split") == "test"), weights, shared)
+    scores = scoring.batch_query_scores(enc)
+    return scoring.mrr(scores).withColumn("pool_size", F.lit(config.MRR_POOL).cast("bigint"))
+
+
+def validate(batched: DataFrame, weights: DataFrame, shared: bool = True) -> DataFrame:
+    """Q5: valid split -> encode -> per-batch loss and MRR -> epoch means."""
+    enc = _encoded_pairs(batched.where(F.col("split") == "valid"), weights, shared)
+    scores = scoring.batch_query_scores(enc)
+    # the epoch mean of batch losses weighted by batch size is the mean per-query loss
+    return scores.agg(F.avg(F.lit(1.0) - F.col("target_score") + F.col("hardest_negative")).alias("valid_loss"),
+                      F.avg(F.lit(1.0) / F.col("rank")).alias("valid_mrr"),
+                      F.count(F.lit(1)).alias("n_queries"))
+
+
+def eval_ndcg(corpus_df: DataFrame, queries: DataFrame, annotations: DataFrame, model: bpe.BpeModel,
+              weights: DataFrame, index_params=None, n_results: int = config.N_RESULTS,
+              tower: str = "shared") -> DataFrame:
+    """Q4: corpus code -> tokens -> vectors -> index; queries -> tokens -> vectors
+    -> top-n -> urls; NDCG (within and all) against the annotations.
+
+    ``corpus_df``: ``(row_id, url, code)``; ``queries``: ``(query_id, query)``;
+    ``annotations``: ``(query, url, relevance)`` with normalised queries.
+    """
+    from lodestar.operators.lsh import LshIndex
+    code_tok = bpe.bpe_encode(corpus_df, "code", model, config.CODE_LENGTH, "ids")
+    code_vec = encoder.nbow_encode(code_tok, "ids", weights, tower, "row_id", "vec")
+    q_tok = bpe.bpe_encode(queries, "query", model, config.QUERY_LENGTH, "ids")
+    q_vec = encoder.nbow_encode(q_tok.withColumnRenamed("query_id", "row_id"), "ids", weights, tower,
+                                "row_id", "vec").withColumnRenamed("row_id", "query_id")
+    vectors = code_vec.withColumnRenamed("row_id", "code_id")
+    if index_params is not None:
+        hits = LshIndex.build(vectors, index_params).search(q_vec, n_results)
+    else:
+        hits = search.knn_exact(q_vec, vectors, n_results)
+    lookup = corpus_df.select(F.col("row_id").alias("code_id"), "url")
+    preds = (search.resolve_urls(hits, lookup)
+             .join(queries.select("query_id", F.lower(F.col("query")).alias("query")), "query_id")
+             .select("query", "url", "position"))
+    return relevance.ndcg_both(preds, annotations)

@@ -123,9 +123,7 @@ def q_ideal_rank(spark, sf_dir):
 def q_ndcg(spark, sf_dir):
     preds = _predictions(spark, sf_dir).select("query", "url", "position")
     ann = _annotations(spark, sf_dir)
-    within = rel.ndcg(preds, ann, "within")
-    all_ = rel.ndcg(preds, ann, "all").select("ndcg_all")
-    return rounded(within.crossJoin(all_).select("ndcg_within", "ndcg_all", "n_queries"))
+    return rounded(rel.ndcg_both(preds, ann))
 
 
 def q_merge_batch_predictions(spark, sf_dir):
