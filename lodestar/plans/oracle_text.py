@@ -263,3 +263,8 @@ FROM per""",
 from lodestar.plans.oracle import ORACLE as _BASE  # noqa: E402
 
 ORACLE_TEXT["read_annotations_csv"] = _BASE["mean_relevance"]
+
+ORACLE_TEXT["passage_annotations"] = """SELECT lower(regexp_replace(regexp_replace(b.text, '^\\s+', ''), '\\s+$', '')) AS query,
+       CAST(d.doc_id AS VARCHAR) AS url, round(avg(3.0), 6) AS relevance
+FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
+GROUP BY 1, 2"""

@@ -312,3 +312,70 @@ QUERIES_TEXT = {
     "sweep_trials": q_sweep_trials,
     "prepare_corpus": q_prepare_corpus,
 }
+
+
+# ------------------------------------------------------- end to end (Q2-Q5) ----
+def _training(spark, sf_dir):
+    from lodestar.plans.pipelines import prepare_training
+    batched, model = prepare_training(fx.text_pairs(spark, sf_dir))
+    return batched, model
+
+
+def q_prepare_training(spark, sf_dir):
+    batched, _ = _training(spark, sf_dir)
+    return batched.select("row_id", "split", "batch_id", F.array_join("code_ids", " ").alias("code_ids"),
+                          F.array_join("query_ids", " ").alias("query_ids"))
+
+
+def _tower_weights(spark):
+    return encoder.md5_weights(spark, "shared", config.VOCAB_SIZE, config.EMBEDDING_DIM, config.ENCODING_DIM)
+
+
+def q_test_mrr(spark, sf_dir):
+    from lodestar.plans.pipelines import test_mrr
+    batched, _ = _training(spark, sf_dir)
+    return rounded(test_mrr(batched.checkpoint(eager=True), _tower_weights(spark)))
+
+
+def q_validate(spark, sf_dir):
+    from lodestar.plans.pipelines import validate
+    batched, _ = _training(spark, sf_dir)
+    return rounded(validate(batched.checkpoint(eager=True), _tower_weights(spark)))
+
+
+def _containment_annotations(spark, sf_dir):
+    from lodestar.functions.text import normalize_query
+    from lodestar.operators.containment import passages_in_documents
+    docs = fx.load(spark, sf_dir, "documents")
+    bench = fx.load(spark, sf_dir, "benchmark")
+    hits = passages_in_documents(docs, bench)
+    return (hits.join(bench, "item_id")
+                .select(normalize_query("text").alias("query"), F.col("doc_id").cast("string").alias("url"),
+                        F.lit(3.0).alias("relevance"))
+                .groupBy("query", "url").agg(F.avg("relevance").alias("relevance")))
+
+
+def q_passage_annotations(spark, sf_dir):
+    return rounded(_containment_annotations(spark, sf_dir))
+
+
+def q_eval_ndcg(spark, sf_dir):
+    """Q4: documents indexed by the NBOW encoder; benchmark passages as queries."""
+    from lodestar.functions.text import normalize_query
+    from lodestar.plans.pipelines import eval_ndcg
+    _, model = _training(spark, sf_dir)
+    docs = fx.load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("code"))
+    queries = fx.load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), normalize_query("text").alias("query"))
+    ann = _containment_annotations(spark, sf_dir)
+    return rounded(eval_ndcg(docs, queries, ann, model, _tower_weights(spark), index_params=LshParams()))
+
+
+QUERIES_TEXT.update({
+    "prepare_training": q_prepare_training,
+    "test_mrr": q_test_mrr,
+    "validate": q_validate,
+    "passage_annotations": q_passage_annotations,
+    "eval_ndcg": q_eval_ndcg,
+})
