@@ -268,3 +268,8 @@ ORACLE_TEXT["passage_annotations"] = """SELECT lower(regexp_replace(regexp_repla
        CAST(d.doc_id AS VARCHAR) AS url, round(avg(3.0), 6) AS relevance
 FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
 GROUP BY 1, 2"""
+
+ORACLE_TEXT["ingest_stream"] = f"""WITH {F2}, {split_cte('documents', 'doc_id')}
+SELECT f2.url, f2.identifier, array_to_string(f2.code_tokens, ' ') AS code,
+       array_to_string(f2.docstring_tokens, ' ') AS query, sp.split
+FROM f2 JOIN sp ON sp.row_id = f2.row_id"""

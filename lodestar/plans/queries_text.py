@@ -379,3 +379,35 @@ QUERIES_TEXT.update({
     "passage_annotations": q_passage_annotations,
     "eval_ndcg": q_eval_ndcg,
 })
+
+
+def q_ingest_stream(spark, sf_dir):
+    """S1/S2/S8 with Structured Streaming: raw split files -> corpus table, once per file."""
+    from lodestar.streaming.ingest import ingest_splits, read_corpus
+    raw = _raw(spark, sf_dir)
+    split = rowid.split_80_10_10(raw.select("row_id"))
+    tagged = raw.join(split.select("row_id", "split"), "row_id").drop("row_id")
+    root = scratch_path(spark, "raw-stream")
+    files.write_splits(tagged, root, "python")
+    sink, ckpt = scratch_path(spark, "corpus-sink"), scratch_path(spark, "corpus-ckpt")
+    ingest_splits(spark, root, "python", sink, ckpt)
+    return read_corpus(spark, sink).select("url", "identifier", "code", "query", "split")
+
+
+def q_nbow_fit(spark, sf_dir):
+    """E5: two epochs of data-parallel NBOW training; the metric rows it logs."""
+    from lodestar.operators.fit import nbow_fit
+    from lodestar.plans.pipelines import validate
+    batched, _ = _training(spark, sf_dir)
+    batched = batched.checkpoint(eager=True)
+
+    def validate_fn(weights):
+        r = validate(batched, weights).first()
+        return r["valid_loss"], r["valid_mrr"]
+
+    _, metrics = nbow_fit(batched, epochs=2, batches_per_step=8, validate_fn=validate_fn)
+    df = spark.createDataFrame(metrics, "run_id string, split string, epoch int, metric string, value double")
+    return rounded(df)
+
+
+QUERIES_TEXT.update({"ingest_stream": q_ingest_stream, "nbow_fit": q_nbow_fit})
