@@ -273,3 +273,9 @@ ORACLE_TEXT["ingest_stream"] = f"""WITH {F2}, {split_cte('documents', 'doc_id')}
 SELECT f2.url, f2.identifier, array_to_string(f2.code_tokens, ' ') AS code,
        array_to_string(f2.docstring_tokens, ' ') AS query, sp.split
 FROM f2 JOIN sp ON sp.row_id = f2.row_id"""
+
+ORACLE_TEXT["path_layout"] = """WITH per AS (SELECT source, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY source),
+k AS (SELECT source, coalesce(nullif(array_to_string(langs, '_'), ''), 'all') AS nl_dir FROM per)
+SELECT source, nl_dir, 'data/' || source || '/' || nl_dir AS model_dir,
+       upper(substring(source, 1, 1)) || lower(substring(source, 2)) AS source_cap FROM k"""
+ORACLE_TEXT["run_names"] = """SELECT user_id, strftime(min(ts), '%y%m%d_%H%M') AS run_id FROM events GROUP BY user_id"""

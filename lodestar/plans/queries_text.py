@@ -411,3 +411,45 @@ def q_nbow_fit(spark, sf_dir):
 
 
 QUERIES_TEXT.update({"ingest_stream": q_ingest_stream, "nbow_fit": q_nbow_fit})
+
+
+def q_path_layout(spark, sf_dir):
+    """Per source, its language set as the nl directory and the model path."""
+    from lodestar.functions.text import capitalize, format_path, nl_key
+    docs = fx.load(spark, sf_dir, "documents")
+    per = docs.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))   # <= #languages each
+    return per.select("source", nl_key("langs").alias("nl_dir"),
+                      format_path("data/%s/%s", "source", nl_key("langs")).alias("model_dir"),
+                      capitalize("source").alias("source_cap"))
+
+
+def q_run_names(spark, sf_dir):
+    """Run ids ``yyMMdd_HHmm`` from each run's first event time."""
+    from lodestar.functions.text import run_id
+    ev = fx.load(spark, sf_dir, "events")
+    return ev.groupBy("user_id").agg(run_id(F.min("ts")).alias("run_id"))
+
+
+def q_search(spark, sf_dir):
+    """K4/K5: benchmark passages searched against the documents through a bound searcher."""
+    from lodestar.functions.text import normalize_query
+    from lodestar.operators.search import Searcher
+    _, model = _training(spark, sf_dir)
+    w = _tower_weights(spark)
+    docs = fx.load(spark, sf_dir, "documents")
+    code = bpe.bpe_encode(docs.select(F.col("doc_id").alias("row_id"), F.col("text").alias("code")),
+                          "code", model, config.CODE_LENGTH, "ids")
+    vectors = encoder.nbow_encode(code, "ids", w).withColumnRenamed("row_id", "code_id")
+    lookup = docs.select(F.col("doc_id").alias("code_id"), F.col("doc_id").cast("string").alias("url"))
+
+    def encode_queries(qdf):
+        tok = bpe.bpe_encode(qdf.withColumnRenamed("query_id", "row_id"), "query", model, config.QUERY_LENGTH, "ids")
+        return encoder.nbow_encode(tok, "ids", w).withColumnRenamed("row_id", "query_id")
+
+    searcher = Searcher(vectors, lookup, encode_queries)
+    queries = fx.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                         normalize_query("text").alias("query"))
+    return searcher.search(queries, config.N_RESULTS).select("query_id", "url", "position")
+
+
+QUERIES_TEXT.update({"path_layout": q_path_layout, "run_names": q_run_names, "search": q_search})
