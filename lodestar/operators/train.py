@@ -29,7 +29,7 @@ def best_checkpoints(history: DataFrame, k: int = 3, run_col: str = "run_id",
                    .withColumn("ckpt_rank", F.col("ckpt_rank").cast("bigint")))
 
 
-def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELTA,
+def early_stop_fold(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELTA,
                patience: int = config.EARLY_STOP_PATIENCE, run_col: str = "run_id",
                value_col: str = "valid_loss", epoch_col: str = "epoch") -> DataFrame:
     """Per run, the epoch at which training stops, and the best epoch/value.
@@ -38,8 +38,8 @@ def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELT
     ``wait += 1``; training stops when ``wait >= patience`` or the value is
     not finite. ``stop_epoch`` is NULL when the run never stops early.
 
-    The fold runs over one run's ordered validation checks (one row per
-    epoch, bounded by the run's epoch budget), JVM-side with ``aggregate``.
+    Reference form: folds one run's ordered checks with ``aggregate`` (the
+    whole run in one group). ``early_stop`` gives the same answer without it.
     """
     init = F.struct(F.lit(math.inf).alias("best"), F.lit(None).cast("long").alias("best_epoch"),
                     F.lit(0).alias("wait"), F.lit(None).cast("long").alias("stop"))
@@ -63,7 +63,8 @@ def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELT
                                           F.count(F.lit(1)).alias("n_checks"))
     return folded.select(run_col, F.col("_s.stop").alias("stop_epoch"),
                          F.col("_s.best_epoch").alias("best_epoch"),
-                         F.col("_s.best").alias("best_value"), "n_checks")
+                         F.when(F.col("_s.best_epoch").isNotNull(), F.col("_s.best")).alias("best_value"),
+                         "n_checks")
 
 
 def sweep_trials(runs: DataFrame, run_col: str = "run_id", seed: int = config.SEED) -> DataFrame:
@@ -108,3 +109,57 @@ def append_metrics(spark, path: str, rows: list[tuple]) -> None:
     """Append scalar metrics to the run metrics table (Parquet)."""
     df = spark.createDataFrame(rows, "run_id string, split string, epoch int, metric string, value double")
     df.write.mode("append").parquet(path)
+
+
+def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELTA,
+               patience: int = config.EARLY_STOP_PATIENCE, run_col: str = "run_id",
+               value_col: str = "valid_loss", epoch_col: str = "epoch") -> DataFrame:
+    """W5 without grouping a run: bounded look-ahead plus pointer jumping.
+
+    Improvement epochs form a chain: from an improvement at ``e`` (value v),
+    the next link is the first ``e' in (e, e + patience]`` with a value below
+    ``v - min_delta``; a non-finite value there stops training at ``e'``, and
+    no link stops it at ``e + patience`` (if the run reaches it). The look-ahead
+    is an equi-join on ``(run, e + j)`` for ``j = 1..patience``; following the
+    chain from a virtual epoch 0 (value +inf) takes ``ceil(log2(n))`` rounds
+    of pointer jumping, each a join on the unique ``(run, epoch)`` key and a
+    checkpoint. Epochs must be 1..n per run.
+    """
+    from lodestar.session import checkpoint_root
+    checkpoint_root(history.sparkSession)
+    h = history.select(F.col(run_col).alias("run"), F.col(epoch_col).cast("long").alias("e"),
+                       F.col(value_col).cast("double").alias("v"))
+    n_run = h.groupBy("run").agg(F.max("e").alias("n"), F.count(F.lit(1)).alias("n_checks"))
+    nodes = h.unionByName(n_run.select("run", F.lit(0).cast("long").alias("e"), F.lit(math.inf).alias("v")))
+    finite = lambda c: ~(F.isnan(c) | (c == F.lit(math.inf)) | (c == F.lit(-math.inf)))
+    ahead = (nodes.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(patience))))
+                  .withColumn("e2", F.col("e") + F.col("j"))
+                  .join(h.select("run", F.col("e").alias("e2"), F.col("v").alias("v2")), ["run", "e2"]))
+    hit = (~finite(F.col("v2"))) | (F.col("v2") < F.col("v") - F.lit(min_delta))
+    first = (ahead.where(hit).groupBy("run", "e")
+                  .agg(F.min("e2").alias("nxt")))       # group = one epoch's look-ahead (<= patience rows)
+    nxt_v = h.select("run", F.col("e").alias("nxt"), F.col("v").alias("nv"))
+    linked = (nodes.join(first, ["run", "e"], "left").join(nxt_v, ["run", "nxt"], "left")
+                   .join(n_run.select("run", "n"), "run"))
+    stop_here = F.when(F.col("nxt").isNotNull() & ~finite(F.col("nv")), F.col("nxt")) \
+                 .when(F.col("nxt").isNull() & (F.col("e") + F.lit(patience) <= F.col("n")), F.col("e") + F.lit(patience))
+    terminal = F.col("nxt").isNull() | ~finite(F.col("nv"))
+    state = linked.select(
+        "run", "e",
+        F.when(terminal, F.lit(None).cast("long")).otherwise(F.col("nxt")).alias("ptr"),
+        F.when(terminal, F.struct(stop_here.alias("stop"),
+                                  F.when(F.col("e") > 0, F.col("e")).alias("best"))).alias("term"))
+    state = state.checkpoint(eager=True)
+    max_n = n_run.agg(F.max("n")).first()[0] or 0
+    for _ in range(max(1, math.ceil(math.log2(max_n + 2)))):
+        look = state.select("run", F.col("e").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("term").alias("term2"))
+        state = (state.join(look, ["run", "ptr"], "left")
+                      .select("run", "e",
+                              F.when(F.col("term").isNull(), F.col("ptr2")).otherwise(F.lit(None).cast("long")).alias("ptr"),
+                              F.coalesce(F.col("term"), F.col("term2")).alias("term"))
+                      .checkpoint(eager=True))
+    root = state.where(F.col("e") == 0).select("run", F.col("term.stop").alias("stop_epoch"),
+                                               F.col("term.best").alias("best_epoch"))
+    best_v = h.select("run", F.col("e").alias("best_epoch"), F.col("v").alias("best_value"))
+    return (root.join(best_v, ["run", "best_epoch"], "left").join(n_run.select("run", "n_checks"), "run")
+                .select(F.col("run").alias(run_col), "stop_epoch", "best_epoch", "best_value", "n_checks"))

@@ -243,7 +243,8 @@ st AS (
 fin AS (SELECT run_id, max(stop) AS stop_epoch, arg_max(best_epoch, epoch) AS best_epoch,
                arg_max(best, epoch) AS best_value FROM st GROUP BY run_id),
 nc AS (SELECT run_id, count(*) AS n_checks FROM ev GROUP BY run_id)
-SELECT fin.run_id, stop_epoch, best_epoch, round(best_value, 6) AS best_value, n_checks
+SELECT fin.run_id, stop_epoch, best_epoch,
+       CASE WHEN best_epoch IS NULL THEN NULL ELSE round(best_value, 6) END AS best_value, n_checks
 FROM fin JOIN nc ON fin.run_id = nc.run_id""",
     "sweep_trials": f"""WITH {HISTORY},
 per AS (SELECT run_id, min(v) AS best_valid_loss FROM ev GROUP BY run_id),

@@ -76,3 +76,20 @@ def test_nbow_matches_numpy(spark):
         h = pooled @ t.fc_w.T + t.fc_b
         h = (h - t.bn_mean) / np.sqrt(t.bn_var + 1e-5) * t.bn_w + t.bn_b
         assert np.allclose(got[i], np.tanh(h))
+
+
+def test_early_stop_distributed_equals_fold(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for run in range(30):
+        v = 1.0
+        for e in range(1, rnd.randint(1, 40) + 1):
+            v = v - rnd.uniform(-0.01, 0.02) if rnd.random() > 0.02 else float("nan")
+            rows.append((run, e, v))
+    hist = spark.createDataFrame(rows, "run_id long, epoch long, valid_loss double")
+    a = sorted(tuple(r) for r in train.early_stop(hist).collect())
+    b = sorted(tuple(r) for r in train.early_stop_fold(hist).collect())
+    assert [x[:3] + (x[4],) for x in a] == [x[:3] + (x[4],) for x in b]
+    for x, y in zip(a, b):
+        assert (x[3] is None and y[3] is None) or x[3] == pytest.approx(y[3])
