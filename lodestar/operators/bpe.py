@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from lodestar import config
 from lodestar.functions.text import pretokens
-from lodestar.session import checkpoint_root, ship_package
+from lodestar.session import checkpoint_root, ship_package, spread
 
 
 # ------------------------------------------------------------- counting ----
@@ -389,7 +389,7 @@ def bpe_encode(df: DataFrame, text_col: str, model: BpeModel, length: int | None
         return pd.Series(out)
 
     ids = encode(pretokens(text_col))
-    return df.withColumn(out_col, pad_truncate(ids, length) if length else ids)
+    return spread(df).withColumn(out_col, pad_truncate(ids, length) if length else ids)
 
 
 def tokenize_fields(df: DataFrame, model: BpeModel, code_len: int = config.CODE_LENGTH,

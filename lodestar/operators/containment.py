@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import ship_package
+from lodestar.session import ship_package, spread
 
 MAX_PASSAGES = 1_000_000
 
@@ -53,4 +53,4 @@ def passages_in_documents(docs: DataFrame, passages: DataFrame, doc_id: str = "d
                     out_p.append(pid)
             yield pd.DataFrame({doc_id: out_d, passage_id: out_p}, dtype="int64")
 
-    return docs.select(doc_id, doc_text).mapInPandas(kernel, f"{doc_id} long, {passage_id} long")
+    return spread(docs.select(doc_id, doc_text)).mapInPandas(kernel, f"{doc_id} long, {passage_id} long")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestar import config
 from lodestar.functions.text import hash_uniform
-from lodestar.session import ship_package
+from lodestar.session import ship_package, spread
 
 PARAM_NAMES = ("embed", "fc_weight", "fc_bias", "bn_mean", "bn_var", "bn_weight", "bn_bias")
 MAX_WEIGHT_VALUES = 50_000_000       # refuse to broadcast a model larger than this
@@ -127,7 +127,7 @@ def _encode_frame(df: DataFrame, ids_col: str, tower: str, weights: DataFrame, i
             out = t.pool(ids) if stage == "pool" else t.encode(ids)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64), out_col: list(out)})
 
-    return df.select(id_col, ids_col).mapInPandas(kernel, f"{id_col} long, {out_col} array<double>")
+    return spread(df.select(id_col, ids_col)).mapInPandas(kernel, f"{id_col} long, {out_col} array<double>")
 
 
 def nbow_encode(df: DataFrame, ids_col: str, weights: DataFrame, tower: str = "shared",
