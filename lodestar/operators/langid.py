@@ -67,6 +67,9 @@ def langid_predict(df: DataFrame, model: DataFrame, text_col: str, id_col: str =
     uniform prior, softmax after subtracting the row maximum. Rows without an
     in-vocabulary trigram get NULL language and probability.
     """
+    from lodestar.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    model = model.checkpoint(eager=True)          # the fitted model is reused by every step below
     totals = model.groupBy("lang").agg(F.sum("n").alias("total"))
     vocab_size = model.select("gram").distinct().count()
     langs = [r["lang"] for r in totals.select("lang").collect()]   # bounded: the language set
