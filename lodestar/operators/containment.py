@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.session import ship_package, spread
 
 MAX_PASSAGES = 1_000_000
+MAX_PASSAGE_CHARS = 64_000_000
 
 
 def passages_in_documents(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
@@ -21,9 +22,9 @@ def passages_in_documents(docs: DataFrame, passages: DataFrame, doc_id: str = "d
                           passage_text: str = "text") -> DataFrame:
     """``(doc_id, passage_id)`` for every passage occurring (exactly) in a document."""
     ship_package(docs.sparkSession)
-    n = passages.count()
-    if n > MAX_PASSAGES:
-        raise ValueError(f"{n} passages exceed the broadcast bound {MAX_PASSAGES}")
+    size = passages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(passage_text)).alias("chars")).first()
+    if size["n"] > MAX_PASSAGES or (size["chars"] or 0) > MAX_PASSAGE_CHARS:
+        raise ValueError(f"{size['n']} passages / {size['chars']} characters exceed the broadcast bound")
     rows = [(int(r[0]), r[1]) for r in passages.select(passage_id, passage_text).collect() if r[1]]
     bc = docs.sparkSession.sparkContext.broadcast(rows)
     holder: dict = {}

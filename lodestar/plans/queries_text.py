@@ -48,7 +48,11 @@ def q_corpus_projection(spark, sf_dir):
 
 
 def q_eval_projection(spark, sf_dir):
-    return corpus.eval_projection(fx.definition_records(spark, sf_dir)).select("url", "identifier", "code", "query")
+    """S6 + P2: the definition set stored as Parquet, read back, projected."""
+    path = scratch_path(spark, "definitions")
+    fx.definition_records(spark, sf_dir).drop("row_id").write.parquet(path)
+    defs = files.definitions_source(spark, path)
+    return corpus.eval_projection(defs).select("url", "identifier", "code", "query")
 
 
 def q_read_annotations_csv(spark, sf_dir):

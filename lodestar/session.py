@@ -99,3 +99,16 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def fit_to_cores(df, per_core: int = 4):
+    """Spread a small input over the cores, or merge a very wide one (no shuffle)
+    so that each task keeps one running state (e.g. a top-k) over many input
+    partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    if n < cores:
+        return df.repartition(cores)
+    if n > per_core * cores:
+        return df.coalesce(per_core * cores)
+    return df
