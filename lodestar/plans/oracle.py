@@ -9,6 +9,31 @@ from __future__ import annotations
 from lodestar import config
 
 
+def positive_zero_rounding(sql: str) -> str:
+    """Rewrite every ``round(...)`` as ``(round(...) + 0.0)``.
+
+    DuckDB keeps the sign of a value that rounds to zero (-0.0) while Spark's
+    decimal rounding gives 0.0; adding 0.0 turns -0.0 into 0.0.
+    """
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = positive_zero_rounding(sql[j + len(key):k - 1])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k
+
+
 def cos(a: str, b: str) -> str:
     return (f"(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * "
             f"sqrt(list_dot_product({b}, {b})), 0))")
