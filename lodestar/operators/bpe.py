@@ -232,31 +232,28 @@ def _train_local(rows, vocab: dict[str, int], id_to_token: list[str], vocab_size
             vocab[token] = new_id
             id_to_token.append(token)
         merges.append((a, b, new_id))
-        touched: set[tuple[int, int]] = set()
-        for wi in list(where.get((a, b), ())):
+        # ``where`` is a superset index: words that no longer hold (a, b) are skipped
+        fresh: set[tuple[int, int]] = set()
+        for wi in where.pop((a, b), ()):
             old = words[wi]
             new = _merge_symbols(old, a, b, new_id)
             if len(new) == len(old):
                 continue
             c = counts[wi]
-            for p, k in _pairs(old).items():
-                pair_counts[p] -= k * c
-                touched.add(p)
-                ws = where.get(p)
-                if ws is not None:
-                    ws.discard(wi)
-            for p, k in _pairs(new).items():
-                pair_counts[p] += k * c
-                touched.add(p)
-                where.setdefault(p, set()).add(wi)
+            for p in zip(old, old[1:]):
+                pair_counts[p] -= c
+            for p in zip(new, new[1:]):
+                pair_counts[p] += c
+                if p[0] == new_id or p[1] == new_id:
+                    fresh.add(p)
+                    where.setdefault(p, set()).add(wi)
             words[wi] = new
-        for p in touched:
+        pair_counts.pop((a, b), None)
+        # only pairs holding the new symbol grew; lowered counts are re-checked when popped
+        for p in fresh:
             c = pair_counts.get(p, 0)
             if c > 0:
                 heapq.heappush(heap, (-c, p[0], p[1]))
-            elif p in pair_counts:
-                del pair_counts[p]
-                where.pop(p, None)
     return merges
 
 
