@@ -87,9 +87,16 @@ def scan_splits(spark: SparkSession, root: str, code_lang: str,
 
 def write_splits(df: DataFrame, root: str, code_lang: str, split_col: str = "split",
                  splits: Sequence[str] = config.SPLIT_NAMES) -> None:
-    """Write a frame carrying a split column as the raw split directory layout."""
-    for s in splits:
-        write_jsonl(df.where(F.col(split_col) == s).drop(split_col), split_dir(root, code_lang, s))
+    """Write a frame carrying a split column as the raw split directory layout.
+
+    The input is persisted for the three filtered writes so it is computed once.
+    """
+    cached = df.persist()
+    try:
+        for s in splits:
+            write_jsonl(cached.where(F.col(split_col) == s).drop(split_col), split_dir(root, code_lang, s))
+    finally:
+        cached.unpersist()
 
 
 def read_annotations_csv(spark: SparkSession, path: str) -> DataFrame:
