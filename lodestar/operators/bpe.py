@@ -293,16 +293,17 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
         return BpeModel(vocab, merges)
     cur = w0.mapInPandas(_initial_symbols(char_ids), "word string, cnt long, syms array<int>")
     cur = cur.checkpoint(eager=True)
-    pc = (cur.mapInPandas(_pairs_of_words, "l int, r int, c long")
-             .groupBy("l", "r").agg(F.sum("c").alias("c"))).checkpoint(eager=True)
+    n_parts = max(1, cur.rdd.getNumPartitions())       # the union below must not grow this
     merges: list[tuple[int, int, int]] = []
     rounds = 0
     while len(vocab) < vocab_size:
-        top = pc.where(F.col("c") > 0).orderBy(F.col("c").desc(), "l", "r").limit(top_m).select(
-            F.lit("t").alias("k"), "l", "r", "c")
-        mi = pc.where(F.col("c") > 0).groupBy("r").agg(F.max("c").alias("c")).select(
+        # one job: pair counts of the current segmentation, then three small summaries
+        pc = (cur.mapInPandas(_pairs_of_words, "l int, r int, c long")
+                 .groupBy("l", "r").agg(F.sum("c").alias("c")))
+        top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_m).select(F.lit("t").alias("k"), "l", "r", "c")
+        mi = pc.groupBy("r").agg(F.max("c").alias("c")).select(
             F.lit("i").alias("k"), F.lit(None).cast("int").alias("l"), "r", "c")
-        mo = pc.where(F.col("c") > 0).groupBy("l").agg(F.max("c").alias("c")).select(
+        mo = pc.groupBy("l").agg(F.max("c").alias("c")).select(
             F.lit("o").alias("k"), "l", F.lit(None).cast("int").alias("r"), "c")
         stats = top.unionByName(mi).unionByName(mo).collect()   # bounded: top_m + 2 * symbols
         top_rows = sorted(((int(s["l"]), int(s["r"]), int(s["c"])) for s in stats if s["k"] == "t"),
@@ -316,13 +317,12 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
         rounds += 1
         if progress is not None:
             progress(rounds, len(merges), len(vocab))
-        out = cur.mapInPandas(_apply_round(accepted), _ROUND_SCHEMA)
-        out = out.checkpoint(eager=True)       # cuts the plan; a lost executor re-reads it
-        nxt = out.where(F.col("kind") == "w").select("word", "cnt", "syms")
-        deltas = out.where(F.col("kind") == "d").select("l", "r", "c")
-        new_pc = pc.unionByName(deltas).groupBy("l", "r").agg(F.sum("c").alias("c")).where(F.col("c") != 0)
-        new_pc = new_pc.checkpoint(eager=True)
-        cur, pc = nxt, new_pc
+        lefts = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in accepted})])
+        holds = F.arrays_overlap(F.col("syms"), lefts)          # JVM-side: only these words can change
+        changed = (cur.where(holds).mapInPandas(_apply_round(accepted), _ROUND_SCHEMA)
+                      .where(F.col("kind") == "w").select("word", "cnt", "syms"))
+        # the word table is the whole round state: one reliable checkpoint per round
+        cur = cur.where(~holds).unionByName(changed).coalesce(n_parts).checkpoint(eager=True)
     return BpeModel(vocab, merges)
 
 
