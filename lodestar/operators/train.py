@@ -122,8 +122,8 @@ def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELT
     no link stops it at ``e + patience`` (if the run reaches it). The look-ahead
     is an equi-join on ``(run, e + j)`` for ``j = 1..patience``; following the
     chain from a virtual epoch 0 (value +inf) takes ``ceil(log2(n))`` rounds
-    of pointer jumping, each a join on the unique ``(run, epoch)`` key and a
-    checkpoint. Epochs must be 1..n per run.
+    of pointer jumping, each a join on the unique ``(run, epoch)`` key, with a
+    checkpoint every second round. Epochs must be 1..n per run.
     """
     from lodestar.session import checkpoint_root
     checkpoint_root(history.sparkSession)
@@ -151,13 +151,15 @@ def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELT
                                   F.when(F.col("e") > 0, F.col("e")).alias("best"))).alias("term"))
     state = state.checkpoint(eager=True)
     max_n = n_run.agg(F.max("n")).first()[0] or 0
-    for _ in range(max(1, math.ceil(math.log2(max_n + 2)))):
+    n_rounds = max(1, math.ceil(math.log2(max_n + 2)))
+    for i in range(n_rounds):
         look = state.select("run", F.col("e").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("term").alias("term2"))
         state = (state.join(look, ["run", "ptr"], "left")
                       .select("run", "e",
                               F.when(F.col("term").isNull(), F.col("ptr2")).otherwise(F.lit(None).cast("long")).alias("ptr"),
-                              F.coalesce(F.col("term"), F.col("term2")).alias("term"))
-                      .checkpoint(eager=True))
+                              F.coalesce(F.col("term"), F.col("term2")).alias("term")))
+        if i % 2 == 1 or i == n_rounds - 1:      # cut the lineage every second round
+            state = state.checkpoint(eager=True)
     root = state.where(F.col("e") == 0).select("run", F.col("term.stop").alias("stop_epoch"),
                                                F.col("term.best").alias("best_epoch"))
     best_v = h.select("run", F.col("e").alias("best_epoch"), F.col("v").alias("best_value"))
