@@ -146,13 +146,30 @@ def encode_pair(df: DataFrame, weights: DataFrame, shared: bool = True, id_col:
                 code_ids: str = "code_ids", query_ids: str = "query_ids") -> DataFrame:
     """Siamese (one ``shared`` tower) or dual (``code`` and ``query`` towers).
 
-    Returns ``(row_id, code_vec, query_vec)``; queries always use the query
-    tower in the dual model.
+    Returns ``(row_id, code_vec, query_vec)`` from one narrow pass (both sides of
+    a row are encoded together, so nothing is joined back); queries always use
+    the query tower in the dual model.
     """
+    ship_package(df.sparkSession)
     code_tower, query_tower = ("shared", "shared") if shared else ("code", "query")
-    c = nbow_encode(df, code_ids, weights, code_tower, id_col, "code_vec")
-    q = nbow_encode(df, query_ids, weights, query_tower, id_col, "query_vec")
-    return c.join(q, id_col)
+    towers = load_towers(weights)
+    for t in {code_tower, query_tower}:
+        if t not in towers:
+            raise KeyError(f"no weights for tower {t!r}")
+    bc = df.sparkSession.sparkContext.broadcast({t: towers[t] for t in {code_tower, query_tower}})
+
+    def kernel(batches):
+        tw = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            c = tw[code_tower].encode(_ids_matrix(pdf[code_ids]))
+            q = tw[query_tower].encode(_ids_matrix(pdf[query_ids]))
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64),
+                                "code_vec": list(c), "query_vec": list(q)})
+
+    return spread(df.select(id_col, code_ids, query_ids)).mapInPandas(
+        kernel, f"{id_col} long, code_vec array<double>, query_vec array<double>")
 
 
 def embed_lookup(df: DataFrame, ids_col: str, weights: DataFrame, tower: str = "shared",
