@@ -1,4 +1,4 @@
-"""End-to-end pipelines (Q1-Q5), each a chain of the library's DataFrame operators."""
+"""End-to-end flows (Q1-Q5), each a chain of the library's DataFrame operators."""
 
 from __future__ import annotations
 

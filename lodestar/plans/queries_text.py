@@ -271,7 +271,7 @@ def q_sweep_trials(spark, sf_dir):
 # ------------------------------------------------------------ pipeline ----
 def q_prepare_corpus(spark, sf_dir):
     """Q1 with no language filter: splits on disk -> projection -> dense row ids."""
-    from lodestar.plans.pipelines import prepare_corpus
+    from lodestar.plans.end_to_end import prepare_corpus
     raw = _raw(spark, sf_dir)
     split = rowid.split_80_10_10(raw.select("row_id"))
     tagged = raw.join(split.select("row_id", "split"), "row_id").drop("row_id")
@@ -320,7 +320,7 @@ QUERIES_TEXT = {
 
 # ------------------------------------------------------- end to end (Q2-Q5) ----
 def _training(spark, sf_dir):
-    from lodestar.plans.pipelines import prepare_training
+    from lodestar.plans.end_to_end import prepare_training
     batched, model = prepare_training(fx.text_pairs(spark, sf_dir))
     return batched, model
 
@@ -336,13 +336,13 @@ def _tower_weights(spark):
 
 
 def q_test_mrr(spark, sf_dir):
-    from lodestar.plans.pipelines import test_mrr
+    from lodestar.plans.end_to_end import test_mrr
     batched, _ = _training(spark, sf_dir)
     return rounded(test_mrr(batched.checkpoint(eager=True), _tower_weights(spark)))
 
 
 def q_validate(spark, sf_dir):
-    from lodestar.plans.pipelines import validate
+    from lodestar.plans.end_to_end import validate
     batched, _ = _training(spark, sf_dir)
     return rounded(validate(batched.checkpoint(eager=True), _tower_weights(spark)))
 
@@ -366,7 +366,7 @@ def q_passage_annotations(spark, sf_dir):
 def q_eval_ndcg(spark, sf_dir):
     """Q4: documents indexed by the NBOW encoder; benchmark passages as queries."""
     from lodestar.functions.text import normalize_query
-    from lodestar.plans.pipelines import eval_ndcg
+    from lodestar.plans.end_to_end import eval_ndcg
     model = _bpe_model(spark, sf_dir)
     docs = fx.load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("code"))
@@ -401,7 +401,7 @@ def q_ingest_stream(spark, sf_dir):
 def q_nbow_fit(spark, sf_dir):
     """E5: two epochs of data-parallel NBOW training; the metric rows it logs."""
     from lodestar.operators.fit import nbow_fit
-    from lodestar.plans.pipelines import validate
+    from lodestar.plans.end_to_end import validate
     batched, _ = _training(spark, sf_dir)
     batched = batched.checkpoint(eager=True)
 

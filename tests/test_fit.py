@@ -62,7 +62,7 @@ def test_embedding_gradient_with_unique_tokens():
 
 def test_loss_falls_over_epochs(spark):
     from lodestar.plans import fixtures as fx
-    from lodestar.plans.pipelines import prepare_training
+    from lodestar.plans.end_to_end import prepare_training
     from tests.conftest import SF01
     batched, _ = prepare_training(fx.text_pairs(spark, SF01))
     batched = batched.checkpoint(eager=True)

@@ -52,3 +52,18 @@ def test_passages_in_documents(spark):
                                "item_id long, text string")
     got = sorted(map(tuple, passages_in_documents(docs, ps).collect()))
     assert got == [(1, 10), (1, 13), (2, 11)]
+
+
+def test_corpus_helpers(spark):
+    from lodestar.operators import corpus
+    df = spark.createDataFrame([(1, "c1", "q1"), (2, "c2", "q2")], "row_id long, code string, query string")
+    assert corpus.project_field(df, "code").columns == ["row_id", "text"]
+    other = spark.range(1)
+    assert corpus.corpus_select(True, df, other) is df and corpus.corpus_select(False, df, other) is other
+    stream = sorted(map(tuple, corpus.text_stream(df).collect()))
+    assert stream == [(1, "code", "c1"), (1, "query", "q1"), (2, "code", "c2"), (2, "query", "q2")]
+    aligned = corpus.align_pairs(df.select("row_id", "code"), df.select("row_id", "query"))
+    assert sorted(map(tuple, aligned.collect())) == [(1, "c1", "q1"), (2, "c2", "q2")]
+    labels = spark.createDataFrame([(["__label__en"],), (["__label__de"],)], "p array<string>")
+    wanted = F.array(F.lit("__label__en"), F.lit("__label__fr"))
+    assert [r[0] for r in labels.select(corpus.label_intersection(F.col("p"), wanted)).collect()] == [True, False]
