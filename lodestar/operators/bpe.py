@@ -2,11 +2,12 @@
 
 * Word counting is one shuffle with map-side combine, so a word holding a
   third of all occurrences costs one partial count per task.
-* BPE training works on the distinct-word table, never on occurrences. Pair
-  counts are a distributed table updated incrementally: each round one job
-  re-segments only the words that hold a merged pair and ships their pair
-  count deltas. Several merges are accepted per round when they provably
-  equal the sequential choice (see ``_accept``).
+* BPE training works on the distinct-word table, never on occurrences. A
+  word table within a checked size runs the exact sequential merge loop on
+  the driver; beyond it, each round is one pair-count job over the
+  distributed word table plus a checkpointed rewrite of only the words that
+  hold a merged pair, accepting every merge that provably equals the
+  sequential choice (see ``_accept``).
 * Encoding runs in Arrow batches: the JVM pre-tokenizes, each Python worker
   keeps a word -> ids cache, and padding/truncation is a JVM expression.
 """

@@ -2,7 +2,8 @@
 
 The passage set (e.g. a benchmark's queries) is counted and must stay under a
 bound before it is compiled into an automaton and shipped once per executor;
-documents are never shuffled or paired with passages.
+documents are never paired with passages (they are only spread over the cores
+when they arrive in fewer partitions than there are cores).
 """
 
 from __future__ import annotations

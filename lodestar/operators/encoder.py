@@ -6,8 +6,9 @@ the zero pad row), ``fc_weight`` (H x D), ``fc_bias``, ``bn_mean``,
 ``bn_var``, ``bn_weight``, ``bn_bias`` (one row of H values each).
 
 The weight table is model-sized (bounded by V*D + H*D + 5H values); it is
-counted, then shipped once per executor as a broadcast. The token matrix is
-never shuffled: encoding is a narrow ``mapInPandas`` over the rows.
+counted, then shipped once per executor as a broadcast. Encoding is a narrow
+``mapInPandas`` over the rows; the token matrix is only redistributed when it
+arrives in fewer partitions than there are cores (``spread``).
 """
 
 from __future__ import annotations
