@@ -82,7 +82,12 @@ def encode_ctes(prefix: str, tokens: str, weights: str, length: int) -> str:
     """pooled -> linear -> batch norm -> tanh, as ``{prefix}_enc(row_id, dim, value)``."""
     return f"""{prefix}_pool AS (SELECT p.row_id, e.dim, sum(e.value) / {float(length)} AS value
        FROM {tokens} p JOIN {weights} e ON e.pname = 'embed' AND e.row = p.tok GROUP BY p.row_id, e.dim),
-{prefix}_lin AS (SELECT p.row_id, w.row AS dim, sum(w.value * p.value) AS value
+{head_ctes(prefix, weights)}"""
+
+
+def head_ctes(prefix: str, weights: str) -> str:
+    """linear -> batch norm -> tanh over ``{prefix}_pool(row_id, dim, value)``."""
+    return f"""{prefix}_lin AS (SELECT p.row_id, w.row AS dim, sum(w.value * p.value) AS value
        FROM {prefix}_pool p JOIN {weights} w ON w.pname = 'fc_weight' AND w.dim = p.dim GROUP BY p.row_id, w.row),
 {prefix}_enc AS (SELECT l.row_id, l.dim,
        tanh((l.value + b.value - m.value) / sqrt(v.value + {config.BATCHNORM_EPS}) * g.value + bb.value) AS value
@@ -280,3 +285,10 @@ k AS (SELECT source, coalesce(nullif(array_to_string(langs, '_'), ''), 'all') AS
 SELECT source, nl_dir, 'data/' || source || '/' || nl_dir AS model_dir,
        upper(substring(source, 1, 1)) || lower(substring(source, 2)) AS source_cap FROM k"""
 ORACLE_TEXT["run_names"] = """SELECT user_id, strftime(min(ts), '%y%m%d_%H%M') AS run_id FROM events GROUP BY user_id"""
+
+# E3 with the registered sinusoidal encoder: state[l, d] = sin(token_l * (d + 1) / DIM)
+ORACLE_TEXT["encode_with"] = f"""WITH {ENCODER_BASE},
+ew_pool AS (SELECT p.row_id, dd.d AS dim, sum(sin(p.tok * ((dd.d + 1) / {float(DIM)}::DOUBLE))) / {float(L_Q)} AS value
+            FROM qt p, range(0, {DIM}) dd(d) GROUP BY p.row_id, dd.d),
+{head_ctes('ew', 'ws')}
+SELECT row_id, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM ew_enc"""
