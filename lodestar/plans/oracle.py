@@ -54,7 +54,10 @@ t AS (SELECT * FROM t0 WHERE qv IS NOT NULL AND cv IS NOT NULL)"""
 def scores_cte(pool: int) -> str:
     return f"""{TOWERS},
 p AS (SELECT row_id, row_id // {pool} AS batch_id, qv, cv FROM t),
-s AS (SELECT a.batch_id, a.row_id AS qid, b.row_id AS cid, {cos('a.qv', 'b.cv')} AS s
+{RANKS}"""
+
+
+RANKS = f"""s AS (SELECT a.batch_id, a.row_id AS qid, b.row_id AS cid, {cos('a.qv', 'b.cv')} AS s
       FROM p a JOIN p b ON a.batch_id = b.batch_id),
 tg AS (SELECT qid, s AS st FROM s WHERE qid = cid),
 r AS (SELECT s.batch_id, s.qid AS row_id, max(tg.st) AS target_score,

@@ -292,3 +292,27 @@ ew_pool AS (SELECT p.row_id, dd.d AS dim, sum(sin(p.tok * ((dd.d + 1) / {float(D
             FROM qt p, range(0, {DIM}) dd(d) GROUP BY p.row_id, dd.d),
 {head_ctes('ew', 'ws')}
 SELECT row_id, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM ew_enc"""
+
+from lodestar.plans.oracle import RANKS  # noqa: E402
+
+
+def _word_pools(split_name: str, pool: int) -> str:
+    return f"""{WORD_VOCAB_CTE},
+{padded_tokens('qt', 'query', L_Q)},
+{padded_tokens('ct', 'code', L_C)},
+{weights_cte('ws', 'shared')},
+{encode_ctes('qq', 'qt', 'ws', L_Q)},
+{encode_ctes('cc', 'ct', 'ws', L_C)},
+{split_cte('f1', 'row_id')},
+qv AS (SELECT row_id, list(value ORDER BY dim) AS v FROM qq_enc GROUP BY row_id),
+cv AS (SELECT row_id, list(value ORDER BY dim) AS v FROM cc_enc GROUP BY row_id),
+p AS (SELECT sp.row_id, sp.split_pos // {pool} AS batch_id, qv.v AS qv, cv.v AS cv
+      FROM sp JOIN qv ON qv.row_id = sp.row_id JOIN cv ON cv.row_id = sp.row_id WHERE sp.split = '{split_name}'),
+{RANKS}"""
+
+
+ORACLE_TEXT["test_mrr_words"] = f"""WITH {_word_pools('test', config.MRR_POOL)}
+SELECT round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries, CAST({config.MRR_POOL} AS BIGINT) AS pool_size FROM r"""
+ORACLE_TEXT["validate_words"] = f"""WITH {_word_pools('valid', config.BATCH_SIZE)}
+SELECT round(avg(1 - target_score + hardest_negative), 6) AS valid_loss, round(avg(1.0 / rank), 6) AS valid_mrr,
+       count(*) AS n_queries FROM r"""

@@ -457,3 +457,30 @@ def q_search(spark, sf_dir):
 
 
 QUERIES_TEXT.update({"path_layout": q_path_layout, "run_names": q_run_names, "search": q_search})
+
+
+def _word_batched(spark, sf_dir, split_name: str, pool: int):
+    """Q2 with the word-vocabulary tokenizer: tokens, exact split, pools in split order."""
+    pairs = fx.text_pairs(spark, sf_dir)
+    vocab = _word_vocab(spark, sf_dir)
+    tok = bpe.word_encode(bpe.word_encode(pairs, "code", vocab, config.CODE_LENGTH, "code_ids"),
+                          "query", vocab, config.QUERY_LENGTH, "query_ids")
+    split = rowid.split_80_10_10(tok.select("row_id", "code_ids", "query_ids"))
+    return rowid.assign_batches(split.where(F.col("split") == split_name), pool, "split_pos")
+
+
+def q_test_mrr_words(spark, sf_dir):
+    """Q3 end to end with a pluggable (word-vocabulary) tokenizer: test pools of 1000 -> MRR."""
+    from lodestar.plans.end_to_end import test_mrr
+    batched = _word_batched(spark, sf_dir, "test", config.MRR_POOL)
+    return rounded(test_mrr(batched, _weights(spark)))
+
+
+def q_validate_words(spark, sf_dir):
+    """Q5 end to end with the word-vocabulary tokenizer: valid pools of 10 -> loss, MRR."""
+    from lodestar.plans.end_to_end import validate
+    batched = _word_batched(spark, sf_dir, "valid", config.BATCH_SIZE)
+    return rounded(validate(batched, _weights(spark)))
+
+
+QUERIES_TEXT.update({"test_mrr_words": q_test_mrr_words, "validate_words": q_validate_words})
