@@ -118,8 +118,8 @@ def shuffle_rows(df: DataFrame, epoch: int, id_col: str = "row_id", seed: int =
         return global_row_id(keyed, ["_skey", id_col], pos_col).drop("_skey")
     ranked = global_row_id(keyed, [partition_col, "_skey", id_col], "_gpos")
     starts = ranked.groupBy(partition_col).agg(F.min("_gpos").alias("_start"))
-    # one row per split value: a bounded broadcast
-    return (ranked.join(F.broadcast(starts), partition_col)
+    # one row per group value; AQE broadcasts it when measured small (3 rows for splits)
+    return (ranked.join(starts, partition_col)
                   .withColumn(pos_col, (F.col("_gpos") - F.col("_start")).cast("bigint"))
                   .drop("_skey", "_gpos", "_start"))
 
