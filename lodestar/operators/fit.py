@@ -197,13 +197,14 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
              encoding_dim: int = config.ENCODING_DIM, lr: float = config.LEARNING_RATE, epochs: int = 1,
              batches_per_step: int = 64, clip: float | None = None, dropout: float = config.ENCODER_DROPOUT,
              shared: bool = True, seed: int = config.SEED, validate_fn=None, metrics_path: str | None = None,
-             run_id: str = "run") -> tuple[dict, list[tuple]]:
+             run_id: str = "run", max_batches: int | None = None) -> tuple[dict, list[tuple]]:
     """E5: fit the NBOW towers on ``batched`` (``row_id, split, batch_id, code_ids, query_ids``).
 
     Trains on the ``train`` split. ``validate_fn(weights_df) -> (loss, mrr)``
     runs after every epoch when given; early stopping follows W5. Returns the
     final parameters (by tower) and the metric rows (also appended to
-    ``metrics_path`` when given).
+    ``metrics_path`` when given). ``max_batches`` caps the training
+    mini-batches per epoch (the sweep's batch limit).
     """
     from lodestar.operators.rowid import shuffle_rows
     from lodestar.operators.train import metrics_rows
@@ -219,6 +220,8 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
         shuffled = shuffle_rows(train_rows, epoch)
         table = (shuffled.withColumn("batch_id", F.floor(F.col("shuffle_pos") / config.BATCH_SIZE).cast("bigint"))
                          .withColumn("step", F.floor(F.col("batch_id") / batches_per_step).cast("bigint")))
+        if max_batches is not None:
+            table = table.where(F.col("batch_id") < max_batches)
         path = scratch_path(spark, f"fit-epoch{epoch}")
         table.write.partitionBy("step").parquet(path)
         n_steps = table.agg(F.max("step")).first()[0]
@@ -277,3 +280,31 @@ def weights_frame(spark: SparkSession, towers: dict) -> DataFrame:
             for i, r in enumerate(p[k]):
                 rows.append((f"{t}/{k}", i, [float(x) for x in r]))
     return spark.createDataFrame(rows, "param string, row int, values array<double>")
+
+
+def run_sweep(batched: DataFrame, trials: DataFrame, validate_fn, vocab_size: int = config.VOCAB_SIZE,
+              epochs: int = 1, max_batches: int | None = None, batches_per_step: int = 64,
+              run_col: str = "run_id") -> DataFrame:
+    """Fit one NBOW model per trial row and report its validation loss.
+
+    ``trials`` comes from ``train.sweep_trials`` (one row of hyper-parameters
+    per trial, a small table); each trial is a full distributed ``nbow_fit``
+    capped at ``max_batches`` mini-batches per epoch.
+    ``validate_fn(weights_df) -> (loss, mrr)``. Returns
+    ``(run_id, valid_loss, valid_mrr, is_best)``; the best trial has the lowest loss.
+    """
+    spark = batched.sparkSession
+    results = []
+    for t in trials.collect():                      # the trial table: a handful of rows
+        towers, metrics = nbow_fit(batched, vocab_size=vocab_size, embedding_dim=int(t["embedding_dim"]),
+                                   encoding_dim=int(t["encoding_dim"]), lr=float(t["learning_rate"]),
+                                   epochs=epochs, batches_per_step=batches_per_step,
+                                   clip=float(t["gradient_clip_val"]), dropout=float(t["encoder_dropout"]),
+                                   max_batches=max_batches, validate_fn=validate_fn, run_id=str(t[run_col]))
+        valid = [(v, name) for (_, split, _, name, v) in metrics if split == "valid"]
+        loss = [v for v, name in valid if name == "valid/loss"][-1]
+        mrr = [v for v, name in valid if name == "valid/mrr"][-1]
+        results.append((t[run_col], float(loss), float(mrr)))
+    best = min(results, key=lambda r: (r[1], r[0]))[0] if results else None
+    rows = [(str(r), loss, mrr, r == best) for r, loss, mrr in results]
+    return spark.createDataFrame(rows, "run_id string, valid_loss double, valid_mrr double, is_best boolean")

@@ -70,3 +70,24 @@ def test_loss_falls_over_epochs(spark):
                               batches_per_step=2, dropout=0.0)
     per_epoch = [v for (_, _, e, name, v) in metrics if name == "train/loss"]
     assert len(per_epoch) == 3 and per_epoch[-1] < per_epoch[0]
+
+
+
+def test_run_sweep_picks_lowest_validation_loss(spark):
+    from lodestar.operators import train
+    from lodestar.plans import fixtures as fx
+    from lodestar.plans.end_to_end import prepare_training, validate
+    from tests.conftest import SF001
+    batched, _ = prepare_training(fx.text_pairs(spark, SF001))
+    batched = batched.checkpoint(eager=True)
+    trials = train.sweep_trials(spark.createDataFrame([(1,), (2,)], "run_id long"))
+
+    def vfn(weights):
+        r = validate(batched, weights).first()
+        return r["valid_loss"], r["valid_mrr"]
+
+    out = fit.run_sweep(batched, trials, vfn, epochs=1, max_batches=2, batches_per_step=2)
+    rows = out.collect()
+    assert len(rows) == 2 and sum(r["is_best"] for r in rows) == 1
+    best = [r for r in rows if r["is_best"]][0]
+    assert best["valid_loss"] == min(r["valid_loss"] for r in rows)
