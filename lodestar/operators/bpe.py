@@ -200,24 +200,111 @@ def _accept(top, max_in, max_out, id_to_token, vocab, vocab_size, min_count):
     return accepted
 
 
+_DELTA_SCHEMA = "j int, l int, r int, c long"
+
+
+def _speculate(rows, vocab: dict[str, int], id_to_token: list[str], steps: int, min_count: int,
+               top_rows=()) -> list[tuple[int, int, int]]:
+    """Guess the next merges: the exact loop on a frequent-word subset (on copies),
+    started from the exact global counts of the top pairs."""
+    words = [list(s_) for s_, _ in rows]
+    counts = [int(c) for _, c in rows]
+    base = {(l, r): c for l, r, c in top_rows}
+    return _merge_loop(words, counts, dict(vocab), list(id_to_token), 1 << 30, min_count, steps, base)
+
+
+def _step_deltas(seq: list[tuple[int, int, int]]):
+    """Per word, apply the speculated merges in order and emit each step's pair-count changes."""
+    def run(batches):
+        for pdf in batches:
+            acc: Counter = Counter()
+            for cnt, syms in zip(pdf["cnt"], pdf["syms"]):
+                cur, c = list(syms), int(cnt)
+                for j, (a, b, n) in enumerate(seq):
+                    if a not in cur:
+                        continue
+                    new = _merge_symbols(cur, a, b, n)
+                    if len(new) != len(cur):
+                        for p in zip(cur, cur[1:]):
+                            acc[(j, p[0], p[1])] -= c
+                        for p in zip(new, new[1:]):
+                            acc[(j, p[0], p[1])] += c
+                        cur = new
+            nz = [(k, v) for k, v in acc.items() if v]
+            yield pd.DataFrame({"j": [k[0] for k, _ in nz], "l": [k[1] for k, _ in nz],
+                                "r": [k[2] for k, _ in nz], "c": np.array([v for _, v in nz], dtype=np.int64)})
+    return run
+
+
+def _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, min_count):
+    """Accept the speculated merges while each equals the exact argmax.
+
+    ``top_rows`` are the exact top pair counts at the start of the round and
+    every other pair counted at most ``threshold``; existing pairs only lose
+    counts during the round, and pairs holding a symbol created this round
+    are known exactly from the step deltas. A step is decided only when the
+    best known count is strictly above ``threshold``; at the first mismatch
+    the true argmax is accepted and the round ends.
+    """
+    known = {(l, r): c for l, r, c in top_rows}
+    created: set[int] = set()
+    accepted = []
+    for j in range(len(seq) + 1):
+        if len(vocab) >= vocab_size:
+            break
+        live = [(-c, p) for p, c in known.items() if c > 0]
+        if not live:
+            break
+        negc, best = min(live)
+        if -negc < min_count or (j > 0 and -negc <= threshold):
+            break
+        a, b = best
+        token = id_to_token[a] + id_to_token[b]
+        reused = token in vocab
+        new_id = vocab[token] if reused else len(id_to_token)
+        if not reused:
+            vocab[token] = new_id
+            id_to_token.append(token)
+        accepted.append((a, b, new_id))
+        if j == len(seq) or (a, b) != seq[j][:2] or reused:
+            break
+        for (l, r), d in deltas.get(j, ()):
+            if (l, r) in known or l in created or r in created or l == new_id or r == new_id:
+                known[(l, r)] = known.get((l, r), 0) + d
+        created.add(new_id)
+    return accepted
+
+
 def _train_local(rows, vocab: dict[str, int], id_to_token: list[str], vocab_size: int,
                  min_count: int) -> list[tuple[int, int, int]]:
     """Sequential exact BPE over a size-checked word table (incremental counts + lazy heap)."""
-    import heapq
-
     char_ids = {t: i for t, i in vocab.items()}
     words = [[char_ids[ch] for ch in w] for w, _ in rows]
-    counts = [int(c) for _, c in rows]
+    return _merge_loop(words, [int(c) for _, c in rows], vocab, id_to_token, vocab_size, min_count)
+
+
+def _merge_loop(words: list[list[int]], counts: list[int], vocab: dict[str, int], id_to_token: list[str],
+                vocab_size: int, min_count: int, max_merges: int | None = None,
+                base_counts: dict[tuple[int, int], int] | None = None) -> list[tuple[int, int, int]]:
+    """The sequential merge loop over segmented words (mutates ``words``, ``vocab``, ``id_to_token``).
+
+    ``base_counts`` overrides the starting count of the pairs it holds (exact
+    global counts when ``words`` is only a subset).
+    """
+    import heapq
+
     pair_counts: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = {}
     for wi, syms in enumerate(words):
         for p, k in _pairs(syms).items():
             pair_counts[p] += k * counts[wi]
             where.setdefault(p, set()).add(wi)
+    if base_counts:
+        pair_counts.update({p: c - pair_counts.get(p, 0) for p, c in base_counts.items()})
     heap = [(-c, p[0], p[1]) for p, c in pair_counts.items() if c > 0]
     heapq.heapify(heap)
     merges: list[tuple[int, int, int]] = []
-    while heap and len(vocab) < vocab_size:
+    while heap and len(vocab) < vocab_size and (max_merges is None or len(merges) < max_merges):
         negc, a, b = heapq.heappop(heap)
         cur = pair_counts.get((a, b), 0)
         if cur != -negc:
@@ -261,7 +348,8 @@ def _train_local(rows, vocab: dict[str, int], id_to_token: list[str], vocab_size
 def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
               min_count: int = config.VOCAB_MIN_COUNT,
               specials: tuple[str, ...] = config.SPECIAL_TOKENS,
-              top_m: int = 64, local_word_limit: int = 2_000_000,
+              top_pairs: int = 256, speculate_words: int = 20_000, speculate_steps: int = 64,
+              local_word_limit: int = 2_000_000,
               word_col: str = "word", cnt_col: str = "cnt", progress=None) -> BpeModel:
     """Learn BPE merges from a distinct-word table ``(word, cnt)``.
 
@@ -272,8 +360,12 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
 
     The distinct-word table is counted first. When it has at most
     ``local_word_limit`` rows it is model-sized and the sequential loop runs
-    on the driver with incremental pair counts; beyond that the rounds run as
-    Spark jobs over the distributed word table (``_accept``).
+    on the driver with incremental pair counts. Beyond that, each round runs
+    Spark jobs over the distributed word table: exact top pair counts, a
+    speculated merge sequence from the most frequent words, the exact per-step
+    pair-count deltas of that sequence over all words, and a driver-side check
+    that accepts the speculated merges while each is the true argmax
+    (``_verify``); then one checkpointed rewrite of the words that changed.
     """
     spark = words.sparkSession
     checkpoint_root(spark)
@@ -298,20 +390,27 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
     merges: list[tuple[int, int, int]] = []
     rounds = 0
     while len(vocab) < vocab_size:
-        # one job: pair counts of the current segmentation, then three small summaries
+        # exact top pairs of the current segmentation (everything else counts at most the last one)
         pc = (cur.mapInPandas(_pairs_of_words, "l int, r int, c long")
                  .groupBy("l", "r").agg(F.sum("c").alias("c")))
-        top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_m).select(F.lit("t").alias("k"), "l", "r", "c")
-        mi = pc.groupBy("r").agg(F.max("c").alias("c")).select(
-            F.lit("i").alias("k"), F.lit(None).cast("int").alias("l"), "r", "c")
-        mo = pc.groupBy("l").agg(F.max("c").alias("c")).select(
-            F.lit("o").alias("k"), "l", F.lit(None).cast("int").alias("r"), "c")
-        stats = top.unionByName(mi).unionByName(mo).collect()   # bounded: top_m + 2 * symbols
-        top_rows = sorted(((int(s["l"]), int(s["r"]), int(s["c"])) for s in stats if s["k"] == "t"),
-                          key=lambda x: (-x[2], x[0], x[1]))
-        max_in = {int(s["r"]): int(s["c"]) for s in stats if s["k"] == "i"}
-        max_out = {int(s["l"]): int(s["c"]) for s in stats if s["k"] == "o"}
-        accepted = _accept(top_rows, max_in, max_out, id_to_token, vocab, vocab_size, min_count)
+        top_rows = [(int(r["l"]), int(r["r"]), int(r["c"]))
+                    for r in pc.orderBy(F.col("c").desc(), "l", "r").limit(top_pairs).collect()]
+        if not top_rows:
+            break
+        threshold = top_rows[-1][2] if len(top_rows) == top_pairs else 0
+        # speculation on the most frequent words (a bounded top-k), exact deltas over all words
+        frequent = [(r["syms"], r["cnt"]) for r in
+                    cur.orderBy(F.col("cnt").desc(), "word").limit(speculate_words).collect()]
+        seq = _speculate(frequent, vocab, id_to_token, speculate_steps, min_count, top_rows)
+        deltas: dict[int, list] = {}
+        if seq:
+            first = set(range(len(id_to_token)))
+            lefts0 = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in seq if a in first})])
+            for r in (cur.where(F.arrays_overlap(F.col("syms"), lefts0))
+                         .mapInPandas(_step_deltas(seq), _DELTA_SCHEMA)
+                         .groupBy("j", "l", "r").agg(F.sum("c").alias("c")).collect()):   # pairs the steps touch
+                deltas.setdefault(int(r["j"]), []).append(((int(r["l"]), int(r["r"])), int(r["c"])))
+        accepted = _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, min_count)
         if not accepted:
             break
         merges.extend(accepted)
