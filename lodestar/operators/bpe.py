@@ -4,10 +4,10 @@
   third of all occurrences costs one partial count per task.
 * BPE training works on the distinct-word table, never on occurrences. A
   word table within a checked size runs the exact sequential merge loop on
-  the driver; beyond it, each round is one pair-count job over the
-  distributed word table plus a checkpointed rewrite of only the words that
-  hold a merged pair, accepting every merge that provably equals the
-  sequential choice (see ``_accept``).
+  the driver; beyond it, each round speculates a merge sequence on the most
+  frequent words, computes its exact per-step pair-count deltas over the
+  distributed word table, keeps the prefix that provably equals the
+  sequential choice (``_verify``) and rewrites only the words that changed.
 * Encoding runs in Arrow batches: the JVM pre-tokenizes, each Python worker
   keeps a word -> ids cache, and padding/truncation is a JVM expression.
 """
@@ -168,38 +168,6 @@ def _pairs_of_words(batches):
                             "c": np.array(list(acc.values()), dtype=np.int64)})
 
 
-def _accept(top, max_in, max_out, id_to_token, vocab, vocab_size, min_count):
-    """Merges of one round that provably equal the sequential BPE choices.
-
-    The first (largest count, then smaller ids) is the exact argmax. A later
-    candidate is accepted only if (1) it shares no symbol with any merge
-    accepted this round, so its count is unchanged, and (2) its count is
-    strictly above every count a pair created this round can reach
-    (a pair ``(x, ab)`` occurs at most ``max_x count(x, a)`` times, ``(ab, y)``
-    at most ``max_y count(b, y)`` times). The first failure ends the round.
-    """
-    accepted, used, bound = [], set(), -1
-    next_id = len(id_to_token)
-    for l, r, c in top:
-        if c < min_count or len(vocab) >= vocab_size:
-            break
-        if accepted and (l in used or r in used or c <= bound):
-            break
-        token = id_to_token[l] + id_to_token[r]
-        reused = token in vocab
-        new_id = vocab[token] if reused else next_id
-        if not reused:
-            vocab[token] = new_id
-            id_to_token.append(token)
-            next_id += 1
-        accepted.append((l, r, new_id))
-        used |= {l, r, new_id}
-        bound = max(bound, max_in.get(l, 0), max_out.get(r, 0))
-        if reused:   # an existing symbol gains occurrences: recount before going on
-            break
-    return accepted
-
-
 _DELTA_SCHEMA = "j int, l int, r int, c long"
 
 
