@@ -52,3 +52,18 @@ def test_f1_vocab_equals_reference(spark):
     stream = pairs.select(F.explode(F.array("code", "query")).alias("text"))
     texts = [r["text"] for r in stream.collect()]
     assert bpe.bpe_train(bpe.word_counts(stream)).vocab == _hf(texts, 5000, 10).get_vocab()
+
+
+def test_f1_distributed_rounds_equal_local(spark):
+    """The speculative distributed rounds give the local merges on a real table."""
+    from pyspark.sql import functions as F
+
+    from lodestar.plans import fixtures as fx
+    from tests.conftest import SF001
+    stream = fx.text_pairs(spark, SF001).select(F.explode(F.array("code", "query")).alias("text"))
+    wc = bpe.word_counts(stream).checkpoint(eager=True)
+    local = bpe.bpe_train(wc)
+    rounds = []
+    dist = bpe.bpe_train(wc, local_word_limit=0, progress=lambda r, m, v: rounds.append(r))
+    assert dist.vocab == local.vocab and dist.merges == local.merges
+    assert rounds and rounds[-1] < len(local.merges) / 5      # many merges accepted per round
