@@ -34,3 +34,13 @@ def test_scan_prunes_columns(spark):
     formatted = wc._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "ReadSchema: struct<text:string>" in formatted
+
+
+def test_registry_covers_oracles():
+    """Every oracle belongs to a query; only the documented keys are rows-only."""
+    qs, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(qs)
+    rows_only = set(qs) - set(sql)
+    assert rows_only == {"bpe_train", "bpe_encode", "tokenize_fields", "prepare_training", "test_mrr",
+                         "validate", "eval_ndcg", "nbow_fit", "search"}
+    assert all("round(" not in v or "+ 0.0)" in v for v in sql.values())
