@@ -8,12 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe_codec, exact_dedup, mixing, quality_rules, simhash
+from lodestar.llm import (bpe_codec, exact_dedup, langid, line_dedup, mixing, pii, quality_rules, simhash, toxicity,
+                          url_filter)
 from lodestar.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of ``documents`` that repeat an earlier line of 20 words or more."""
+    return line_dedup.repeated_spans(table(spark, sf_dir, "documents")).withColumnRenamed("keep_id", "keep_doc_id")
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained category probabilities of every document, learned from ``labels``."""
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, models).withColumn("toxic", F.col("p_toxic") > 0.5)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; digests of both."""
     path = public_tokenizers.path(VOCABULARY)
@@ -33,6 +46,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.filter(~held).select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate group, survivor and digest of every document."""
     rows = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), hash_all=True)
@@ -46,10 +67,32 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept_chars", "kept")
 
 
+def op9_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and discovered spans of personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
+                         .when(a["end"] != b["end"], a["end"] - b["end"]).when(a["kind"] < b["kind"], -1)
+                         .when(a["kind"] > b["kind"], 1).otherwise(0))
+    return found.select("doc_id", *[count(k) for k in pii.PATTERNS], F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_text(every).alias("spans"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages.select("url", "html")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mix_sources": op4_mix_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii_contexts": op9_pii_contexts,
+    "op10_url_filter": op10_url_filter,
 }
