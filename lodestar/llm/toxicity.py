@@ -88,29 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORI
                   .select("k", "i", "y", F.array().cast("array<double>").alias("before")))
     models: list[np.ndarray | None] = []
     for c in range(len(categories)):
-
-        def learn(key: tuple, part: pd.DataFrame, c=c) -> pd.DataFrame:
-            """Train on the rows outside fold ``key`` and score those inside; fold -1 trains on all."""
-            fold = int(key[0])
-            part = part.sort_values(["k"], kind="stable")
-            vectors = [(*_with_chain(i, b, bits), y[c]) for i, b, y in zip(part["i"], part["before"], part["y"])]
-            inside = (part["k"] % folds == fold).to_numpy()
-            known = [(i, v, int(y)) for (i, v, y), skip in zip(vectors, inside) if not skip and not np.isnan(y)]
-            w = linear.train(known, width, 2, params) if known else None
-            if fold < 0:
-                at = np.flatnonzero(np.abs(w).sum(1)) if w is not None else np.empty(0, int)
-                return pd.DataFrame({"k": [-1], "i": [at.astype(np.int32)], "y": [[]],
-                                     "before": [w[at].ravel() if w is not None else []]})
-            p = [_probability(w, i, v) if w is not None else 0.5 for (i, v, _), s in zip(vectors, inside) if s]
-            done = part[inside]
-            return pd.DataFrame({"k": done["k"], "i": done["i"], "y": done["y"],
-                                 "before": [[*b, x] for b, x in zip(done["before"], p)]})
-
-        schema = "k long, i array<int>, y array<double>, before array<double>"
-        last = c == len(categories) - 1
-        wanted = [-1] if last else [-1, *range(folds)]
-        dealt = rows.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in wanted])))
-        out = pinned(dealt.groupBy("fold").applyInPandas(learn, schema))
+        folds_now = [-1] if c == len(categories) - 1 else [-1, *range(folds)]
+        dealt = rows.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds_now])))
+        out = pinned(dealt.groupBy("fold").applyInPandas(_learner(c, folds, bits, width, params),
+                                                         "k long, i array<int>, y array<double>, before array<double>"))
         final = out.filter("k = -1").collect()
         w = None
         if final and len(final[0]["i"]):
@@ -121,6 +102,30 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORI
     return models
 
 
+def _learner(c: int, folds: int, bits: int, width: int, params: linear.Ftrl):
+    """The kernel that fits category ``c`` for one fold."""
+
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """Train on the rows outside fold ``key`` and score those inside; fold -1 trains on all
+        and returns the weights that are not zero as one row."""
+        fold = int(key[0])
+        part = part.sort_values(["k"], kind="stable")
+        vectors = [(*_with_chain(i, b, bits), y[c]) for i, b, y in zip(part["i"], part["before"], part["y"])]
+        inside = (part["k"] % folds == fold).to_numpy()
+        known = [(i, v, int(y)) for (i, v, y), skip in zip(vectors, inside) if not skip and not np.isnan(y)]
+        w = linear.train(known, width, 2, params) if known else None
+        if fold < 0:
+            at = np.flatnonzero(np.abs(w).sum(1)) if w is not None else np.empty(0, int)
+            return pd.DataFrame({"k": [-1], "i": [at.astype(np.int32)], "y": [[]],
+                                 "before": [w[at].ravel() if w is not None else []]})
+        p = [_probability(w, i, v) if w is not None else 0.5 for (i, v, _), s in zip(vectors, inside) if s]
+        done = part[inside]
+        return pd.DataFrame({"k": done["k"], "i": done["i"], "y": done["y"],
+                             "before": [[*b, x] for b, x in zip(done["before"], p)]})
+
+    return learn
+
+
 def predict(docs: DataFrame, models: Sequence[np.ndarray | None], categories: Sequence[str] = CATEGORIES,
             bits: int = FEATURE_BITS) -> DataFrame:
     """``doc_id`` and ``p_<category>`` of every row, chained in order."""
