@@ -28,6 +28,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.common import small_batches
 
@@ -98,15 +99,15 @@ class Segmenter:
         return out[::-1]
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Segmented words of host and path; a word's place (host or path) is part of the token."""
+        """Segmented words of host and path; a word's place (host or path) is part of the token, numbers are all one word."""
         words = self.memo.get(host)
         if words is None:
             words = tuple("h:" + w for label in _DELIMITED.findall(host) for w in self.split(label))
             if len(self.memo) >= MEMO_HOSTS:
                 self.memo.clear()
             self.memo[host] = words
-        parts = _DELIMITED.findall(path.lower())
-        return [*words, *["p:" + ("0" if x.isdigit() else w) for x in parts for w in (self.split(x) if not x.isdigit() else x[:1])]]
+        parts = [["0"] if x.isdigit() else self.split(x) for x in _DELIMITED.findall(path.lower())]
+        return [*words, *["p:" + w for part in parts for w in part]]
 
 
 def _top(words: DataFrame, col: str, bound: int) -> DataFrame:
@@ -176,6 +177,7 @@ def judge(pages: DataFrame, model: tuple[dict[str, int], dict[str, float], float
                 out.append(1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, score)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "p_block"])
 
-    scored = parsed.mapInArrow(run, parsed.schema.add("p_block", "double"))
+    schema = T.StructType([*parsed.schema.fields, T.StructField("p_block", T.DoubleType())])
+    scored = parsed.mapInArrow(run, schema)
     return scored.select(id_col, "host", "path", text.alias("rule"),
                          F.coalesce(verdict, F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
