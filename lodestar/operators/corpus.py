@@ -2,37 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import join_tokens
 
 
-def _assert_no_null_tokens(df: DataFrame, *cols: str) -> DataFrame:
-    """array_join silently drops null elements; fail instead, as ``" ".join`` would."""
-    cond = None
-    for c in cols:
-        has_null = F.exists(F.col(c), lambda x: x.isNull())
-        cond = has_null if cond is None else (cond | has_null)
-    return df.withColumn("_chk", F.when(cond, F.raise_error(F.lit("null token in a token list"))))\
-             .drop("_chk")
+def _joined(col: str) -> Column:
+    """The token list joined by blanks; a null inside it is an error, as ``" ".join`` would make it.
 
+    The check is part of the projected value: array_join alone drops nulls, and
+    a check in a column of its own would be pruned.
+    """
+    has_null = F.exists(F.col(col), lambda x: x.isNull())
+    return F.when(has_null, F.raise_error(F.lit(f"null token in {col}"))).otherwise(join_tokens(col))
 
-def corpus_projection(raw: DataFrame, check_nulls: bool = True) -> DataFrame:
+
+def corpus_projection(raw: DataFrame) -> DataFrame:
     """``url, func_name->identifier, join(code_tokens)->code, join(docstring_tokens)->query``."""
-    src = _assert_no_null_tokens(raw, "code_tokens", "docstring_tokens") if check_nulls else raw
     keep = [c for c in ("row_id", "split", "split_order") if c in raw.columns]
-    return src.select("url", F.col("func_name").alias("identifier"),
-                      join_tokens("code_tokens").alias("code"),
-                      join_tokens("docstring_tokens").alias("query"), *keep)
+    return raw.select("url", F.col("func_name").alias("identifier"), _joined("code_tokens").alias("code"),
+                      _joined("docstring_tokens").alias("query"), *keep)
 
 
 def eval_projection(definitions: DataFrame) -> DataFrame:
     """The same projection from the definition fields; no language filter."""
     keep = [c for c in ("row_id",) if c in definitions.columns]
-    return definitions.select("url", "identifier",
-                              join_tokens("function_tokens").alias("code"),
-                              join_tokens("docstring_tokens").alias("query"), *keep)
+    return definitions.select("url", "identifier", _joined("function_tokens").alias("code"),
+                              _joined("docstring_tokens").alias("query"), *keep)
 
 
 def project_field(df: DataFrame, field: str, id_col: str = "row_id") -> DataFrame:
@@ -51,7 +48,7 @@ def text_stream(df: DataFrame, fields: tuple[str, ...] = ("code", "query"), id_c
     return df.select(id_col, F.inline(arr))
 
 
-def label_intersection(pred_labels, wanted_labels) -> "F.Column":
+def label_intersection(pred_labels, wanted_labels) -> Column:
     """The predicted label set shares at least one label with the wanted set."""
     return F.arrays_overlap(pred_labels, wanted_labels)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -31,13 +31,6 @@ DEFINITION_SCHEMA = StructType([
     StructField("docstring_tokens", ArrayType(StringType())),
 ])
 
-CORPUS_SCHEMA = StructType([
-    StructField("url", StringType()),
-    StructField("identifier", StringType()),
-    StructField("code", StringType()),
-    StructField("query", StringType()),
-])
-
 ANNOTATION_SCHEMA = StructType([
     StructField("Language", StringType()),
     StructField("Query", StringType()),
@@ -46,20 +39,29 @@ ANNOTATION_SCHEMA = StructType([
 ])
 
 
-def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: StructType,
-               mode: str = "FAILFAST") -> DataFrame:
-    """JSON lines (gzip or plain), one object per line, UTF-8.
+def parsed_lines(lines: DataFrame, schema: StructType, *others: Column) -> DataFrame:
+    """JSON objects from ``lines(value)``: a malformed line or an absent field is an error.
 
-    ``FAILFAST`` makes a malformed line an error, as ``json.loads`` would.
+    A field must be there, as a key access needs it; its value may be null.
+    Blank lines are skipped.
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    return spark.read.schema(schema).option("mode", mode).option("encoding", "UTF-8").json(list(paths))
+    wanted = F.array(*[F.lit(f.name) for f in schema.fields])
+    absent = F.array_except(wanted, F.json_object_keys("value"))
+    lost = F.raise_error(F.concat(F.lit("missing fields in a JSON line: "), F.array_join(absent, ", ")))
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return (lines.where(F.length(F.trim("value")) > 0)
+                 .select(F.when(F.size(absent) > 0, lost).otherwise(row).alias("_r"), *others)
+                 .select("_r.*", *[c for c in ("_path",) if others]))
+
+
+def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
+    """JSON lines (gzip or plain), one object per line, UTF-8, every field required."""
+    return parsed_lines(spark.read.text([paths] if isinstance(paths, str) else list(paths)), schema)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """S3: gzip JSON lines (one file per task)."""
-    df.write.mode(mode).option("compression", "gzip").json(path)
+    """S3: gzip JSON lines (one file per task); null values are written out."""
+    df.write.mode(mode).option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
 def split_dir(root: str, code_lang: str, split: str) -> str:
@@ -76,8 +78,12 @@ def scan_splits(spark: SparkSession, root: str, code_lang: str,
     union keeps the reference's split order as a column, not as file order.
     """
     dirs = [split_dir(root, code_lang, s) for s in splits]
-    df = read_jsonl(spark, dirs, schema)
-    path = F.col("_metadata.file_path")
+    df = parsed_lines(spark.read.text(dirs), schema, F.col("_metadata.file_path").alias("_path"))
+    return tag_split(df, F.col("_path"), splits).drop("_path")
+
+
+def tag_split(df: DataFrame, path: Column, splits: Sequence[str] = config.SPLIT_NAMES) -> DataFrame:
+    """Add ``split`` and ``split_order`` from the path of a row's file."""
     split = F.regexp_extract(path, r"/final/jsonl/([^/]+)/", 1)
     order = F.lit(None).cast("int")
     for i, s in reversed(list(enumerate(splits))):

@@ -12,24 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar import config
 from lodestar.operators.corpus import corpus_projection
-from lodestar.sources.files import RAW_SCHEMA
+from lodestar.sources.files import RAW_SCHEMA, parsed_lines, tag_split
 
 
 def ingest_splits(spark: SparkSession, raw_root: str, code_lang: str, sink_path: str, checkpoint: str,
                   max_files_per_trigger: int = 64) -> int:
     """Project every not-yet-seen raw file under ``{raw_root}/{code_lang}/final/jsonl/*``
     into the corpus table at ``sink_path``. Returns the number of micro-batches run."""
-    src = (spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-                .option("mode", "FAILFAST")
-                .json(f"{raw_root.rstrip('/')}/{code_lang}/final/jsonl/*"))
-    split = F.regexp_extract(F.col("_metadata.file_path"), r"/final/jsonl/([^/]+)/", 1)
-    order = F.lit(None).cast("int")
-    for i, s in reversed(list(enumerate(config.SPLIT_NAMES))):
-        order = F.when(split == s, F.lit(i)).otherwise(order)
-    tagged = src.withColumn("split", split).withColumn("split_order", order)
-    projected = corpus_projection(tagged, check_nulls=False)
+    src = (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+                .text(f"{raw_root.rstrip('/')}/{code_lang}/final/jsonl/*"))
+    rows = parsed_lines(src, RAW_SCHEMA, F.col("_metadata.file_path").alias("_path"))
+    projected = corpus_projection(tag_split(rows, F.col("_path")).drop("_path"))
     q = (projected.writeStream.format("parquet").option("path", sink_path)
                   .option("checkpointLocation", checkpoint).outputMode("append")
                   .trigger(availableNow=True).start())
