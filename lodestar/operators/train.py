@@ -123,12 +123,17 @@ def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELT
     is an equi-join on ``(run, e + j)`` for ``j = 1..patience``; following the
     chain from a virtual epoch 0 (value +inf) takes ``ceil(log2(n))`` rounds
     of pointer jumping, each a join on the unique ``(run, epoch)`` key, with a
-    checkpoint every second round. Epochs must be 1..n per run.
+    checkpoint every second round. Epochs may start anywhere and have gaps:
+    the checks are numbered 1..n in epoch order first, and the positions found
+    are mapped back.
     """
+    from lodestar.operators.rowid import rank_within
     from lodestar.session import checkpoint_root
     checkpoint_root(history.sparkSession)
-    h = history.select(F.col(run_col).alias("run"), F.col(epoch_col).cast("long").alias("e"),
-                       F.col(value_col).cast("double").alias("v"))
+    checks = history.select(F.col(run_col).alias("run"), F.col(epoch_col).cast("long").alias("epoch"),
+                            F.col(value_col).cast("double").alias("v"))
+    checks = rank_within(checks, ["run"], ["epoch"], "e").checkpoint(eager=True)
+    h = checks.select("run", "e", "v")
     n_run = h.groupBy("run").agg(F.max("e").alias("n"), F.count(F.lit(1)).alias("n_checks"))
     nodes = h.unionByName(n_run.select("run", F.lit(0).cast("long").alias("e"), F.lit(math.inf).alias("v")))
     finite = lambda c: ~(F.isnan(c) | (c == F.lit(math.inf)) | (c == F.lit(-math.inf)))
@@ -162,6 +167,9 @@ def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELT
             state = state.checkpoint(eager=True)
     root = state.where(F.col("e") == 0).select("run", F.col("term.stop").alias("stop_epoch"),
                                                F.col("term.best").alias("best_epoch"))
-    best_v = h.select("run", F.col("e").alias("best_epoch"), F.col("v").alias("best_value"))
-    return (root.join(best_v, ["run", "best_epoch"], "left").join(n_run.select("run", "n_checks"), "run")
-                .select(F.col("run").alias(run_col), "stop_epoch", "best_epoch", "best_value", "n_checks"))
+    best = checks.select("run", F.col("e").alias("best_epoch"), F.col("epoch").alias("_best"), F.col("v").alias("best_value"))
+    stop = checks.select("run", F.col("e").alias("stop_epoch"), F.col("epoch").alias("_stop"))
+    return (root.join(best, ["run", "best_epoch"], "left").join(stop, ["run", "stop_epoch"], "left")
+                .join(n_run.select("run", "n_checks"), "run")
+                .select(F.col("run").alias(run_col), F.col("_stop").alias("stop_epoch"),
+                        F.col("_best").alias("best_epoch"), "best_value", "n_checks"))
