@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import config
-from lodestar.functions.text import capitalize
 
 # --- fixed values: ISO 639-1 codes of language names -------------------------
 ISO_LANGUAGES = {
@@ -87,7 +86,7 @@ def langid_predict(df: DataFrame, model: DataFrame, text_col: str, id_col: str =
                              - F.col("n_occ") * F.log(F.col("total") + F.lit(float(vocab_size)))))
     best = grid.groupBy("_id").agg(
         F.max("score").alias("_max"),
-        F.max_by("lang", F.struct(F.col("score"), F.negate(F.ascii("lang")))).alias("_lang"))
+        F.min_by("lang", F.struct((-F.col("score")).alias("s"), F.col("lang").alias("l"))).alias("_lang"))   # ties: first code
     probs = (grid.join(best, "_id")
                  .groupBy("_id", "_lang")
                  .agg(F.sum(F.exp(F.col("score") - F.col("_max"))).alias("_z")))
@@ -106,8 +105,3 @@ def filter_nl(df: DataFrame, langs: Sequence[str] | None, threshold: float = con
         return df
     codes = [lab.removeprefix("__label__") for lab in nl_labels(langs)]
     return df.where(F.col(lang_col).isin(codes) & (F.col(prob_col) >= F.lit(threshold)))
-
-
-def capitalize_name(col: Column | str) -> Column:
-    """C4 applied to language names before the ISO lookup."""
-    return capitalize(col)

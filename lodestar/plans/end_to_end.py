@@ -77,18 +77,19 @@ def validate(batched: DataFrame, weights: DataFrame, shared: bool = True) -> Dat
 
 def eval_ndcg(corpus_df: DataFrame, queries: DataFrame, annotations: DataFrame, model: bpe.BpeModel,
               weights: DataFrame, index_params=None, n_results: int = config.N_RESULTS,
-              tower: str = "shared") -> DataFrame:
+              code_tower: str = "shared", query_tower: str = "shared") -> DataFrame:
     """Q4: corpus code -> tokens -> vectors -> index; queries -> tokens -> vectors
     -> top-n -> urls; NDCG (within and all) against the annotations.
 
     ``corpus_df``: ``(row_id, url, code)``; ``queries``: ``(query_id, query)``;
-    ``annotations``: ``(query, url, relevance)`` with normalised queries.
+    ``annotations``: ``(query, url, relevance)`` with normalised queries. Code
+    and queries are encoded by their own towers (both ``shared`` for a single one).
     """
     from lodestar.operators.lsh import LshIndex
     code_tok = bpe.bpe_encode(corpus_df, "code", model, config.CODE_LENGTH, "ids")
-    code_vec = encoder.nbow_encode(code_tok, "ids", weights, tower, "row_id", "vec")
+    code_vec = encoder.nbow_encode(code_tok, "ids", weights, code_tower, "row_id", "vec")
     q_tok = bpe.bpe_encode(queries, "query", model, config.QUERY_LENGTH, "ids")
-    q_vec = encoder.nbow_encode(q_tok.withColumnRenamed("query_id", "row_id"), "ids", weights, tower,
+    q_vec = encoder.nbow_encode(q_tok.withColumnRenamed("query_id", "row_id"), "ids", weights, query_tower,
                                 "row_id", "vec").withColumnRenamed("row_id", "query_id")
     vectors = code_vec.withColumnRenamed("row_id", "code_id")
     if index_params is not None:
@@ -98,5 +99,6 @@ def eval_ndcg(corpus_df: DataFrame, queries: DataFrame, annotations: DataFrame,
     lookup = corpus_df.select(F.col("row_id").alias("code_id"), "url")
     preds = (search.resolve_urls(hits, lookup)
              .join(queries.select("query_id", F.lower(F.col("query")).alias("query")), "query_id")
-             .select("query", "url", "position"))
-    return relevance.ndcg_both(preds, annotations)
+             .select("query", "url", "position", "query_id"))
+    # Of queries with the same text the later one's results stand
+    return relevance.ndcg_both(relevance.merge_batch_predictions(preds, "query_id"), annotations)
