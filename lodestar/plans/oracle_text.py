@@ -7,8 +7,8 @@ from lodestar.functions.text import PRETOKEN_PATTERN as PAT
 from lodestar.operators.langid import ISO_LANGUAGES
 from lodestar.plans.oracle import F1, NEG_INF, TOWERS, cos  # noqa: F401
 
-WORD_VOCAB = 200
-DIM = 16
+WORD_VOCAB = config.VOCAB_SIZE
+DIM = config.ENCODING_DIM
 SEED = config.SEED
 L_Q = config.QUERY_LENGTH
 L_C = config.CODE_LENGTH
@@ -117,7 +117,7 @@ seen AS (SELECT iv.doc_id, m.lang, sum(iv.occ * ln(m.n + 1)) AS s FROM iv JOIN t
          GROUP BY iv.doc_id, m.lang),
 grid AS (SELECT n.doc_id, t.lang, coalesce(s.s, 0) - n.n_occ * ln(t.total + nv.v) AS score
          FROM nocc n CROSS JOIN tot t CROSS JOIN nv LEFT JOIN seen s ON s.doc_id = n.doc_id AND s.lang = t.lang),
-best AS (SELECT doc_id, max(score) AS mx, arg_max(lang, score) AS lang_pred FROM grid GROUP BY doc_id),
+best AS (SELECT doc_id, max(score) AS mx, first(lang ORDER BY score DESC, lang) AS lang_pred FROM grid GROUP BY doc_id),
 pr AS (SELECT g.doc_id, b.lang_pred, 1.0 / sum(exp(g.score - b.mx)) AS lang_prob
        FROM grid g JOIN best b ON g.doc_id = b.doc_id GROUP BY g.doc_id, b.lang_pred)"""
 
@@ -171,7 +171,7 @@ FROM (SELECT word, cnt, unnest(range(1, length(word))) AS i FROM wc WHERE length
 GROUP BY 1, 2""",
     "pluggable_tokenizer": f"""WITH {F1}
 SELECT row_id, array_to_string(list_slice(list_concat(
-         list_transform(range(1, length(query) + 1), lambda i: least(unicode(substring(query, i, 1)), {config.VOCAB_SIZE - 1})),
+         list_transform(range(1, length(query) + 1), lambda i: unicode(substring(query, i, 1))),
          list_transform(range({L_Q}), lambda j: 0)), 1, {L_Q}), ' ') AS ids FROM f1""",
     "pad_truncate": f"""WITH {ENCODER_BASE}
 SELECT row_id, array_to_string(list(tok ORDER BY pos), ' ') AS ids FROM qt GROUP BY row_id""",
@@ -209,7 +209,7 @@ SELECT d.doc_id, pr.lang_pred, round(pr.lang_prob, 6) AS lang_prob FROM document
 SELECT CAST(doc_id AS VARCHAR) AS url FROM pr WHERE lang_pred IN ('en', 'fr') AND lang_prob >= {config.LANGID_THRESHOLD}""",
     "nl_labels": f"""WITH iso(name, alpha2) AS (VALUES {ISO_VALUES})
 SELECT d.lang, i.name, '__label__' || i.alpha2 AS label, count(*) AS n_docs
-FROM documents d JOIN iso i ON d.lang = i.alpha2 GROUP BY d.lang, i.name, i.alpha2""",
+FROM documents d LEFT JOIN iso i ON d.lang = i.alpha2 GROUP BY d.lang, i.name, i.alpha2""",
     "index_build": f"""WITH {TOWERS},
 {PLANES}
 SELECT code_id, CAST(tbl AS INTEGER) AS "table", CAST(bucket AS INTEGER) AS bucket FROM bk""",

@@ -16,8 +16,8 @@ from lodestar.plans.common import rounded
 from lodestar.session import scratch_path
 from lodestar.sources import files
 
-WORD_VOCAB = 200          # small word vocabulary keeps the SQL oracle of the encoder cheap
-DIM = 16                  # embedding = encoding size for the SQL-checked encoder
+WORD_VOCAB = config.VOCAB_SIZE
+DIM = config.ENCODING_DIM
 NL_FILTER = ("english", "french")
 
 
@@ -124,8 +124,8 @@ def q_tokenize_fields(spark, sf_dir):
 
 
 def _char_tokenizer(text: str) -> list[int]:
-    """A user tokenizer: one id per character (code point, capped at the vocab size)."""
-    return [min(ord(c), config.VOCAB_SIZE - 1) for c in text]
+    """A user tokenizer: one id per character, its code point."""
+    return [ord(c) for c in text]
 
 
 def q_pluggable_tokenizer(spark, sf_dir):
@@ -238,7 +238,7 @@ def q_nl_labels(spark, sf_dir):
     docs = fx.load(spark, sf_dir, "documents")
     iso = langid.iso_languages(spark)
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
-    return (counts.join(F.broadcast(iso), counts["lang"] == iso["alpha2"])
+    return (counts.join(F.broadcast(iso), counts["lang"] == iso["alpha2"], "left")
                   .select("lang", "name", F.concat(F.lit("__label__"), F.col("alpha2")).alias("label"), "n_docs"))
 
 
