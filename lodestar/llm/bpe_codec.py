@@ -138,7 +138,7 @@ def merge_rows(rows: list[bytes], byte_id: np.ndarray, pairs: PairTable, size: i
     """
     w, width, stop = len(rows), size + 1, pairs.base - 1      # stop: a symbol that no pair holds
     n = np.fromiter(map(len, rows), np.int64, w)
-    sym = np.full((w, width), stop, np.int32)
+    sym = np.full((w, width), stop, np.int64)
     flat = np.frombuffer(b"".join(rows), np.uint8)
     row_of = np.repeat(np.arange(w), n)
     col_of = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
