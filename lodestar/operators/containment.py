@@ -1,58 +1,53 @@
-"""Which documents contain which passages: one linear scan per document (Aho-Corasick).
-
-The passage set (e.g. a benchmark's queries) is counted and must stay under a
-bound before it is compiled into an automaton and shipped once per executor;
-documents are never paired with passages (they are only spread over the cores
-when they arrive in fewer partitions than there are cores).
+"""Which documents contain which passages: an equi-join on one word of each passage, then an exact check.
+
+A passage's words other than its first and last stand between white space
+wherever the passage occurs, so a document that contains it holds the longest
+of them as a word. Documents and passages meet on that word only; the pairs are
+then checked by ``contains``. Passages of fewer than three words meet documents
+on their first characters instead. Nothing is broadcast by hand and no size is
+refused: both sides may grow, and adaptive execution splits a word that many
+documents share.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import ship_package, spread
+_GRAM = 3       # characters on which short passages meet documents
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), 0)
+
+
+def _longest(words: Column) -> Column:
+    ranked = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    return F.array_max(ranked)["w"]
+
 
-MAX_PASSAGES = 1_000_000
-MAX_PASSAGE_CHARS = 64_000_000
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def passages_in_documents(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
                           doc_text: str = "text", passage_id: str = "item_id",
                           passage_text: str = "text") -> DataFrame:
-    """``(doc_id, passage_id)`` for every passage occurring (exactly) in a document."""
-    ship_package(docs.sparkSession)
-    size = passages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(passage_text)).alias("chars")).first()
-    if size["n"] > MAX_PASSAGES or (size["chars"] or 0) > MAX_PASSAGE_CHARS:
-        raise ValueError(f"{size['n']} passages / {size['chars']} characters exceed the broadcast bound")
-    rows = [(int(r[0]), r[1]) for r in passages.select(passage_id, passage_text).collect() if r[1]]
-    bc = docs.sparkSession.sparkContext.broadcast(rows)
-    holder: dict = {}
-
-    def kernel(batches):
-        auto = holder.get("auto")
-        if auto is None:
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            by_text: dict[str, list[int]] = {}
-            for pid, text in bc.value:
-                by_text.setdefault(text, []).append(pid)
-            for text, pids in by_text.items():
-                auto.add_word(text, pids)
-            auto.make_automaton()
-            holder["auto"] = auto
-        for pdf in batches:
-            out_d, out_p = [], []
-            for did, text in zip(pdf[doc_id], pdf[doc_text]):
-                if text is None or len(auto) == 0:
-                    continue
-                found = set()
-                for _end, pids in auto.iter(text):
-                    found.update(pids)
-                for pid in sorted(found):
-                    out_d.append(int(did))
-                    out_p.append(pid)
-            yield pd.DataFrame({doc_id: out_d, passage_id: out_p}, dtype="int64")
-
-    return spread(docs.select(doc_id, doc_text)).mapInPandas(kernel, f"{doc_id} long, {passage_id} long")
+    """``(doc_id, passage_id)`` for every passage occurring (exactly) in a document.
+
+    Null and empty passages occur nowhere; repeated rows count once.
+    """
+    texts = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_t")).where("_t is not null")
+    sought = (passages.select(F.col(passage_id).alias("_p"), F.col(passage_text).alias("_q")).where("length(_q) > 0")
+              .withColumn("_w", _words(F.col("_q"))))
+    inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
+    long_ones = sought.where(F.size("_w") > 2).select("_p", "_q", _longest(inner).alias("_k"))
+    held = texts.select("_d", F.explode(F.array_distinct(_words(F.col("_t")))).alias("_k"))
+    pairs = held.join(long_ones, "_k").select("_d", "_p", "_q")
+    short = sought.where(F.size("_w") <= 2).select("_p", "_q", F.least(F.length("_q"), F.lit(_GRAM)).alias("_n"))
+    for n in sorted(r["_n"] for r in short.select("_n").distinct().collect()):      # at most _GRAM values
+        grams = texts.select("_d", F.explode(_grams(F.col("_t"), n)).alias("_k"))
+        mine = short.where(F.col("_n") == n).select("_p", "_q", F.substring("_q", 1, n).alias("_k"))
+        pairs = pairs.unionByName(grams.join(mine, "_k").select("_d", "_p", "_q"))
+    return (texts.join(pairs, "_d").where(F.contains("_t", "_q"))
+            .select(F.col("_d").alias(doc_id), F.col("_p").alias(passage_id)).distinct())
