@@ -99,7 +99,9 @@ def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each query pair p is judged against the codes of pairs p-1, p and p+1:
     grade 3 for equal labels, 1 for labels one apart, else 0. Two annotators:
-    ``grade`` and ``greatest(grade - 1, 0)``.
+    ``grade`` and ``greatest(grade - 1, 0)``, one of whom writes the language in
+    lower case. Equal labels are also judged for another language, and for a
+    query that nobody searches.
     """
     t = towers(spark, sf_dir)
     q = t.select(F.col("row_id").alias("q"), F.col("query_label").alias("ql"))
@@ -113,9 +115,14 @@ def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Query "), F.col("q").cast("string")).alias("Query"),
         F.concat(F.lit("vec/"), F.col("c").cast("string")).alias("GitHubUrl"),
         grade.alias("g"))
-    return (base.select("Language", "Query", "GitHubUrl", F.col("g").cast("double").alias("Relevance"))
-                .unionByName(base.select("Language", "Query", "GitHubUrl",
-                                         F.greatest(F.col("g") - 1, F.lit(0)).cast("double").alias("Relevance"))))
+    second = F.greatest(F.col("g") - 1, F.lit(0))
+    votes = F.array(*[F.struct(lang.alias("Language"), query.alias("Query"), "GitHubUrl", g.cast("double").alias("Relevance"))
+                      for lang, query, g in (
+                          (F.col("Language"), F.col("Query"), F.col("g")),
+                          (F.lower("Language"), F.col("Query"), second),
+                          (F.lit("Java"), F.col("Query"), F.when(F.col("g") == 3, F.lit(2))),
+                          (F.col("Language"), F.concat(F.lit("Unsearched "), F.col("Query")), F.when(F.col("g") == 3, F.lit(1))))])
+    return base.select(F.inline(votes)).where(F.col("Relevance").isNotNull())
 
 
 def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from lodestar import config
 
+TINY_ROWS = 150           # the tiny corpus of the registered query: fewer rows than any test table
+
 
 def positive_zero_rounding(sql: str) -> str:
     """Rewrite every ``round(...)`` as ``(round(...) + 0.0)``.
@@ -87,7 +89,11 @@ ann_raw AS (
   FROM t q JOIN t c ON c.row_id BETWEEN q.row_id - 1 AND q.row_id + 1),
 raw AS (SELECT Language, Query, GitHubUrl, CAST(g AS DOUBLE) AS Relevance FROM ann_raw
         UNION ALL
-        SELECT Language, Query, GitHubUrl, CAST(greatest(g - 1, 0) AS DOUBLE) AS Relevance FROM ann_raw),
+        SELECT 'python' AS Language, Query, GitHubUrl, CAST(greatest(g - 1, 0) AS DOUBLE) AS Relevance FROM ann_raw
+        UNION ALL
+        SELECT 'Java' AS Language, Query, GitHubUrl, 2.0::DOUBLE AS Relevance FROM ann_raw WHERE g = 3
+        UNION ALL
+        SELECT Language, 'Unsearched ' || Query AS Query, GitHubUrl, 1.0::DOUBLE AS Relevance FROM ann_raw WHERE g = 3),
 ann AS (SELECT lower(regexp_replace(regexp_replace(Query, '^\\s+', ''), '\\s+$', '')) AS query,
                GitHubUrl AS url, avg(Relevance) AS relevance
         FROM raw WHERE lower(Language) = 'python'
@@ -177,7 +183,9 @@ SELECT round(avg(coalesce(dw.dcg, 0) / i.idcg), 6) AS ndcg_within,
        round(avg(coalesce(da.dcg, 0) / i.idcg), 6) AS ndcg_all, count(*) AS n_queries
 FROM idcg i LEFT JOIN dw ON i.query = dw.query LEFT JOIN da ON i.query = da.query WHERE i.idcg > 0""",
     "merge_batch_predictions": f"""WITH {KNN},
-b AS (SELECT query, url, position, query_id // {config.BATCH_SIZE} AS batch_id FROM pred),
+b AS (SELECT query, url, position, query_id // {config.BATCH_SIZE} AS batch_id FROM pred
+      UNION ALL
+      SELECT query, url, position, query_id // {config.BATCH_SIZE} + 1 AS batch_id FROM pred WHERE position > {config.N_RESULTS} // 2),
 m AS (SELECT query, max(batch_id) AS mb FROM b GROUP BY query)
 SELECT b.query, b.url, b.position, b.batch_id FROM b JOIN m ON b.query = m.query AND b.batch_id = m.mb""",
     "global_row_id": """SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS row_id FROM documents""",
@@ -192,6 +200,6 @@ SELECT row_id, split, CASE WHEN split = 'train' THEN shuffle_pos // {config.BATC
                            WHEN split = 'test' THEN split_pos // {config.MRR_POOL}
                            ELSE split_pos // {config.BATCH_SIZE} END AS batch_id FROM sh""",
     "tiny": f"""SELECT doc_id AS row_id, CAST(doc_id AS VARCHAR) AS url FROM documents
-ORDER BY doc_id LIMIT {config.TINY_SIZE}""",
+ORDER BY doc_id LIMIT {TINY_ROWS}""",
     "count_rows": """SELECT count(*) AS n_rows FROM documents""",
 }

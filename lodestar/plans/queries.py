@@ -17,6 +17,7 @@ from lodestar.plans.common import rounded
 
 VALID_POOL = config.BATCH_SIZE        # validation pools are training batches
 TEST_POOL = config.MRR_POOL           # 1 + 999 distractors
+TINY_ROWS = 150                       # the tiny corpus: fewer rows than any test table
 
 
 # ---------------------------------------------------------------- scoring ----
@@ -127,8 +128,11 @@ def q_ndcg(spark, sf_dir):
 
 
 def q_merge_batch_predictions(spark, sf_dir):
+    """Every query in its own batch, and the lower half of its results in the next one, which wins."""
     preds = _predictions(spark, sf_dir)
-    batched = preds.withColumn("batch_id", F.expr(f"query_id div {config.BATCH_SIZE}"))
+    first = preds.withColumn("batch_id", F.expr(f"query_id div {config.BATCH_SIZE}"))
+    again = first.where(F.col("position") > config.N_RESULTS // 2).withColumn("batch_id", F.col("batch_id") + 1)
+    batched = first.unionByName(again)
     return rel.merge_batch_predictions(batched).select("query", "url", "position", "batch_id")
 
 
@@ -163,7 +167,7 @@ def q_assign_batches(spark, sf_dir):
 
 def q_tiny(spark, sf_dir):
     corpus = fx.raw_records(spark, sf_dir).select("row_id", "url")
-    return rowid.tiny(corpus, config.TINY_SIZE)
+    return rowid.tiny(corpus, TINY_ROWS)
 
 
 def q_count_rows(spark, sf_dir):
