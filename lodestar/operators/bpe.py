@@ -2,12 +2,11 @@
 
 * Word counting is one shuffle with map-side combine, so a word holding a
   third of all occurrences costs one partial count per task.
-* BPE training works on the distinct-word table, never on occurrences. A
-  word table within a checked size runs the exact sequential merge loop on
-  the driver; beyond it, each round speculates a merge sequence on the most
-  frequent words, computes its exact per-step pair-count deltas over the
-  distributed word table, keeps the prefix that provably equals the
-  sequential choice (``_verify``) and rewrites only the words that changed.
+* BPE training works on the distinct-word table, never on occurrences. Each
+  round speculates a merge sequence on the most frequent words, computes its
+  exact per-step pair-count deltas over the distributed word table, keeps the
+  prefix that provably equals the sequential choice (``_verify``) and rewrites
+  only the words that changed.
 * Encoding runs in Arrow batches: the JVM pre-tokenizes, each Python worker
   keeps a word -> ids cache, and padding/truncation is a JVM expression.
 """
@@ -15,6 +14,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections import Counter
 from collections.abc import Callable
@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from lodestar import config
 from lodestar.functions.text import pretokens
-from lodestar.session import checkpoint_root, ship_package, spread
+from lodestar.session import checkpoint_root, ship_package
 
 
 # ------------------------------------------------------------- counting ----
@@ -117,36 +117,39 @@ def _pairs(syms: list[int]) -> Counter:
     return Counter(zip(syms, syms[1:]))
 
 
-_ROUND_SCHEMA = "kind string, word string, cnt long, syms array<int>, l int, r int, c long"
+_WORD_SCHEMA = "word string, cnt long, syms array<int>"
+
+
+def _in_order(syms: list[int], rank: dict[tuple[int, int], int], merges: list[tuple[int, int, int]]):
+    """Apply the merges that concern one word, in their order; yields ``(step, before, after)``."""
+    cur, last = list(syms), -1
+    while True:
+        j = min((r for p in zip(cur, cur[1:]) if (r := rank.get(p, -1)) > last), default=None)
+        if j is None:
+            return
+        new = _merge_symbols(cur, *merges[j])
+        yield j, cur, new
+        cur, last = new, j
+
+
+def _ranks(merges: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+    """Step of each pair; of a pair that occurs twice the first one counts."""
+    return {(a, b): j for j, (a, b, _) in reversed(list(enumerate(merges)))}
 
 
 def _apply_round(merges: list[tuple[int, int, int]]):
-    """Re-segment words holding a merged pair; emit new words and pair deltas."""
+    """Re-segment words with the accepted merges."""
+    rank = _ranks(merges)
+
     def run(batches):
         for pdf in batches:
-            out_words, out_syms, out_cnt = [], [], []
-            delta: Counter = Counter()
-            for word, cnt, syms in zip(pdf["word"], pdf["cnt"], pdf["syms"]):
-                s = list(syms)
-                new = s
-                for a, b, n in merges:
-                    if a in new:
-                        new = _merge_symbols(new, a, b, n)
-                if len(new) != len(s):
-                    for p, k in _pairs(s).items():
-                        delta[p] -= k * int(cnt)
-                    for p, k in _pairs(new).items():
-                        delta[p] += k * int(cnt)
-                out_words.append(word)
-                out_syms.append(new)
-                out_cnt.append(int(cnt))
-            words = pd.DataFrame({"kind": "w", "word": out_words, "cnt": out_cnt, "syms": out_syms,
-                                  "l": None, "r": None, "c": None})
-            nz = [(p, c) for p, c in delta.items() if c != 0]
-            deltas = pd.DataFrame({"kind": "d", "word": None, "cnt": None, "syms": None,
-                                   "l": [p[0] for p, _ in nz], "r": [p[1] for p, _ in nz],
-                                   "c": [c for _, c in nz]})
-            yield pd.concat([words, deltas], ignore_index=True) if len(deltas) else words
+            out = []
+            for syms in pdf["syms"]:
+                cur = list(syms)
+                for _, _, cur in _in_order(cur, rank, merges):
+                    pass
+                out.append(cur)
+            yield pd.DataFrame({"word": pdf["word"], "cnt": pdf["cnt"], "syms": out})
     return run
 
 
@@ -183,21 +186,18 @@ def _speculate(rows, vocab: dict[str, int], id_to_token: list[str], steps: int,
 
 def _step_deltas(seq: list[tuple[int, int, int]]):
     """Per word, apply the speculated merges in order and emit each step's pair-count changes."""
+    rank = _ranks(seq)
+
     def run(batches):
         for pdf in batches:
             acc: Counter = Counter()
             for cnt, syms in zip(pdf["cnt"], pdf["syms"]):
-                cur, c = list(syms), int(cnt)
-                for j, (a, b, n) in enumerate(seq):
-                    if a not in cur:
-                        continue
-                    new = _merge_symbols(cur, a, b, n)
-                    if len(new) != len(cur):
-                        for p in zip(cur, cur[1:]):
-                            acc[(j, p[0], p[1])] -= c
-                        for p in zip(new, new[1:]):
-                            acc[(j, p[0], p[1])] += c
-                        cur = new
+                c = int(cnt)
+                for j, cur, new in _in_order(syms, rank, seq):
+                    for p in zip(cur, cur[1:]):
+                        acc[(j, p[0], p[1])] -= c
+                    for p in zip(new, new[1:]):
+                        acc[(j, p[0], p[1])] += c
             nz = [(k, v) for k, v in acc.items() if v]
             yield pd.DataFrame({"j": [k[0] for k, _ in nz], "l": [k[1] for k, _ in nz],
                                 "r": [k[2] for k, _ in nz], "c": np.array([v for _, v in nz], dtype=np.int64)})
@@ -215,16 +215,19 @@ def _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, mi
     the true argmax is accepted and the round ends.
     """
     known = {(l, r): c for l, r, c in top_rows}
+    heap = [(-c, p) for p, c in known.items()]      # counts that changed since are skipped when met
+    heapq.heapify(heap)
     created: set[int] = set()
     accepted = []
     for j in range(len(seq) + 1):
         if len(vocab) >= vocab_size:
             break
-        live = [(-c, p) for p, c in known.items() if c > 0]
-        if not live:
+        while heap and known[heap[0][1]] != -heap[0][0]:
+            heapq.heappop(heap)
+        if not heap:
             break
-        negc, best = min(live)
-        if -negc < min_count or (j > 0 and -negc <= threshold):
+        negc, best = heap[0]
+        if negc >= 0 or -negc < min_count or (j > 0 and -negc <= threshold):
             break
         a, b = best
         token = id_to_token[a] + id_to_token[b]
@@ -239,18 +242,11 @@ def _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, mi
         for (l, r), d in deltas.get(j, ()):
             if (l, r) in known or l in created or r in created or l == new_id or r == new_id:
                 known[(l, r)] = known.get((l, r), 0) + d
+                heapq.heappush(heap, (-known[(l, r)], (l, r)))
         created.add(new_id)
     return accepted
 
 
-def _train_local(rows, vocab: dict[str, int], id_to_token: list[str], vocab_size: int,
-                 min_count: int) -> list[tuple[int, int, int]]:
-    """Sequential exact BPE over a size-checked word table (incremental counts + lazy heap)."""
-    char_ids = {t: i for t, i in vocab.items()}
-    words = [[char_ids[ch] for ch in w] for w, _ in rows]
-    return _merge_loop(words, [int(c) for _, c in rows], vocab, id_to_token, vocab_size, min_count)
-
-
 def _merge_loop(words: list[list[int]], counts: list[int], vocab: dict[str, int], id_to_token: list[str],
                 vocab_size: int, min_count: int, max_merges: int | None = None,
                 base_counts: dict[tuple[int, int], int] | None = None) -> list[tuple[int, int, int]]:
@@ -259,8 +255,6 @@ def _merge_loop(words: list[list[int]], counts: list[int], vocab: dict[str, int]
     ``base_counts`` overrides the starting count of the pairs it holds (exact
     global counts when ``words`` is only a subset).
     """
-    import heapq
-
     pair_counts: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = {}
     for wi, syms in enumerate(words):
@@ -316,8 +310,7 @@ def _merge_loop(words: list[list[int]], counts: list[int], vocab: dict[str, int]
 def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
               min_count: int = config.VOCAB_MIN_COUNT,
               specials: tuple[str, ...] = config.SPECIAL_TOKENS,
-              top_pairs: int = 256, speculate_words: int = 20_000, speculate_steps: int = 128,
-              local_word_limit: int = 2_000_000,
+              top_pairs: int = 8192, speculate_words: int = 100_000, speculate_steps: int = 1024,
               word_col: str = "word", cnt_col: str = "cnt", progress=None) -> BpeModel:
     """Learn BPE merges from a distinct-word table ``(word, cnt)``.
 
@@ -326,19 +319,19 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
     smaller left id, then smaller right id) and stops when the best count is
     below ``min_count`` or the vocabulary reaches ``vocab_size``.
 
-    The distinct-word table is counted first. When it has at most
-    ``local_word_limit`` rows it is model-sized and the sequential loop runs
-    on the driver with incremental pair counts. Beyond that, each round runs
-    Spark jobs over the distributed word table: exact top pair counts, a
-    speculated merge sequence from the most frequent words, the exact per-step
-    pair-count deltas of that sequence over all words, and a driver-side check
-    that accepts the speculated merges while each is the true argmax
-    (``_verify``); then one checkpointed rewrite of the words that changed.
+    Each round runs Spark jobs over the distributed word table: the exact top
+    pair counts, a speculated merge sequence from the most frequent words, the
+    exact per-step pair-count deltas of that sequence over all words, and a
+    check that accepts the speculated merges while each is the true argmax
+    (``_verify``); then one checkpointed rewrite of the words that changed. The
+    driver holds at most ``top_pairs`` pairs, ``speculate_words`` words and the
+    pairs that the speculated steps touch, whatever the size of the table.
     """
     spark = words.sparkSession
     checkpoint_root(spark)
     ship_package(spark)
     w0 = words.select(F.col(word_col).alias("word"), F.col(cnt_col).cast("long").alias("cnt"))
+    w0 = w0.checkpoint(eager=True)          # the corpus is read and counted once
     chars = sorted(r["symbol"] for r in alphabet(w0).collect())   # model-sized: the alphabet
     vocab: dict[str, int] = {}
     for t in [*specials, *chars]:
@@ -346,13 +339,7 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
             vocab[t] = len(vocab)
     id_to_token = [t for t, _ in sorted(vocab.items(), key=lambda x: x[1])]
     char_ids = {ch: vocab[ch] for ch in chars}
-    n_words = w0.count()
-    if n_words <= local_word_limit:
-        rows = [(r["word"], r["cnt"]) for r in w0.collect()]     # checked: <= local_word_limit rows
-        rows.sort()
-        merges = _train_local(rows, vocab, id_to_token, vocab_size, min_count)
-        return BpeModel(vocab, merges)
-    cur = w0.mapInPandas(_initial_symbols(char_ids), "word string, cnt long, syms array<int>")
+    cur = w0.mapInPandas(_initial_symbols(char_ids), _WORD_SCHEMA)
     cur = cur.checkpoint(eager=True)
     n_parts = max(1, cur.rdd.getNumPartitions())       # the union below must not grow this
     merges: list[tuple[int, int, int]] = []
@@ -387,8 +374,7 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
             progress(rounds, len(merges), len(vocab))
         lefts = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in accepted})])
         holds = F.arrays_overlap(F.col("syms"), lefts)          # JVM-side: only these words can change
-        changed = (cur.where(holds).mapInPandas(_apply_round(accepted), _ROUND_SCHEMA)
-                      .where(F.col("kind") == "w").select("word", "cnt", "syms"))
+        changed = cur.where(holds).mapInPandas(_apply_round(accepted), _WORD_SCHEMA)
         # the word table is the whole round state: one reliable checkpoint per round
         cur = cur.where(~holds).unionByName(changed).coalesce(n_parts).checkpoint(eager=True)
     return BpeModel(vocab, merges)
@@ -443,6 +429,7 @@ def bpe_encode(df: DataFrame, text_col: str, model: BpeModel, length: int | None
     def encode(words: pd.Series) -> pd.Series:
         enc = _ENCODERS.get(key)
         if enc is None:
+            _ENCODERS.clear()        # one model a worker
             enc = _ENCODERS[key] = _WordEncoder(bc.value)
         out = []
         for ws in words:
@@ -454,7 +441,7 @@ def bpe_encode(df: DataFrame, text_col: str, model: BpeModel, length: int | None
         return pd.Series(out)
 
     ids = encode(pretokens(text_col))
-    return spread(df).withColumn(out_col, pad_truncate(ids, length) if length else ids)
+    return df.withColumn(out_col, pad_truncate(ids, length) if length else ids)
 
 
 def tokenize_fields(df: DataFrame, model: BpeModel, code_len: int = config.CODE_LENGTH,

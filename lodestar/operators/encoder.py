@@ -7,8 +7,7 @@ the zero pad row), ``fc_weight`` (H x D), ``fc_bias``, ``bn_mean``,
 
 The weight table is model-sized (bounded by V*D + H*D + 5H values); it is
 counted, then shipped once per executor as a broadcast. Encoding is a narrow
-``mapInPandas`` over the rows; the token matrix is only redistributed when it
-arrives in fewer partitions than there are cores (``spread``).
+``mapInPandas`` over the rows, in the partitions they arrive in.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestar import config
 from lodestar.functions.text import hash_uniform
-from lodestar.session import ship_package, spread
+from lodestar.session import ship_package
 
 PARAM_NAMES = ("embed", "fc_weight", "fc_bias", "bn_mean", "bn_var", "bn_weight", "bn_bias")
 MAX_WEIGHT_VALUES = 50_000_000       # refuse to broadcast a model larger than this
@@ -128,7 +127,7 @@ def _encode_frame(df: DataFrame, ids_col: str, tower: str, weights: DataFrame, i
             out = t.pool(ids) if stage == "pool" else t.encode(ids)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64), out_col: list(out)})
 
-    return spread(df.select(id_col, ids_col)).mapInPandas(kernel, f"{id_col} long, {out_col} array<double>")
+    return df.select(id_col, ids_col).mapInPandas(kernel, f"{id_col} long, {out_col} array<double>")
 
 
 def nbow_encode(df: DataFrame, ids_col: str, weights: DataFrame, tower: str = "shared",
@@ -169,7 +168,7 @@ def encode_pair(df: DataFrame, weights: DataFrame, shared: bool = True, id_col:
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64),
                                 "code_vec": list(c), "query_vec": list(q)})
 
-    return spread(df.select(id_col, code_ids, query_ids)).mapInPandas(
+    return df.select(id_col, code_ids, query_ids).mapInPandas(
         kernel, f"{id_col} long, code_vec array<double>, query_vec array<double>")
 
 

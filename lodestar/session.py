@@ -88,29 +88,3 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(bundle)
     _SHIPPED.add(key)
-
-
-def spread(df):
-    """Round-robin a frame that has fewer partitions than the cluster has cores.
-
-    Used before Python-heavy kernels: a small input scanned into a handful of
-    partitions would otherwise run them on a handful of cores. Inputs that
-    already have many partitions (any large scan) pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def fit_to_cores(df, per_core: int = 4):
-    """Spread a small input over the cores, or merge a very wide one (no shuffle)
-    so that each task keeps one running state (e.g. a top-k) over many input
-    partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n < cores:
-        return df.repartition(cores)
-    if n > per_core * cores:
-        return df.coalesce(per_core * cores)
-    return df
