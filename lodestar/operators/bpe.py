@@ -310,7 +310,7 @@ def _merge_loop(words: list[list[int]], counts: list[int], vocab: dict[str, int]
 def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
               min_count: int = config.VOCAB_MIN_COUNT,
               specials: tuple[str, ...] = config.SPECIAL_TOKENS,
-              top_pairs: int = 8192, speculate_words: int = 100_000, speculate_steps: int = 1024,
+              top_pairs: int = 8192, speculate_words: int = 100_000, speculate_steps: int = 4096,
               word_col: str = "word", cnt_col: str = "cnt", progress=None) -> BpeModel:
     """Learn BPE merges from a distinct-word table ``(word, cnt)``.
 
