@@ -1,18 +1,23 @@
 """Natural-language identification and filtering.
 
-A character-trigram naive Bayes model trained and applied with joins and
-aggregates: the model is a sparse ``(lang, gram, n)`` table plus per-language
-totals, scoring sums log-probabilities per (row, language).
+A character-trigram naive Bayes model: a sparse ``(lang, gram, n)`` table plus
+per-language totals. Scoring sums log-probabilities per (row, language), in one
+pass over the texts while the model is small enough to broadcast.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lodestar import config
+from lodestar.session import ship_package
 
 # --- fixed values: ISO 639-1 codes of language names -------------------------
 ISO_LANGUAGES = {
@@ -42,6 +47,8 @@ def iso_languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(ISO_LANGUAGES.items()), "name string, alpha2 string")
 
 
+MAX_MODEL_ROWS = 2_000_000      # (lang, gram) rows up to which the model is broadcast
+
 # every position's next three characters: a zero-width lookahead, one linear scan
 TRIGRAM_PATTERN = r"(?s)(?=(.{3}))"
 
@@ -58,17 +65,66 @@ def langid_fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lan
                     .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
 
 
-def langid_predict(df: DataFrame, model: DataFrame, text_col: str, id_col: str = "row_id") -> DataFrame:
+def langid_predict(df: DataFrame, model: DataFrame, text_col: str, id_col: str = "row_id",
+                   max_model_rows: int = MAX_MODEL_ROWS) -> DataFrame:
     """L2: top-1 language and its posterior per row.
 
     ``score(lang) = sum over the row's in-vocabulary trigram occurrences of
     ln((n(lang, g) + 1) / (total(lang) + V))``, V = distinct training grams,
     uniform prior, softmax after subtracting the row maximum. Rows without an
     in-vocabulary trigram get NULL language and probability.
+
+    A model of at most ``max_model_rows`` rows is broadcast and each text is
+    scored where it lies, in one pass; a larger one is joined.
     """
     from lodestar.session import checkpoint_root
     checkpoint_root(df.sparkSession)
     model = model.checkpoint(eager=True)          # the fitted model is reused by every step below
+    if model.count() <= max_model_rows:
+        return _scored_in_place(df, model, text_col)
+    return _scored_by_joins(df, model, text_col, id_col)
+
+
+def _scored_in_place(df: DataFrame, model: DataFrame, text_col: str) -> DataFrame:
+    """One narrow pass with the broadcast model (its size was checked)."""
+    ship_package(df.sparkSession)
+    rows = model.collect()
+    langs = sorted({r["lang"] for r in rows})
+    grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
+    seen = np.zeros((len(grams), len(langs)))
+    totals = np.zeros(len(langs))
+    for r in rows:
+        k = langs.index(r["lang"])
+        seen[grams[r["gram"]], k] = np.log(r["n"] + 1)
+        totals[k] += r["n"]
+    shared = df.sparkSession.sparkContext.broadcast((langs, grams, seen, np.log(totals + len(grams))))
+    names = [c for c in df.columns if c not in ("lang_pred", "lang_prob")]
+    schema = StructType([*df.select(*names).schema.fields, StructField("lang_pred", StringType()), StructField("lang_prob", DoubleType())])
+
+    def run(batches):
+        langs, grams, seen, logs = shared.value
+        for batch in batches:
+            preds, probs = [], []
+            for text in batch.column("_lowered").to_pylist():
+                found = Counter(text[i:i + 3] for i in range(len(text) - 2)) if text else {}
+                known = [(grams[g], n) for g, n in found.items() if g in grams]
+                if not known:
+                    preds.append(None)
+                    probs.append(None)
+                    continue
+                at, occ = np.array(known).T
+                score = occ @ seen[at] - occ.sum() * logs
+                best = int(score.argmax())              # ties: the first code
+                preds.append(langs[best])
+                probs.append(float(1.0 / np.exp(score - score[best]).sum()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(preds, pa.string()),
+                                              pa.array(probs, pa.float64())], names=[*names, "lang_pred", "lang_prob"])
+
+    return df.select(*names, F.lower(F.col(text_col)).alias("_lowered")).mapInArrow(run, schema)
+
+
+def _scored_by_joins(df: DataFrame, model: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """The same scores by joins on the trigram, for models too large to broadcast."""
     totals = model.groupBy("lang").agg(F.sum("n").alias("total"))
     vocab_size = model.select("gram").distinct().count()
     langs = [r["lang"] for r in totals.select("lang").collect()]   # bounded: the language set

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import first_line, pretokens
+from lodestar.functions.text import pretokens
 from lodestar.operators.rowid import global_row_id
 from lodestar.session import ship_package
 
@@ -50,8 +50,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("url"),
         F.col("source").alias("func_name"),
         pretokens("text").alias("code_tokens"),
-        pretokens(first_line("text")).alias("docstring_tokens"),
-        first_line("text").alias("docstring"),
+        pretokens("text").alias("docstring_tokens"),
+        F.col("text").alias("docstring"),
         F.col("doc_id").cast("long").alias("row_id"),
     )
 

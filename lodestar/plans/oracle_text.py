@@ -33,8 +33,7 @@ sp AS (SELECT row_id,
 
 F2 = f"""f2 AS (SELECT CAST(doc_id AS VARCHAR) AS url, source AS identifier,
        regexp_extract_all(text, '{PAT}') AS code_tokens,
-       regexp_extract_all(split_part(text, chr(10), 1), '{PAT}') AS docstring_tokens,
-       split_part(text, chr(10), 1) AS docstring, doc_id AS row_id FROM documents)"""
+       regexp_extract_all(text, '{PAT}') AS docstring_tokens, text AS docstring, doc_id AS row_id FROM documents)"""
 
 CORPUS_SELECT = """SELECT url, identifier, array_to_string(code_tokens, ' ') AS code,
        array_to_string(docstring_tokens, ' ') AS query FROM f2"""
@@ -110,7 +109,7 @@ tot AS (SELECT lang, sum(n) AS total FROM tri GROUP BY lang),
 nv AS (SELECT count(DISTINCT gram) AS v FROM tri),
 dsg AS (SELECT doc_id, gram, count(*) AS occ FROM (
          SELECT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
-         FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t FROM documents)) GROUP BY doc_id, gram),
+         FROM (SELECT doc_id, lower(text) AS t FROM documents)) GROUP BY doc_id, gram),
 iv AS (SELECT * FROM dsg WHERE gram IN (SELECT gram FROM tri)),
 nocc AS (SELECT doc_id, sum(occ) AS n_occ FROM iv GROUP BY doc_id),
 seen AS (SELECT iv.doc_id, m.lang, sum(iv.occ * ln(m.n + 1)) AS s FROM iv JOIN tri m ON iv.gram = m.gram

@@ -61,3 +61,13 @@ def test_repeated_query_text_counts_once(spark):
     # ideal 7 + 1 * 0.63092975; the later query lists b, a: 1 + 7 * 0.63092975
     assert both["ndcg_all"] == pytest.approx(5.41650828 / 7.63092975, abs=1e-7)
     assert both["ndcg_within"] == both["ndcg_all"]
+
+
+def test_language_scores_by_joins_and_in_place(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "der Hund und die Katze"), (3, "xq"), (4, None), (5, "zzzz"),
+                                  (6, "the Katze")], "row_id long, text string")
+    model = langid.langid_fit(docs.where("row_id < 3").selectExpr("text", "if(row_id = 1, 'en', 'de') as lang"))
+    key = lambda d: {r["row_id"]: (r["lang_pred"], r["lang_prob"] and round(r["lang_prob"], 9)) for r in d.collect()}
+    here, joined = langid.langid_predict(docs, model, "text"), langid.langid_predict(docs, model, "text", max_model_rows=0)
+    assert key(here) == key(joined)
+    assert key(here)[3] == (None, None) and key(here)[1][0] == "en"
