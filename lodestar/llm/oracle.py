@@ -2,9 +2,78 @@
 
 from __future__ import annotations
 
+from lodestar.llm import line_dedup, mixing
+from lodestar.llm import quality_rules as rules
+
 _WS = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LIMITS = rules.LineRules()
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_CLOSING = ", ".join(map(_quoted, rules.CLOSING))
 
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": f"""
+        with u as (
+            select doc_id, unnest(string_split(text, chr(10))) as line,
+                   generate_subscripts(string_split(text, chr(10)), 1) as i
+            from documents where text is not null),
+        o as (
+            select doc_id, line, coalesce(sum(length(line) + 1) over (
+                       partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start
+            from u),
+        w as (select *, regexp_extract_all(line, '{_WORD}') as words from o),
+        k as (
+            select doc_id, start, start + length(line) as "end", len(words)::bigint as n_words,
+                   translate(array_to_string(words, ' '), '{_UPPER}', '{_LOWER}') as norm
+            from w where len(words) >= {line_dedup.MIN_WORDS}),
+        r as (
+            select *, count(*) over (partition by norm) as occurrences, first_value(doc_id) over x as keep_doc_id,
+                   first_value(start) over x as keep_start, row_number() over x as place
+            from k
+            window x as (partition by norm order by doc_id nulls last, start
+                         rows between unbounded preceding and unbounded following))
+        select doc_id, start, "end", n_words, keep_doc_id, keep_start, occurrences from r where place > 1""",
+    "op4_mix_sources": f"""
+        with d as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,
+                   ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')), 1, {mixing.KEY_BITS // 4}))::bigint as key
+            from documents),
+        s as (
+            select source, sum(size)::bigint as source_size,
+                   ({list(mixing.WEIGHTS)})[((row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} + 1)::int]::double as w,
+                   row_number() over (order by source nulls last) as n
+            from d group by source),
+        p as (
+            select *, {mixing.MAX_PASSES} * source_size::double as cap,
+                   row_number() over (order by {mixing.MAX_PASSES} * source_size::double / w, n) as place
+            from s),
+        l as (
+            select *, (sum(source_size) over ())::double
+                        - coalesce(sum(cap) over (order by place rows between unbounded preceding and 1 preceding), 0) as rest,
+                   sum(w) over () - coalesce(sum(w) over (order by place rows between unbounded preceding and 1 preceding), 0) as weight
+            from p),
+        f as (select arg_min(rest, place) as rest, arg_min(weight, place) as weight, min(place) as place
+              from l where cap * weight > rest * w),
+        t as (select l.source, l.source_size,
+                     case when f.place is null or l.place < f.place then l.cap else f.rest * l.w / f.weight end as target
+              from l cross join f),
+        q as (select *, case when source_size > 0 then round_even(target, 0)::bigint // source_size else 0 end as full_passes,
+                     case when source_size > 0 then round_even(target, 0)::bigint % source_size else 0 end as rest
+              from t),
+        k as (select source, key, sum(size) as words from d group by source, key),
+        c as (select source, key, words,
+                     coalesce(sum(words) over (partition by source order by key rows between unbounded preceding and 1 preceding), 0) as done
+              from k)
+        select d.doc_id, d.size, q.source_size, q.target,
+               (d.size * (q.full_passes + (c.done + c.words / 2.0 < q.rest)::int))::bigint as taken
+        from d join q on d.source is not distinct from q.source
+               join c on c.source is not distinct from d.source and c.key = d.key""",
     "op7_exact_dedup": f"""
         with n as (
             select doc_id, length(coalesce(text, '')) as chars,
@@ -18,4 +87,34 @@ ORACLE: dict[str, str] = {
             window w as (partition by text_sha256 order by chars desc, doc_id nulls last
                          rows between unbounded preceding and unbounded following))
         select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from r""",
+    "op8_quality_rules": f"""
+        with d as (
+            select row_number() over () as row, doc_id, coalesce(text, '') as text,
+                   regexp_extract_all(coalesce(text, ''), '{_WORD}') as words
+            from documents),
+        g as (select row, i, array_to_string(words[i:i + {rules.WINDOW - 1}], ' ') as five
+              from (select row, words, unnest(range(1, len(words) - {rules.WINDOW - 2})) as i from d)),
+        twice as (select row, i from g qualify count(*) over (partition by row, five) > 1),
+        covered as (select row, count(distinct i + k) as n_repeat_words
+                    from twice, range(0, {rules.WINDOW}) a(k) group by row),
+        l as (select row, unnest(string_split(text, chr(10))) as line from d),
+        m as (select row, line, regexp_extract_all(line, '{_WORD}') as words from l),
+        e as (select row, line, words, len(words) as n, len(list_filter(words, lambda x: regexp_matches(x, {_quoted('^[' + rules.SEPARATORS + ']+$')}))) as seps
+              from m where len(words) > 0),
+        j as (select row, line, length(regexp_replace(line, '{_WS}', '', 'g')) as chars,
+                     (right(words[-1], 1) not in ({_CLOSING}) and n <= {_LIMITS.max_unpunctuated})
+                     or (seps >= {_LIMITS.min_separators} and seps >= n * {_LIMITS.separator_share}::double)
+                     or regexp_matches(line, {_quoted(rules.MENU_PATTERN)})
+                     or regexp_matches(line, {_quoted(rules.BOILERPLATE_PATTERN)}) as failed
+              from e),
+        s as (select row, count(*) - count(distinct line) as n_dup_lines, sum(chars) as word_chars,
+                     coalesce(sum(chars) filter (not failed), 0) as kept_chars
+              from j group by row),
+        b as (select d.doc_id, len(d.words)::bigint as n_words, coalesce(s.word_chars, 0)::bigint as word_chars,
+                     (length(d.text) - length(regexp_replace(d.text, '[{rules.SYMBOLS}]', '', 'g')))::bigint as n_symbols,
+                     coalesce(s.n_dup_lines, 0)::bigint as n_dup_lines, coalesce(c.n_repeat_words, 0)::bigint as n_repeat_words,
+                     coalesce(s.kept_chars, 0)::bigint as kept_chars
+              from d left join s using (row) left join covered c using (row)),
+        v as (select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEATED_PERCENT} * n_words as base_failed from b)
+        select *, not base_failed and kept_chars >= word_chars * {_LIMITS.min_kept}::double as kept from v""",
 }
