@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain over labelled categories.
 
 The categories are predicted one after the other by sparse linear models on
-hashed words; each model also sees the probabilities of the categories before
+hashed words and word stems; each model also sees the probabilities of the categories before
 it. Those probabilities are out-of-fold while a later model is trained: the
 sample is dealt into folds, and a fold is scored by a model that never saw it.
 For prediction each category has one model, trained on all folds.
@@ -36,14 +36,19 @@ CATEGORIES = ("quality", "toxic")
 MAX_ROWS = 20_000         # bound of the labelled sample
 FOLDS = 5
 FEATURE_BITS = 18
+STEMS = (3, 5, 7)
 SEED = 2
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def word_features(text: str | None, bits: int = FEATURE_BITS) -> np.ndarray:
-    """Distinct hashed lower-cased words of the whole text, sorted."""
+    """Distinct hashed features of the whole text, sorted: its lower-cased words and their stems
+    (the first ``STEMS`` letters of a longer word)."""
+    words = set(_WORDS.findall((text or "").lower()))
+    parts = {w + " " for w in words}
+    parts.update(w[:k] for w in words for k in STEMS if len(w) > k)
     mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) & mask for w in set(_WORDS.findall((text or "").lower()))), np.int32))
+    return np.unique(np.fromiter((zlib.crc32(x.encode()) & mask for x in parts), np.int32))
 
 
 def _with_chain(index: np.ndarray, before: Sequence[float], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +73,7 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_r
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, max_rows: int = MAX_ROWS,
         folds: int = FOLDS, bits: int = FEATURE_BITS, seed: int = SEED,
-        params: linear.Ftrl = linear.Ftrl(alpha=0.1, l1=1.0, l2=0.5, epochs=3)) -> list[np.ndarray | None]:
+        params: linear.Ftrl = linear.Ftrl(alpha=0.3, l1=8.0, l2=0.1, epochs=4)) -> list[np.ndarray | None]:
     """One weight matrix a category (null where no label was seen), in the chain's order."""
     small_batches(docs.sparkSession)
     width = (1 << bits) + len(categories)
