@@ -107,6 +107,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORI
     return models
 
 
+def _lists(values: list) -> pd.Series:
+    """A column of lists, also where there are none."""
+    out = np.empty(len(values), object)
+    for k, v in enumerate(values):
+        out[k] = np.asarray(v)
+    return pd.Series(out)
+
+
 def _learner(c: int, folds: int, bits: int, width: int, params: linear.Ftrl):
     """The kernel that fits category ``c`` for one fold."""
 
@@ -121,12 +129,12 @@ def _learner(c: int, folds: int, bits: int, width: int, params: linear.Ftrl):
         w = linear.train(known, width, 2, params) if known else None
         if fold < 0:
             at = np.flatnonzero(np.abs(w).sum(1)) if w is not None else np.empty(0, int)
-            return pd.DataFrame({"k": [-1], "i": [at.astype(np.int32)], "y": [[]],
-                                 "before": [w[at].ravel() if w is not None else []]})
+            return pd.DataFrame({"k": [-1], "i": _lists([at.astype(np.int32)]), "y": _lists([[]]),
+                                 "before": _lists([w[at].ravel() if w is not None else []])})
         p = [_probability(w, i, v) if w is not None else 0.5 for (i, v, _), s in zip(vectors, inside) if s]
         done = part[inside]
-        return pd.DataFrame({"k": done["k"], "i": done["i"], "y": done["y"],
-                             "before": [[*b, x] for b, x in zip(done["before"], p)]})
+        return pd.DataFrame({"k": done["k"].to_numpy(), "i": _lists(list(done["i"])), "y": _lists(list(done["y"])),
+                             "before": _lists([[*b, x] for b, x in zip(done["before"], p)])})
 
     return learn
 
