@@ -38,7 +38,7 @@ F2 = f"""f2 AS (SELECT CAST(doc_id AS VARCHAR) AS url, source AS identifier,
 CORPUS_SELECT = """SELECT url, identifier, array_to_string(code_tokens, ' ') AS code,
        array_to_string(docstring_tokens, ' ') AS query FROM f2"""
 
-DOC_WORDS = f"""ds AS (SELECT text AS t FROM documents UNION ALL SELECT split_part(text, chr(10), 1) AS t FROM documents),
+DOC_WORDS = f"""ds AS (SELECT text AS t FROM documents),
 wc AS (SELECT w AS word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(t, '{PAT}')) AS w FROM ds) GROUP BY w)"""
 
 WORD_VOCAB_CTE = f"""{F1},

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar import config
 from lodestar.config import LshParams
-from lodestar.functions.text import first_line, pretokens
+from lodestar.functions.text import pretokens
 from lodestar.operators import bpe, corpus, encoder, langid, lsh, rowid, train
 from lodestar.plans import fixtures as fx
 from lodestar.plans.common import rounded
@@ -75,8 +75,7 @@ def q_text_stream(spark, sf_dir):
 
 # ----------------------------------------------------------- tokenizer ----
 def _doc_stream(spark, sf_dir) -> DataFrame:
-    docs = fx.load(spark, sf_dir, "documents")
-    return docs.select(F.explode(F.array(F.col("text"), first_line("text"))).alias("text"))
+    return fx.load(spark, sf_dir, "documents").select("text")
 
 
 def q_pretokenize(spark, sf_dir):
