@@ -58,9 +58,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused path under the shared checkpoint directory."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused path under the shared checkpoint directory.
+
+    Its parent folder is removed when the driver's JVM ends.
+    """
+    sc = spark.sparkContext
+    parent = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/scratch/{uuid.uuid4().hex}")
+    fs = parent.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(parent)
+    fs.deleteOnExit(parent)
+    return f"{parent.toString()}/{name}"
 
 
 _SHIPPED: set[int] = set()
