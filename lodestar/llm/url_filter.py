@@ -3,10 +3,10 @@
 Host labels such as ``freebets`` are split by a unigram model: the Viterbi path
 maximises the sum of log word probabilities, unknown stretches pay by length.
 The unigram counts come from all words of the pages' visible text and all
-delimited words of their URLs; the ``max_words`` most frequent form the
-vocabulary. A multinomial naive Bayes model is counted over all pages that a
+delimited words of their URLs; the most frequent, at most ``max_words``, form
+the vocabulary. A multinomial naive Bayes model is counted over all pages that a
 rule decides (the rule is the label), with add-one smoothing; the
-``max_tokens`` most frequent tokens are kept. Both models are bounded by those
+most frequent tokens, at most ``max_tokens``, are kept. Both models are bounded by those
 parameters and broadcast; judging a url is local to its row.
 
 Rules: a rule fits its host and all subdomains if the url's path starts with the
@@ -15,7 +15,7 @@ stands. Otherwise ``block`` if the model's probability of it exceeds one half.
 
 Defined results: a null url, or one without ``://``, has empty host and path; a
 url without tokens, or without rule-decided pages to learn from, is allowed.
-Ties of frequency go by code point, a tie of verdicts to ``allow``. Repeated
+Words of equal frequency are kept or left together, a tie of verdicts goes to ``allow``. Repeated
 rows count and are judged each. Extra columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import small_batches
+from lodestar.llm.common import pinned, small_batches
 
 # --- fixed values: (host, path, verdict) --------------------------------------
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -110,9 +110,17 @@ class Segmenter:
         return [*words, *["p:" + w for part in parts for w in part]]
 
 
-def _top(words: DataFrame, col: str, bound: int) -> DataFrame:
-    counted = words.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(F.desc("n"), col).limit(bound)
+def _most_frequent(counted: DataFrame, bound: int) -> list:
+    """Rows of ``counted(..., n)`` with the largest ``n``, at most ``bound``: words of equal count go
+    in or stay out together, so none is preferred. The driver first sees one row a distinct count."""
+    counted = pinned(counted)
+    room, floor = bound, 0
+    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["n"]):
+        room -= r["k"]
+        if room < 0:
+            floor = r["n"]
+            break
+    return counted.filter(F.col("n") > floor).collect()
 
 
 def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
@@ -123,7 +131,7 @@ def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
     url_words = F.regexp_extract_all(F.lower(named), F.lit(r"(?<=-)\p{L}+|\p{L}+(?=-)|(?<=[/=&?])\p{L}+"), 0)
     words = pages.select(F.explode(F.concat(F.regexp_extract_all(F.lower(visible), F.lit(r"\p{L}+"), 0), url_words)).alias("w"))
     words = words.filter(F.length("w").between(1, MAX_WORD_CHARS))
-    return {r["w"]: r["n"] for r in _top(words, "w", max_words).collect()}      # at most max_words rows
+    return {r["w"]: r["n"] for r in _most_frequent(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), max_words)}
 
 
 def fit(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_words: int = MAX_WORDS,
@@ -145,11 +153,12 @@ def fit(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_wor
 
     tokens = labelled.mapInArrow(run, "y string, t array<string>")
     pairs = tokens.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("t"), (F.col("y") == "block").cast("long").alias("b"))
-    counted = pairs.groupBy("t").agg(F.sum("b").alias("block"), F.sum(1 - F.col("b")).alias("allow"))
-    rows = counted.orderBy(F.col("t") != "", F.desc(F.col("block") + F.col("allow")), "t").limit(max_tokens + 1).collect()
-    if not rows:
+    counted = pinned(pairs.groupBy("t").agg(F.sum("b").alias("block"), F.sum(1 - F.col("b")).alias("allow"))
+                     .withColumn("n", F.col("block") + F.col("allow")))
+    docs = counted.filter("t = ''").head()          # the empty token counts the pages
+    if docs is None:
         return words, {}, None
-    docs, rows = rows[0], rows[1:]          # the empty token counts the pages
+    rows = _most_frequent(counted.filter("t <> ''"), max_tokens)
     prior = math.log((docs["block"] + 1) / (docs["allow"] + 1))
     block, allow, v = sum(r["block"] for r in rows), sum(r["allow"] for r in rows), len(rows)
     odds = {r["t"]: math.log((r["block"] + 1) / (block + v)) - math.log((r["allow"] + 1) / (allow + v)) for r in rows}

@@ -84,3 +84,9 @@ def test_awkward_pages(spark):
                                        "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as verdict")
     got = u.judge(unlabelled, u.fit(unlabelled)).collect()
     assert [r.verdict for r in got] == ["allow"] * 3
+
+
+def test_vocabulary_bound(spark):
+    counted = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", 1), ("e", 1)], "w string, n long")
+    kept = lambda bound: sorted(r.w for r in u._most_frequent(counted, bound))
+    assert kept(9) == ["a", "b", "c", "d", "e"] and kept(4) == ["a", "b", "c"] and kept(2) == ["a", "b"] and kept(1) == []
