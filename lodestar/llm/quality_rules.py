@@ -24,12 +24,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WHITESPACE, let, without_whitespace, words_of
+from lodestar.llm.common import WHITESPACE, let, words_of
 
 # --- fixed values -----------------------------------------------------------
 SYMBOLS = "#*$%&|<>"
-CLOSING_PATTERN = r"[.!?…。！？:;,\"'”’»)\]][\x20\x09-\x0D]*$"
-SEPARATOR_PATTERN = r"(?<![^\x20\x09-\x0D])[|»›>•·/~-]+(?![^\x20\x09-\x0D])"
+CLOSING = tuple(".!?…。！？:;,\"'”’»)]")
+SEPARATORS = "|»›>•·/~-"
+SEPARATOR_PATTERN = rf"(?<![^\x20\x09-\x0D])[{SEPARATORS}]+(?![^\x20\x09-\x0D])"
 MENU_PATTERN = (r"(?i)^[\x20\x09-\x0D]*(?:(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|"
                 r"back|top|contact|about|help|faq|sitemap|share|print|subscribe)[\x20\x09-\x0D|»›>•·/~-]*)+$")
 BOILERPLATE_PATTERN = (r"(?i)\b(?:cookie policy|uses? cookies|privacy policy|terms of (?:use|service)|"
@@ -54,7 +55,11 @@ class LineRules:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(without_whitespace(line)) > 0
+    return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
+
+
+def _word_chars(text: Column) -> Column:
+    return (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long")
 
 
 def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
@@ -73,18 +78,20 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
         ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(ordered, repeats))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - width),
-                         lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    shifted = [F.slice(words, k + 1, F.size(words) - width + 1).alias(str(k)) for k in range(width)]
+    hashes = F.transform(F.arrays_zip(*shifted), lambda five: F.xxhash64(five))
     return F.when(F.size(words) < width, F.lit(0)).otherwise(let(hashes, covered))
 
 
 def failed_line(line: Column, rules: LineRules) -> Column:
     """Does the line (which has a word) fail a rule?"""
+    # Conjunctions stop at the first false part: most lines end in a mark and hold no separator.
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    last = F.substring(F.rtrim(line, F.lit(WHITESPACE)), -1, 1)
+    punctuation = ~last.isin(*CLOSING) & (n_words <= rules.max_unpunctuated)
     separators = F.regexp_count(line, F.lit(SEPARATOR_PATTERN))
-    punctuation = ~F.rlike(line, F.lit(CLOSING_PATTERN)) & (n_words <= rules.max_unpunctuated)
-    navigation = (((separators >= rules.min_separators) & (separators >= n_words * rules.separator_share))
-                  | F.rlike(line, F.lit(MENU_PATTERN)))
+    navigation = ((F.rlike(line, F.lit(f"[{SEPARATORS}]")) & (separators >= rules.min_separators)
+                   & (separators >= n_words * rules.separator_share)) | F.rlike(line, F.lit(MENU_PATTERN)))
     return punctuation | navigation | F.rlike(line, F.lit(BOILERPLATE_PATTERN))
 
 
@@ -102,15 +109,17 @@ def judge(df: DataFrame, text_col: str = "text", rules: LineRules = LineRules())
         return F.struct((F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
                         F.array_join(good, "\n").alias("cleaned_text"))
 
-    inputs = [F.col(f"`{c}`") for c in df.columns if c not in FIELDS]
     judged = df.select(
-        *inputs, let(words_of(F.col(text_col)), counts).alias("_w"), let(F.split(text, "\n"), lines_of).alias("_l"),
-        F.length(F.translate(text, WHITESPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"),
+        let(words_of(F.col(text_col)), counts).alias("_w"), let(F.split(text, "\n"), lines_of).alias("_l"),
+        _word_chars(text).alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        text.alias("_text"))
     base_failed = ((F.col("_w.n_words") < MIN_WORDS)
                    | (100 * F.col("_w.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("_w.n_words")))
-    kept_chars = F.length(without_whitespace(F.col("_l.cleaned_text"))).cast("long")
-    names = [F.col(f"`{c}`") for c in df.columns if c not in FIELDS]
+    cleaned = F.col("_l.cleaned_text")
+    kept_chars = F.when(cleaned == F.col("_text"), F.col("word_chars")).otherwise(_word_chars(cleaned))
+    names = [F.col(f"_in.`{c}`").alias(c) for c in df.columns if c not in FIELDS]
     return judged.select(
         *names, F.col("_w.n_words"), "word_chars", "n_symbols", F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"),
         base_failed.alias("base_failed"), F.col("_l.cleaned_text"), kept_chars.alias("kept_chars"),
