@@ -8,9 +8,8 @@ of all its occurrences that known instances fill, an instance the noisy-or of
 its patterns; seeds keep score one. What follows a pattern of high confidence
 and enough support is a discovered identifier (kind ``id``).
 
-A pattern's occurrences are counted over every word of every text that holds a
-digit or ``@``; other texts hold no instance, and can only make a pattern look
-worse, never discover anything.
+A pattern's occurrences are counted over every word of every text, also of texts
+that hold no instance: what a pattern mostly introduces is part of its score.
 
 DataFrame functions only; a span's place comes from the lengths of matches and
 of the pieces between them. Possessive patterns keep the matcher linear and its
@@ -29,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import let, pinned, words_of
+from lodestar.llm.common import FILTER_BITS, flag_members, key_bitmap, let, pinned, words_of
 
 # --- fixed values: base kinds in their listed order -----------------------------
 # The matches are those of the plain patterns; possessive forms and the guards
@@ -158,11 +157,15 @@ def _occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _pattern_counts(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """``(pattern, n_all)``: how often each wanted pattern stands before any word."""
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(_has_entity(F.col("t")))
+    texts = df.select(F.col(text_col).alias("t"))
     contexts = let(_normal(words_of(F.col("t"))), lambda w: F.when(F.size(w) > 2, F.transform(
         F.sequence(F.lit(2), F.size(w) - 1), lambda i: _context(F.get(w, i - 2), F.get(w, i - 1)))))
     seen = texts.select(F.explode(contexts).alias("pattern")).filter("pattern is not null")
-    return seen.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("n_all"))
+    # The bitmap lets no wanted pattern go, and keeps most others out of the shuffle; the join is exact.
+    bitmap = key_bitmap(wanted, ["pattern"])
+    near = flag_members(seen, bitmap, ["pattern"], FILTER_BITS, "near").filter("near")
+    counted = near.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_all"))
+    return counted.join(wanted, "pattern", "left_semi")
 
 
 def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT) -> DataFrame:

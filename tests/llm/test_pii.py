@@ -58,6 +58,16 @@ def test_bootstrapping(spark):
     assert all(len(got[i]) == 1 for i in range(12)) and not any(got[200 + i] for i in range(5))
 
 
+def test_patterns_count_in_every_text(spark):
+    """A context that ids fill in the few texts with digits, but that mostly stands in prose, is no pattern."""
+    random.seed(5)
+    docs = [(i, f"we saw the value {random.getrandbits(160):040x} there") for i in range(6)]
+    docs += [(50, "again the value AB12-CD34-EF56 was seen")]
+    prose = [(100 + i, "nobody doubts the value of a good book") for i in range(60)]
+    found = lambda d: {r.doc_id for r in pii.find(spark.createDataFrame(d, "doc_id long, text string")).collect() if r.added}
+    assert found(docs) == {*range(6), 50} and not found(docs + prose)
+
+
 def test_scores_against_plain_loops(spark):
     edges = [("p", "s1", 3, True), ("p", "s2", 2, True), ("p", "s3", 1, True), ("p", "x", 2, False), ("q", "x", 4, False),
              ("q", "s1", 1, True), ("q", "s2", 1, True), ("q", "s3", 1, True), ("r", "x", 1, False), ("r", "y", 1, False)]
