@@ -90,3 +90,14 @@ def test_vocabulary_bound(spark):
     counted = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", 1), ("e", 1)], "w string, n long")
     kept = lambda bound: sorted(r.w for r in u._most_frequent(counted, bound))
     assert kept(9) == ["a", "b", "c", "d", "e"] and kept(4) == ["a", "b", "c"] and kept(2) == ["a", "b"] and kept(1) == []
+
+
+def test_no_word_or_token_is_left_out(spark):
+    """However few words and names are broadcast, model and verdicts are those of the whole counts."""
+    pages = _pages(spark)
+    words, odds, _ = whole = u.fit(pages)
+    want = {r.page_id: (r.verdict, r.p_block) for r in u.judge(pages, whole).collect()}
+    for bound in (3, 0):
+        few = u.fit(pages, max_words=bound, max_tokens=bound)
+        assert dict(few[0]) == dict(words) and dict(few[1]) == dict(odds)
+        assert {r.page_id: (r.verdict, r.p_block) for r in u.judge(pages, few).collect()} == want
