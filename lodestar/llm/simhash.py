@@ -143,7 +143,7 @@ def _meet_again(index: DataFrame, max_bits: int) -> DataFrame:
 
 
 def _labelled(fps: DataFrame, max_bits: int, hot_bucket: int) -> DataFrame:
-    """``(fp, component)`` of every distinct fingerprint."""
+    """``(fp, root, component)`` of every distinct fingerprint; the root tells components apart whatever their ids."""
     classes = pinned(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     # Nodes are fingerprints: they exist even where every doc_id of a class is null.
     nodes = components(links(classes.select("fp"), max_bits, hot_bucket))
@@ -152,7 +152,7 @@ def _labelled(fps: DataFrame, max_bits: int, hot_bucket: int) -> DataFrame:
     lowest = member.groupBy("root").agg(F.min("rep").alias("component"))
     lowest = lowest.select((F.col("root") + F.lit(0)).alias("_root"), "component")
     return (member.join(lowest, F.col("root") == F.col("_root"))
-            .select((F.col("fp") + F.lit(0)).alias("_fp"), "component"))
+            .select((F.col("fp") + F.lit(0)).alias("_fp"), "root", "component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
@@ -169,21 +169,32 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                          max_bits: int = MAX_BITS, seed: int = HASH_SEED, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """One row of each component, its smallest doc_id; the input's columns.
 
-    Rows outside any group pass without a shuffle (a fixed-size bitmap of the
-    grouped ids tells them); the others are joined with the representatives, of
-    which repeated rows leave one. A row without doc_id has no decision of its
-    own and stays.
+    Rows are told apart by doc_id and fingerprint, so unrelated texts that share
+    a doc_id are judged each. Rows outside any group pass without a shuffle (a
+    fixed-size bitmap of the grouped ids tells most of them); the others are
+    fingerprinted again and joined with the decisions, of repeated rows one
+    stays. A row without doc_id has no decision of its own and stays.
     """
-    groups = pinned(near_duplicates(df, id_col, text_col, shingle, max_bits, seed, hot_bucket)
-                    .select(F.col(id_col).alias("_id"), "component_id"))
-    sizes = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    grouped = (groups.join(sizes.select((F.col("component_id") + F.lit(0)).alias("_c")),
-                           F.col("component_id") == F.col("_c"))
-               .select("_id", "component_id"))
+    fps = pinned(fingerprints(df, id_col, text_col, shingle, seed))
+    labelled = _labelled(fps, max_bits, hot_bucket)
+    groups = pinned(fps.join(labelled, F.col("fp") == F.col("_fp")).select(F.col("id").alias("_id"), "fp", "root", "component"))
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    grouped = (groups.join(sizes.select((F.col("root") + F.lit(0)).alias("_r")), F.col("root") == F.col("_r"))
+               .filter("_id is not null")
+               .select("_id", F.col("fp").alias("_fp"), "root", (F.col("_id") == F.col("component")).alias("lowest")).distinct())
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(id_col).alias("_id"))
     packed = flag_members(packed, key_bitmap(grouped, ["_id"]), ["_id"], FILTER_BITS, "_grouped")
-    lost = grouped.filter("_id <> component_id").select(F.col("_id").alias("_lost")).distinct()
     alone = packed.filter("not _grouped or _id is null").select("_all.*")
-    one = (packed.filter("_grouped and _id is not null").join(lost, F.col("_id") == F.col("_lost"), "left_anti")
-           .groupBy("_id").agg(F.min_by("_all", F.xxhash64("_all")).alias("_all")).select("_all.*"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field(text_col).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(t, shingle, seed) for t in texts], pa.int64())],
+                                             names=["_all", "id", "fp"])
+
+    maybe = packed.filter("_grouped and _id is not null").select("_all", F.col("_id").alias("id"))
+    maybe = maybe.mapInArrow(run, T.StructType([*maybe.schema.fields, T.StructField("fp", T.LongType())]))
+    judged = maybe.join(grouped, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left")
+    alone = alone.unionByName(judged.filter("root is null").select("_all.*"))
+    one = judged.filter("lowest").groupBy("root").agg(F.min_by("_all", F.xxhash64("_all")).alias("_all")).select("_all.*")
     return alone.unionByName(one)

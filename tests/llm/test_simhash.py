@@ -91,6 +91,13 @@ def test_drop(rows, clashing, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    a, b, c = ("one two three four five six seven", "red green blue white black grey pink", "north east south west up down out")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, c), (2, a), (3, b), (4, b), (5, c), (5, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == [(1, a), (1, b), (2, c)]
+    assert simhash.drop_near_duplicates(docs.limit(2)).count() == 2
+
+
 def test_same_hash_as_the_session(spark):
     """The fingerprint's hash is the public XXH64 with seed 42."""
     text = "été one two"
