@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import line_dedup, mixing
+from lodestar.llm import collocations, line_dedup, mixing
 from lodestar.llm import quality_rules as rules
 
 _WS = r"[\x20\x09-\x0D]"
@@ -117,4 +117,32 @@ ORACLE: dict[str, str] = {
               from d left join s using (row) left join covered c using (row)),
         v as (select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEATED_PERCENT} * n_words as base_failed from b)
         select *, not base_failed and kept_chars >= word_chars * {_LIMITS.min_kept}::double as kept from v""",
+    "op11_collocations": f"""
+        with p as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+            from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+        g as (
+            select lang, len(t) as n_words, array_to_string(t, ' ') as phrase, count(*) as f
+            from (select lang, ws[i:i + m - 1] as t
+                  from (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w), (select unnest([1, 2, 3, 4]) as m)
+                  where i + m - 1 <= len(ws))
+            group by lang, t having count(*) >= {collocations.MIN_COUNT}),
+        c as (select *, string_split(phrase, ' ') as ws from g where n_words > 1),
+        k as (select c.lang, c.n_words, c.phrase, c.ws, c.f as a, k, array_to_string(ws[:k], ' ') as x, array_to_string(ws[k + 1:], ' ') as y
+              from c, (select unnest([1, 2, 3]) as k) where k < n_words),
+        s as (select k.lang, k.n_words, k.phrase, k.ws, k.a, k.k, x.f as l, y.f as r,
+                     (k.a::hugeint * {collocations.SCALE}) // (x.f::hugeint + y.f) as score
+              from k join g x on x.lang = k.lang and x.phrase = k.x join g y on y.lang = k.lang and y.phrase = k.y),
+        b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        i as (select lang, array_to_string(ws[o:o + m - 1], ' ') as phrase, max(f) as longer
+              from c, (select unnest([2, 3]) as m), (select unnest([1, 2, 3]) as o)
+              where m < n_words and o + m - 1 <= n_words group by all),
+        n as (select lang, sum(len(ws))::bigint as n from w group by lang)
+        select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n,
+               score::bigint as score
+        from b join n on n.lang = b.lang left join i on i.lang = b.lang and i.phrase = b.phrase
+        where i.longer is null or 100 * i.longer::hugeint < {collocations.COVERED} * a::hugeint
+        qualify rank <= {collocations.TOP}""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import (bpe_codec, exact_dedup, langid, line_dedup, mixing, pii, quality_rules, simhash, toxicity,
+from lodestar.llm import (bpe_codec, collocations, exact_dedup, langid, line_dedup, mixing, pii, quality_rules, simhash, toxicity,
                           url_filter)
 from lodestar.llm.common import table
 
@@ -82,6 +82,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages.select("url", "html")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of ``documents``."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii_contexts": op9_pii_contexts,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
 }
