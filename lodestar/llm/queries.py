@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import (bpe_codec, collocations, exact_dedup, langid, line_dedup, mixing, pii, quality_rules, simhash, toxicity,
+from lodestar.llm import (bpe_codec, collocations, conversations, exact_dedup, langid, line_dedup, mixing, pii, quality_rules, simhash, toxicity,
                           url_filter)
 from lodestar.llm.common import table
 
@@ -87,6 +87,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text of every conversation after damage."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_contexts": op9_pii_contexts,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
 }
