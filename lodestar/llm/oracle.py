@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import collocations, line_dedup, mixing
+from lodestar.llm import collocations, licenses, line_dedup, mixing
 from lodestar.llm import quality_rules as rules
 
 _WS = r"[\x20\x09-\x0D]"
@@ -17,6 +17,9 @@ def _quoted(pattern: str) -> str:
 
 _CLOSING = ", ".join(map(_quoted, rules.CLOSING))
 
+_PHRASES = ", ".join(f"({_quoted(v)}, {p.split(' ')})" for p, v in licenses.PHRASES.items())
+_NOTICES = ", ".join(f"({_quoted(t.label)}, {list(t.tokens)}, {t.need})" for t in licenses.templates())
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": f"""
         with u as (
@@ -145,4 +148,27 @@ ORACLE: dict[str, str] = {
         from b join n on n.lang = b.lang left join i on i.lang = b.lang and i.phrase = b.phrase
         where i.longer is null or 100 * i.longer::hugeint < {collocations.COVERED} * a::hugeint
         qualify rank <= {collocations.TOP}""",
+    "op13_license_scan": f"""
+        with d as (
+            select doc_id, row_number() over () as row, regexp_extract_all(
+                translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as ws
+            from documents),
+        p as (select * from (values {_PHRASES}) as v(label, part)),
+        t as (select * from (values {_NOTICES}) as v(label, tokens, need)),
+        b as (
+            select row, i - 1 as place, label
+            from (select row, ws, unnest(range(1, len(ws) + 1)) as i from d) e, p where ws[i:i + len(part) - 1] = part),
+        m as (
+            select row, label, len(list_intersect(list_distinct(tokens), block)) / len(tokens) as share
+            from (select row, ws[i:i + {licenses.BLOCK_WORDS} - 1] as block
+                  from (select row, ws, unnest(range(1, len(ws) + 1, {licenses.BLOCK_WORDS // 2})) as i from d)) k, t
+            where len(list_intersect(tokens, block)) >= need),
+        g as (select row, count(*) as n_base, min(place) as first_word, max(place) as last_word,
+                     string_agg(distinct label, ',' order by label) as base_labels from b group by row),
+        s as (select row, max(share) as score from m group by row),
+        l as (select row, string_agg(distinct label, ',' order by label) as labels
+              from (select row, label from b union all select row, label from m) group by row)
+        select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+        from d left join g using (row) left join s using (row) left join l using (row)""",
 }

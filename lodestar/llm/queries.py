@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import (bpe_codec, collocations, conversations, exact_dedup, langid, line_dedup, mixing, pii, quality_rules, simhash, toxicity,
-                          url_filter)
+from lodestar.llm import (bpe_codec, collocations, conversations, exact_dedup, langid, licenses, line_dedup, mixing, pii,
+                          quality_rules, simhash, toxicity, url_filter)
 from lodestar.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -92,6 +92,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -105,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scan": op13_license_scan,
 }
