@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,49 @@ def flag_members(df: DataFrame, bitmap: DataFrame, cols: list[str], bits: int, f
               .join(F.broadcast(bitmap), "_page", "left")
               .withColumn(flag, F.coalesce(hit, F.lit(False)))
               .drop("_page", "_slot", "_bits"))
+
+
+# --- bitmaps for Python kernels ----------------------------------------------
+
+MAX_BITS = 28             # a bitmap that tasks hold has 2**28 bits (32 MB) at most
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose output bits depend on all input bits."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def bits_for(n_keys: int) -> int:
+    """Bits that address 16 slots a key."""
+    return max(_PAGE, (16 * n_keys).bit_length())
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """Set of evenly spread 64-bit numbers by their upper ``bits`` bits; it may hold more, never less."""
+    bits: int
+    data: np.ndarray
+
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        slot = (numbers >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.data[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def collect_bitmap(keys: DataFrame, col: str, width: int = 64) -> Bitmap:
+    """Bitmap of the ``width``-bit numbers in ``col``; the frame is read twice, so pin it.
+
+    At most ``2 ** (MAX_BITS - 15)`` pages of 4 KB reach the driver.
+    """
+    bits = min(bits_for(keys.count()), MAX_BITS)
+    slot = F.shiftrightunsigned(F.col(col), width - bits)
+    pages = (keys.select(slot.alias("_s")).groupBy(F.shiftright("_s", _PAGE).alias("page"))
+             .agg(F.bitmap_construct_agg(F.col("_s").bitwiseAND(F.lit((1 << _PAGE) - 1))).alias("bits")))
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (_PAGE - 3)
+    for row in pages.collect():
+        data[row["page"] * size:(row["page"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return Bitmap(bits, data)

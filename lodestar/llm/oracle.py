@@ -22,26 +22,43 @@ _NOTICES = ", ".join(f"({_quoted(t.label)}, {list(t.tokens)}, {t.need})" for t i
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": f"""
-        with u as (
-            select doc_id, unnest(string_split(text, chr(10))) as line,
-                   generate_subscripts(string_split(text, chr(10)), 1) as i
+        with t as (
+            select doc_id, row_number() over () as row, regexp_extract_all(text, '{_WORD}{_WS}*') as toks,
+                   len(text) - len(regexp_replace(text, '^{_WS}+', '')) as lead
             from documents where text is not null),
-        o as (
-            select doc_id, line, coalesce(sum(length(line) + 1) over (
-                       partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start
-            from u),
-        w as (select *, regexp_extract_all(line, '{_WORD}') as words from o),
-        k as (
-            select doc_id, start, start + length(line) as "end", len(words)::bigint as n_words,
-                   translate(array_to_string(words, ' '), '{_UPPER}', '{_LOWER}') as norm
-            from w where len(words) >= {line_dedup.MIN_WORDS}),
+        w as (select doc_id, row, lead, unnest(toks) as tok, generate_subscripts(toks, 1) as i from t),
+        x as (
+            select *, regexp_extract(tok, '{_WORD}') as raw, translate(raw, '{_UPPER}', '{_LOWER}') as word,
+                   lead + coalesce(sum(length(tok)) over (
+                       partition by row order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+                   (regexp_matches(raw, '[{line_dedup.CLOSING}]$') or regexp_matches(tok, '\n{_WS}*\n'))::int as ends
+            from w),
+        c as (select *, coalesce(sum(ends) over (
+                  partition by row order by i rows between unbounded preceding and 1 preceding), 0) as clause from x),
+        l as (select *, count(*) over (partition by row, clause) as size from c),
+        e as (select *, case when size > {line_dedup.LONG} and ('0x' || substr(md5(word), 1, 2))::int % {line_dedup.CUT} = 0
+                             then 1 else ends end as last from l),
+        n as (select *, coalesce(sum(last) over (
+                  partition by row order by i rows between unbounded preceding and 1 preceding), 0) as unit from e),
+        u as (
+            select doc_id, row, unit, min(start) as start, max(start + length(raw)) as "end", count(*) as n,
+                   string_agg(word, ' ' order by i) as norm
+            from n group by doc_id, row, unit),
+        p as (
+            select *, lead(norm) over o as next, lead("end") over o as end_2, lead(n) over o as n_2, count(*) over (partition by row) as k
+            from u window o as (partition by row order by unit)),
+        q as (
+            select doc_id, row, unit, start, coalesce(end_2, "end") as "end", n, coalesce(n_2, 0) as n_2,
+                   case when k = 1 then norm else norm || chr(10) || next end as key
+            from p where next is not null or k = 1),
         r as (
-            select *, count(*) over (partition by norm) as occurrences, first_value(doc_id) over x as keep_doc_id,
-                   first_value(start) over x as keep_start, row_number() over x as place
-            from k
-            window x as (partition by norm order by doc_id nulls last, start
-                         rows between unbounded preceding and unbounded following))
-        select doc_id, start, "end", n_words, keep_doc_id, keep_start, occurrences from r where place > 1""",
+            select *, row_number() over x as place, first_value(doc_id) over x as keep_doc_id, first_value(start) over x as keep_start
+            from q window x as (partition by key order by doc_id nulls last, row, unit)),
+        g as (select *, unit - row_number() over (partition by row order by unit) as island from r where place > 1)
+        select doc_id, min(start) as start, max("end") as "end", (sum(n) + arg_max(n_2, unit))::bigint as n_words,
+               count(*) + (arg_max(n_2, unit) > 0)::bigint as n_units,
+               arg_min(keep_doc_id, unit) as keep_doc_id, arg_min(keep_start, unit) as keep_start
+        from g group by doc_id, row, island having sum(n) + arg_max(n_2, unit) >= {line_dedup.MIN_WORDS}""",
     "op4_mix_sources": f"""
         with d as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,

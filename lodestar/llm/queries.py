@@ -16,7 +16,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of ``documents`` that repeat an earlier line of 20 words or more."""
+    """Spans of ``documents`` that repeat earlier passages of 30 words or more."""
     return line_dedup.repeated_spans(table(spark, sf_dir, "documents")).withColumnRenamed("keep_id", "keep_doc_id")
 
 
