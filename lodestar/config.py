@@ -53,10 +53,14 @@ MRR_POOL = MRR_DISTRACTORS + 1
 @dataclass(frozen=True)
 class LshParams:
     """Signed-random-projection index parameters (stand-in for the tree count)."""
-    n_tables: int = 64
-    n_bits: int = 6
+    n_bits: int = 256          # bits of a vector's signature; the first ones number its bucket
+    bucket_rows: int = 32      # mean codes of a bucket: sets the depth from the corpus size
+    margin: float = 2.5        # a bit whose margin (in standard units) is larger is never probed both ways
+    n_probes: int = 1024       # buckets a query visits at most, nearest first
+    oversample: float = 1.5    # codes scored exactly: oversample * sqrt(k * corpus)
     seed: int = SEED
-    chunk_rows: int = 4096     # max corpus rows one kernel call scores per bucket
+    chunk_rows: int = 4096     # codes of one kernel call
+    tile_rows: int = 4096      # queries of one kernel call
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from lodestar.plans.oracle import F1, NEG_INF, TOWERS, cos  # noqa: F401
 WORD_VOCAB = config.VOCAB_SIZE
 DIM = config.ENCODING_DIM
 SEED = config.SEED
+LSH = config.LshParams()
 L_Q = config.QUERY_LENGTH
 L_C = config.CODE_LENGTH
 
@@ -120,16 +121,28 @@ best AS (SELECT doc_id, max(score) AS mx, first(lang ORDER BY score DESC, lang)
 pr AS (SELECT g.doc_id, b.lang_pred, 1.0 / sum(exp(g.score - b.mx)) AS lang_prob
        FROM grid g JOIN best b ON g.doc_id = b.doc_id GROUP BY g.doc_id, b.lang_pred)"""
 
-PLANES = f"""pl0 AS (SELECT t, b, d, CASE WHEN {md5u(f"'{SEED}:' || t || ':' || b || ':' || d")} < 0.5
-                                THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s
-        FROM range(0, 64) x(t), range(0, 6) y(b), range(0, 64) z(d)),
-pl AS (SELECT t, b, list(s ORDER BY d) AS p FROM pl0 GROUP BY t, b),
-bk AS (SELECT c.row_id AS code_id, pl.t AS tbl,
-              sum(CASE WHEN list_dot_product(c.cv, pl.p) >= 0 THEN (1 << pl.b) ELSE 0 END) AS bucket
-       FROM t c, pl GROUP BY c.row_id, pl.t),
-qbk AS (SELECT q.row_id AS query_id, pl.t AS tbl,
-              sum(CASE WHEN list_dot_product(q.qv, pl.p) >= 0 THEN (1 << pl.b) ELSE 0 END) AS bucket
-       FROM t q, pl GROUP BY q.row_id, pl.t)"""
+_DEPTH = (f"(SELECT greatest(CASE WHEN count(*) > {LSH.bucket_rows} THEN ceil(log2(count(*) / {LSH.bucket_rows}.0)) ELSE 0 END, 0)::INT "
+          "AS depth, count(*) AS n FROM t)")
+PLANES = f"""pl0 AS (SELECT b, d, CASE WHEN {md5u(f"'{SEED}:' || b || ':' || d")} < 0.5
+                             THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s
+        FROM range(0, {LSH.n_bits}) y(b), range(0, 64) z(d)),
+pl AS MATERIALIZED (SELECT b, list(s ORDER BY d) AS p FROM pl0 GROUP BY b),
+dp AS {_DEPTH},
+cb AS MATERIALIZED (SELECT c.row_id AS code_id, pl.b, list_dot_product(c.cv, pl.p) >= 0 AS bit FROM t c, pl),
+bk AS MATERIALIZED (SELECT code_id, coalesce(sum(CASE WHEN bit AND b < depth THEN 1 << b END), 0)::BIGINT AS bucket FROM cb, dp GROUP BY code_id)"""
+# margins of a query, the neighbouring buckets no trusted bit forbids (all of them are within n_probes here), estimates
+PROBES = f"""qm AS MATERIALIZED (SELECT q.row_id AS query_id, pl.b,
+                 list_dot_product(q.qv, pl.p) / sqrt(list_dot_product(q.qv, q.qv)) AS z FROM t q, pl),
+pb AS (SELECT query_id, u.bucket FROM qm, dp, (SELECT range AS bucket FROM range(0, (SELECT (1 << depth)::BIGINT FROM dp))) u
+       GROUP BY query_id, u.bucket
+       HAVING bool_and(b >= depth OR abs(z) <= {LSH.margin} OR (z >= 0) = (((u.bucket >> b::BIGINT) & 1) = 1))),
+qz AS (SELECT query_id, list(z ORDER BY b) AS z FROM qm GROUP BY query_id),
+cz AS (SELECT code_id, list(CASE WHEN bit THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY b) AS s FROM cb GROUP BY code_id),
+es AS (SELECT pb.query_id, bk.code_id, round(list_dot_product(qz.z, cz.s), 6) AS e
+       FROM pb JOIN bk USING (bucket) JOIN qz USING (query_id) JOIN cz USING (code_id)),
+cand AS (SELECT query_id, code_id FROM es
+         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY e DESC, code_id)
+                 <= greatest({config.N_RESULTS}, ceil({LSH.oversample} * sqrt({config.N_RESULTS} * (SELECT n FROM dp)))))"""
 
 HISTORY = """ev AS (SELECT user_id AS run_id,
                CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS epoch,
@@ -210,17 +223,18 @@ SELECT CAST(doc_id AS VARCHAR) AS url FROM pr WHERE lang_pred IN ('en', 'fr') AN
 SELECT d.lang, i.name, '__label__' || i.alpha2 AS label, count(*) AS n_docs
 FROM documents d LEFT JOIN iso i ON d.lang = i.alpha2 GROUP BY d.lang, i.name, i.alpha2""",
     "index_build": f"""WITH {TOWERS},
-{PLANES}
-SELECT code_id, CAST(tbl AS INTEGER) AS "table", CAST(bucket AS INTEGER) AS bucket FROM bk""",
+{PLANES},
+wd AS (SELECT code_id, b // 32 AS w, sum(CASE WHEN bit THEN 1::BIGINT << (31 - b % 32) ELSE 0 END) AS v FROM cb GROUP BY ALL)
+SELECT code_id, bucket, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY w) AS signature FROM wd JOIN bk USING (code_id) GROUP BY ALL""",
     "knn_approx": f"""WITH {TOWERS},
 {PLANES},
-cand AS (SELECT DISTINCT q.query_id, c.code_id FROM qbk q JOIN bk c ON q.tbl = c.tbl AND q.bucket = c.bucket),
+{PROBES},
 cnt AS (SELECT query_id, count(*) AS n FROM cand GROUP BY query_id),
 sc AS (SELECT q.row_id AS query_id, c.row_id AS code_id, {cos('q.qv', 'c.cv')} AS score FROM t q CROSS JOIN t c),
 pool AS (SELECT sc.* FROM sc JOIN cand ON sc.query_id = cand.query_id AND sc.code_id = cand.code_id
-         WHERE sc.query_id IN (SELECT query_id FROM cnt WHERE n >= {config.N_RESULTS})
+         WHERE sc.query_id IN (SELECT query_id FROM cnt, dp WHERE cnt.n >= least({config.N_RESULTS}, dp.n))
          UNION ALL
-         SELECT sc.* FROM sc WHERE sc.query_id NOT IN (SELECT query_id FROM cnt WHERE n >= {config.N_RESULTS})),
+         SELECT sc.* FROM sc WHERE sc.query_id NOT IN (SELECT query_id FROM cnt, dp WHERE cnt.n >= least({config.N_RESULTS}, dp.n))),
 k AS (SELECT query_id, code_id, score,
              CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, code_id) AS BIGINT) AS position
       FROM pool QUALIFY position <= {config.N_RESULTS})

@@ -243,7 +243,8 @@ def q_nl_labels(spark, sf_dir):
 
 # --------------------------------------------------------------- index ----
 def q_index_build(spark, sf_dir):
-    return lsh.index_build(fx.search_corpus(spark, sf_dir), LshParams())
+    index = lsh.index_build(fx.search_corpus(spark, sf_dir), LshParams())
+    return index.select("code_id", "bucket", F.concat_ws(" ", *lsh.signature_words()).alias("signature"))
 
 
 def q_knn_approx(spark, sf_dir):
