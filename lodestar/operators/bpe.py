@@ -5,8 +5,8 @@
 * BPE training works on the distinct-word table, never on occurrences. Each
   round speculates a merge sequence on the most frequent words, computes its
   exact per-step pair-count deltas over the distributed word table, keeps the
-  prefix that provably equals the sequential choice (``_verify``) and rewrites
-  only the words that changed.
+  prefix that provably equals the sequential choice (``_verify``), adds the deltas of the
+  kept steps to the pair counts and rewrites only the words that changed.
 * Encoding runs in Arrow batches: the JVM pre-tokenizes, each Python worker
   keeps a word -> ids cache, and padding/truncation is a JVM expression.
 """
@@ -118,6 +118,7 @@ def _pairs(syms: list[int]) -> Counter:
 
 
 _WORD_SCHEMA = "word string, cnt long, syms array<int>"
+_PART_WORDS = 20_000          # words of a partition
 
 
 def _in_order(syms: list[int], rank: dict[tuple[int, int], int], merges: list[tuple[int, int, int]]):
@@ -211,15 +212,15 @@ def _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, mi
     every other pair counted at most ``threshold``; existing pairs only lose
     counts during the round, and pairs holding a symbol created this round
     are known exactly from the step deltas. A step is decided only when the
-    best known count is strictly above ``threshold``; at the first mismatch
-    the true argmax is accepted and the round ends.
+    best known count is strictly above ``threshold``; the round ends before the
+    first mismatch, whose deltas are not known. The first step is always the argmax.
     """
     known = {(l, r): c for l, r, c in top_rows}
     heap = [(-c, p) for p, c in known.items()]      # counts that changed since are skipped when met
     heapq.heapify(heap)
     created: set[int] = set()
     accepted = []
-    for j in range(len(seq) + 1):
+    for j in range(len(seq)):
         if len(vocab) >= vocab_size:
             break
         while heap and known[heap[0][1]] != -heap[0][0]:
@@ -230,6 +231,8 @@ def _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, mi
         if negc >= 0 or -negc < min_count or (j > 0 and -negc <= threshold):
             break
         a, b = best
+        if (a, b) != seq[j][:2]:
+            break
         token = id_to_token[a] + id_to_token[b]
         reused = token in vocab
         new_id = vocab[token] if reused else len(id_to_token)
@@ -237,7 +240,7 @@ def _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, mi
             vocab[token] = new_id
             id_to_token.append(token)
         accepted.append((a, b, new_id))
-        if j == len(seq) or (a, b) != seq[j][:2] or reused:
+        if reused:              # its symbol is not new: pairs that hold it are not all known
             break
         for (l, r), d in deltas.get(j, ()):
             if (l, r) in known or l in created or r in created or l == new_id or r == new_id:
@@ -307,10 +310,17 @@ def _merge_loop(words: list[list[int]], counts: list[int], vocab: dict[str, int]
     return merges
 
 
+def _needed(moved: DataFrame, top: DataFrame, n_old: int, bar: int) -> DataFrame:
+    """The step deltas that can decide a step: of the listed pairs, and of pairs with a new symbol that can reach ``bar``."""
+    fresh = moved.where((F.col("l") >= n_old) | (F.col("r") >= n_old))
+    reach = (fresh.where("c > 0").groupBy("l", "r").agg(F.sum("c").alias("_up")).where(F.col("_up") >= bar).drop("_up"))
+    return fresh.join(reach, ["l", "r"], "left_semi").unionByName(moved.join(F.broadcast(top), ["l", "r"], "left_semi")).distinct()
+
+
 def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
               min_count: int = config.VOCAB_MIN_COUNT,
               specials: tuple[str, ...] = config.SPECIAL_TOKENS,
-              top_pairs: int = 8192, speculate_words: int = 100_000, speculate_steps: int = 4096,
+              top_pairs: int = 32_768, speculate_words: int = 100_000, speculate_steps: int = 8192,
               word_col: str = "word", cnt_col: str = "cnt", progress=None) -> BpeModel:
     """Learn BPE merges from a distinct-word table ``(word, cnt)``.
 
@@ -319,13 +329,14 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
     smaller left id, then smaller right id) and stops when the best count is
     below ``min_count`` or the vocabulary reaches ``vocab_size``.
 
-    Each round runs Spark jobs over the distributed word table: the exact top
-    pair counts, a speculated merge sequence from the most frequent words, the
-    exact per-step pair-count deltas of that sequence over all words, and a
-    check that accepts the speculated merges while each is the true argmax
-    (``_verify``); then one checkpointed rewrite of the words that changed. The
-    driver holds at most ``top_pairs`` pairs, ``speculate_words`` words and the
-    pairs that the speculated steps touch, whatever the size of the table.
+    The state is two checkpointed tables: the segmented words and the pair counts. The words are
+    counted into pairs once. A round reads the exact top pair counts, speculates a merge sequence on the
+    most frequent words, computes the exact per-step pair-count deltas of that sequence over the
+    words that hold its pairs, and accepts the speculated merges while each is the true argmax
+    (``_verify``). The deltas of the accepted steps bring the pair counts up to date; only
+    words that changed are written anew. The driver holds at most ``top_pairs`` pairs,
+    ``speculate_words`` words and the deltas of pairs whose count can still win, a number that
+    the least winning count bounds.
     """
     spark = words.sparkSession
     checkpoint_root(spark)
@@ -339,43 +350,42 @@ def bpe_train(words: DataFrame, vocab_size: int = config.VOCAB_SIZE,
             vocab[t] = len(vocab)
     id_to_token = [t for t, _ in sorted(vocab.items(), key=lambda x: x[1])]
     char_ids = {ch: vocab[ch] for ch in chars}
-    cur = w0.mapInPandas(_initial_symbols(char_ids), _WORD_SCHEMA)
-    cur = cur.checkpoint(eager=True)
-    n_parts = max(1, cur.rdd.getNumPartitions())       # the union below must not grow this
+    n_parts = max(spark.sparkContext.defaultParallelism, w0.count() // _PART_WORDS)
+    cur = w0.repartition(n_parts, "word").mapInPandas(_initial_symbols(char_ids), _WORD_SCHEMA).checkpoint(eager=True)
+    pairs = (cur.mapInPandas(_pairs_of_words, "l int, r int, c long")
+                .groupBy("l", "r").agg(F.sum("c").alias("c")).checkpoint(eager=True))
     merges: list[tuple[int, int, int]] = []
     rounds = 0
     while len(vocab) < vocab_size:
-        # exact top pairs of the current segmentation (everything else counts at most the last one)
-        pc = (cur.mapInPandas(_pairs_of_words, "l int, r int, c long")
-                 .groupBy("l", "r").agg(F.sum("c").alias("c")))
-        top_rows = [(int(r["l"]), int(r["r"]), int(r["c"]))
-                    for r in pc.orderBy(F.col("c").desc(), "l", "r").limit(top_pairs).collect()]
-        if not top_rows:
+        best = pairs.orderBy(F.col("c").desc(), "l", "r").limit(top_pairs)
+        top_rows = list(best.toPandas()[["l", "r", "c"]].itertuples(index=False, name=None))
+        if not top_rows or top_rows[0][2] < min_count:
             break
-        threshold = top_rows[-1][2] if len(top_rows) == top_pairs else 0
-        # speculation on the most frequent words (a bounded top-k), exact deltas over all words
-        frequent = [(r["syms"], r["cnt"]) for r in
-                    cur.orderBy(F.col("cnt").desc(), "word").limit(speculate_words).collect()]
-        seq = _speculate(frequent, vocab, id_to_token, speculate_steps, min_count, top_rows)
+        threshold = int(top_rows[-1][2]) if len(top_rows) == top_pairs else 0      # every other pair counts at most this
+        frequent = cur.orderBy(F.col("cnt").desc(), "word").limit(speculate_words).select("syms", "cnt").toPandas()
+        limit = min(speculate_steps, vocab_size - len(vocab))
+        seq = _speculate([(w.tolist(), c) for w, c in zip(frequent["syms"], frequent["cnt"])],
+                         vocab, id_to_token, limit, max(min_count, threshold), top_rows)
+        n_old = len(id_to_token)
+        lefts = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in seq if a < n_old})])
+        moved = (cur.where(F.arrays_overlap(F.col("syms"), lefts)).mapInPandas(_step_deltas(seq), _DELTA_SCHEMA)
+                    .groupBy("j", "l", "r").agg(F.sum("c").alias("c")).where("c != 0").checkpoint(eager=True))
+        top = spark.createDataFrame(pd.DataFrame(top_rows, columns=["l", "r", "c"])[["l", "r"]], "l int, r int")
         deltas: dict[int, list] = {}
-        if seq:
-            first = set(range(len(id_to_token)))
-            lefts0 = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in seq if a in first})])
-            for r in (cur.where(F.arrays_overlap(F.col("syms"), lefts0))
-                         .mapInPandas(_step_deltas(seq), _DELTA_SCHEMA)
-                         .groupBy("j", "l", "r").agg(F.sum("c").alias("c")).collect()):   # pairs the steps touch
-                deltas.setdefault(int(r["j"]), []).append(((int(r["l"]), int(r["r"])), int(r["c"])))
+        needed = _needed(moved, top, n_old, max(min_count, threshold)).toPandas()
+        for j, l, r, c in needed[["j", "l", "r", "c"]].itertuples(index=False, name=None):
+            deltas.setdefault(j, []).append(((l, r), c))
         accepted = _verify(seq, top_rows, threshold, deltas, vocab, id_to_token, vocab_size, min_count)
-        if not accepted:
-            break
         merges.extend(accepted)
         rounds += 1
         if progress is not None:
             progress(rounds, len(merges), len(vocab))
-        lefts = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in accepted})])
-        holds = F.arrays_overlap(F.col("syms"), lefts)          # JVM-side: only these words can change
-        changed = cur.where(holds).mapInPandas(_apply_round(accepted), _WORD_SCHEMA)
-        # the word table is the whole round state: one reliable checkpoint per round
+        if len(vocab) >= vocab_size:
+            break
+        pairs = (pairs.unionByName(moved.where(F.col("j") < len(accepted)).drop("j"))
+                      .groupBy("l", "r").agg(F.sum("c").alias("c")).where("c > 0").checkpoint(eager=True))
+        holds = F.arrays_overlap(F.col("syms"), F.array(*[F.lit(a) for a in sorted({a for a, _, _ in accepted})]))
+        changed = cur.where(holds).mapInPandas(_apply_round(accepted), _WORD_SCHEMA)   # only these words can change
         cur = cur.where(~holds).unionByName(changed).coalesce(n_parts).checkpoint(eager=True)
     return BpeModel(vocab, merges)
 
