@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lodestar import config
 from lodestar.functions.text import hash_uniform
@@ -146,8 +147,8 @@ def encode_pair(df: DataFrame, weights: DataFrame, shared: bool = True, id_col:
                 code_ids: str = "code_ids", query_ids: str = "query_ids") -> DataFrame:
     """Siamese (one ``shared`` tower) or dual (``code`` and ``query`` towers).
 
-    Returns ``(row_id, code_vec, query_vec)`` from one narrow pass (both sides of
-    a row are encoded together, so nothing is joined back); queries always use
+    Returns the frame with ``code_vec, query_vec`` in place of the ids, from one narrow pass (both sides of
+    a row are encoded together and other columns pass through, so nothing is joined back); queries always use
     the query tower in the dual model.
     """
     ship_package(df.sparkSession)
@@ -165,11 +166,12 @@ def encode_pair(df: DataFrame, weights: DataFrame, shared: bool = True, id_col:
                 continue
             c = tw[code_tower].encode(_ids_matrix(pdf[code_ids]))
             q = tw[query_tower].encode(_ids_matrix(pdf[query_ids]))
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64),
-                                "code_vec": list(c), "query_vec": list(q)})
+            yield pdf[carried].assign(code_vec=list(c), query_vec=list(q))
 
-    return df.select(id_col, code_ids, query_ids).mapInPandas(
-        kernel, f"{id_col} long, code_vec array<double>, query_vec array<double>")
+    carried = [c for c in df.columns if c not in (code_ids, query_ids)]
+    vectors = ArrayType(DoubleType())
+    schema = StructType([*df.select(*carried).schema.fields, StructField("code_vec", vectors), StructField("query_vec", vectors)])
+    return df.mapInPandas(kernel, schema)
 
 
 def embed_lookup(df: DataFrame, ids_col: str, weights: DataFrame, tower: str = "shared",

@@ -15,6 +15,7 @@ step's job reads only its own files.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -196,18 +197,20 @@ def _step_kernel(bc, dropout: float, seed: int, epoch: int, shared: bool):
 def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_dim: int = config.EMBEDDING_DIM,
              encoding_dim: int = config.ENCODING_DIM, lr: float = config.LEARNING_RATE, epochs: int = 1,
              batches_per_step: int = 64, clip: float | None = None, dropout: float = config.ENCODER_DROPOUT,
-             shared: bool = True, seed: int = config.SEED, validate_fn=None, metrics_path: str | None = None,
+             shared: bool = True, seed: int = config.SEED, validate_fn=None, registry: str | None = None,
              run_id: str = "run", max_batches: int | None = None) -> tuple[dict, list[tuple]]:
     """E5: fit the NBOW towers on ``batched`` (``row_id, split, batch_id, code_ids, query_ids``).
 
     Trains on the ``train`` split. ``validate_fn(weights_df) -> (loss, mrr)``
     runs after every epoch when given; early stopping follows W5. Returns the
-    final parameters (by tower) and the metric rows (also appended to
-    ``metrics_path`` when given). ``max_batches`` caps the training
+    final parameters (by tower) and the metric rows. With a ``registry`` folder
+    the weights of every validated epoch and the metrics are stored there and the best
+    epochs served. ``max_batches`` caps the training
     mini-batches per epoch (the sweep's batch limit).
     """
     from lodestar.operators.rowid import shuffle_rows
     from lodestar.operators.train import metrics_rows
+    from lodestar.sources import runs
     spark = batched.sparkSession
     ship_package(spark)
     names = ["shared"] if shared else ["code", "query"]
@@ -258,6 +261,8 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
         if validate_fn is not None:
             v_loss, v_mrr = validate_fn(weights_frame(spark, towers))
             metrics += metrics_rows(run_id, "valid", epoch, {"valid/loss": v_loss, "valid/mrr": v_mrr})
+            if registry:
+                runs.save_weights(weights_frame(spark, towers), registry, run_id, epoch)
             if not math.isfinite(v_loss):
                 break
             if v_loss < best - config.EARLY_STOP_MIN_DELTA:
@@ -266,9 +271,14 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
                 wait += 1
                 if wait >= config.EARLY_STOP_PATIENCE:
                     break
-    if metrics_path:
-        from lodestar.operators.train import append_metrics
-        append_metrics(spark, metrics_path, metrics)
+    if registry:
+        steps: Counter = Counter()
+        rows = []
+        for run, split, epoch, name, value in metrics:
+            rows.append((run, split, epoch, name, steps[epoch] if name == "train/batch_loss" else None, value))
+            steps[epoch] += name == "train/batch_loss"
+        runs.write_metrics(spark.createDataFrame(rows, runs.METRIC_SCHEMA), registry)
+        runs.publish_best(spark, registry)
     return towers, metrics
 
 

@@ -1,4 +1,4 @@
-"""Run metrics: checkpoint selection, early stopping, sweep trials.
+"""Run metrics: checkpoint selection, early stopping, sweep trials.
 
 Metric history is a long table ``(run_id, epoch, metric, value)`` or the
 wide ``(run_id, epoch, valid_loss)`` used below.
@@ -105,12 +105,6 @@ def metrics_rows(run_id: str, split: str, epoch: int, values: dict[str, float])
     return [(run_id, split, int(epoch), name, float(v)) for name, v in values.items()]
 
 
-def append_metrics(spark, path: str, rows: list[tuple]) -> None:
-    """Append scalar metrics to the run metrics table (Parquet)."""
-    df = spark.createDataFrame(rows, "run_id string, split string, epoch int, metric string, value double")
-    df.write.mode("append").parquet(path)
-
-
 def early_stop(history: DataFrame, min_delta: float = config.EARLY_STOP_MIN_DELTA,
                patience: int = config.EARLY_STOP_PATIENCE, run_col: str = "run_id",
                value_col: str = "valid_loss", epoch_col: str = "epoch") -> DataFrame:

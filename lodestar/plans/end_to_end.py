@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar import config
 from lodestar.functions.text import strip_newlines
 from lodestar.operators import bpe, corpus, encoder, langid, relevance, rowid, scoring, search
-from lodestar.sources import files
+from lodestar.sources import files, runs, stores
 
 
 def prepare_corpus(spark: SparkSession, root: str, code_lang: str, langs: Sequence[str] | None = None,
@@ -37,25 +37,71 @@ def prepare_corpus(spark: SparkSession, root: str, code_lang: str, langs: Sequen
     return rowid.global_row_id(projected, ["split_order", "url"], "row_id")
 
 
+def prepare_corpus_once(spark: SparkSession, root: str, store: str, code_lang: str, langs: Sequence[str] | None = None,
+                        langid_model: DataFrame | None = None, model_name: str | None = None,
+                        threshold: float = config.LANGID_THRESHOLD) -> DataFrame:
+    """Q1 through S8: built when ``store`` has no corpus for these raw files and parameters, else only read.
+
+    ``model_name`` stands for the language model in the key: give each model its own.
+    """
+    if langs and not model_name:
+        raise ValueError("a stored, filtered corpus needs the name of its language model")
+    key = stores.input_key([files.scan_splits(spark, root, code_lang)], kind="corpus", code_lang=code_lang,
+                           langs=sorted(langs or []), model=model_name, threshold=threshold)
+    return stores.materialize_once(spark, store, "corpus", key,
+                                   lambda: prepare_corpus(spark, root, code_lang, langs, langid_model, threshold=threshold))
+
+
+def batches(tokens: DataFrame, batch_size: int = config.BATCH_SIZE, epoch: int = 0) -> DataFrame:
+    """T2 split -> T1 order -> W3 batches (train shuffled per epoch, valid in order, test in pools of 1 + distractors).
+
+    Numbered on the ids alone; the token arrays join once at the end.
+    """
+    shuffled = rowid.shuffle_rows(rowid.split_80_10_10(tokens.select("row_id")), epoch)
+    pos = F.when(F.col("split") == "train", F.col("shuffle_pos")).otherwise(F.col("split_pos"))
+    size = F.when(F.col("split") == "test", F.lit(config.MRR_POOL)).otherwise(F.lit(batch_size))
+    return tokens.join(shuffled.withColumn("batch_id", F.floor(pos / size).cast("bigint")), "row_id")
+
+
 def prepare_training(pairs: DataFrame, model: bpe.BpeModel | None = None,
                      batch_size: int = config.BATCH_SIZE, epoch: int = 0) -> tuple[DataFrame, bpe.BpeModel]:
-    """Q2: tokenizer (trained on code and query text when not given) -> B5 ->
-    T2 split -> W3 batches (train shuffled per epoch, valid in order, test in
-    pools of 1 + distractors)."""
+    """Q2: tokenizer (trained on code and query text when not given) -> B5 -> split and batches."""
     if model is None:
         model = bpe.bpe_train(bpe.word_counts(corpus.text_stream(pairs)))
-    tok = bpe.tokenize_fields(pairs, model)
-    split = rowid.split_80_10_10(tok)
-    shuffled = rowid.shuffle_rows(split, epoch)
-    pos = F.when(F.col("split") == "train", F.col("shuffle_pos")).otherwise(F.col("split_pos"))
-    size = F.when(F.col("split") == "test", F.lit(config.MRR_POOL)).otherwise(F.lit(batch_size))
-    batched = shuffled.withColumn("batch_id", F.floor(pos / size).cast("bigint"))
-    return batched, model
+    return batches(bpe.tokenize_fields(pairs, model), batch_size, epoch), model
+
+
+def prepare_training_once(pairs: DataFrame, store: str, batch_size: int = config.BATCH_SIZE,
+                          epoch: int = 0) -> tuple[DataFrame, bpe.BpeModel]:
+    """Q2 through S9 and S7: tokenizer and tokens of a stored corpus are made once; a second run reads neither texts nor words.
+
+    ``pairs`` must be a plain scan of files (``row_id, code, query``).
+    """
+    model = stores.vocab_once(pairs, store, lambda: bpe.bpe_train(bpe.word_counts(corpus.text_stream(pairs))),
+                              size=config.VOCAB_SIZE, min_count=config.VOCAB_MIN_COUNT)
+    return batches(stores.token_cache(pairs, store, model), batch_size, epoch), model
 
 
 def _encoded_pairs(batched: DataFrame, weights: DataFrame, shared: bool) -> DataFrame:
-    enc = encoder.encode_pair(batched.select("row_id", "code_ids", "query_ids"), weights, shared)
-    return enc.join(batched.select("row_id", "split", "batch_id"), "row_id")
+    return encoder.encode_pair(batched.select("row_id", "code_ids", "query_ids", "split", "batch_id"), weights, shared)
+
+
+def test_run(spark: SparkSession, registry: str, run_id: str, batched: DataFrame, shared: bool = True) -> DataFrame:
+    """Q3 of a stored run: its best checkpoint is loaded and ``test/mrr`` goes to the metric sink."""
+    weights, epoch = runs.load_weights(spark, registry, run_id)
+    result = test_mrr(batched, weights, shared).checkpoint(eager=True)
+    runs.log_metrics(spark, registry, run_id, epoch, {"test/mrr": result.first()["mrr"]})
+    return result.withColumn("epoch", F.lit(epoch))
+
+
+def eval_run(spark: SparkSession, registry: str, run_id: str, corpus_df: DataFrame, queries: DataFrame, annotations: DataFrame,
+             model: bpe.BpeModel, **options) -> DataFrame:
+    """Q4 of a stored run: its best checkpoint is loaded and both NDCG values go to the metric sink."""
+    weights, epoch = runs.load_weights(spark, registry, run_id)
+    result = eval_ndcg(corpus_df, queries, annotations, model, weights, **options).checkpoint(eager=True)
+    found = result.first()
+    runs.log_metrics(spark, registry, run_id, epoch, {f"eval/{k}": found[k] for k in ("ndcg_within", "ndcg_all")})
+    return result.withColumn("epoch", F.lit(epoch))
 
 
 def test_mrr(batched: DataFrame, weights: DataFrame, shared: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestar import config
 from lodestar.functions.text import PRETOKEN_PATTERN as PAT
 from lodestar.operators.langid import ISO_LANGUAGES
-from lodestar.plans.oracle import F1, NEG_INF, TOWERS, cos  # noqa: F401
+from lodestar.plans.oracle import F1, NEG_INF, SPLIT, TOWERS, cos  # noqa: F401
 
 WORD_VOCAB = config.VOCAB_SIZE
 DIM = config.ENCODING_DIM
@@ -329,3 +329,23 @@ SELECT round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries, CAST({config.MRR
 ORACLE_TEXT["validate_words"] = f"""WITH {_word_pools('valid', config.BATCH_SIZE)}
 SELECT round(avg(1 - target_score + hardest_negative), 6) AS valid_loss, round(avg(1.0 / rank), 6) AS valid_mrr,
        count(*) AS n_queries FROM r"""
+
+ORACLE_TEXT["training_batches"] = f"""WITH {SPLIT}
+SELECT row_id, split, CASE WHEN split = 'train' THEN shuffle_pos // {config.BATCH_SIZE}
+                           WHEN split = 'test' THEN split_pos // {config.MRR_POOL}
+                           ELSE split_pos // {config.BATCH_SIZE} END AS batch_id,
+       CAST({config.CODE_LENGTH} AS BIGINT) AS code_length, CAST({config.QUERY_LENGTH} AS BIGINT) AS query_length FROM sh"""
+
+DAILY = """dr AS (SELECT event_type AS run_id, CAST(day(ts) AS BIGINT) AS epoch, avg(value) / 100.0 AS v FROM events GROUP BY ALL)"""
+ORACLE_TEXT["metrics_sink"] = f"""WITH {DAILY}
+SELECT run_id, 'valid' AS split, epoch, 'valid/loss' AS metric, round(v, 6) AS value FROM dr"""
+ORACLE_TEXT["served_checkpoints"] = f"""WITH {DAILY}
+SELECT run_id, epoch, row_number() OVER (PARTITION BY run_id ORDER BY v, epoch) AS rank
+FROM dr WHERE epoch IN (3, 9, 15, 21, 27) QUALIFY rank <= 3"""
+
+ORACLE_TEXT["prepare_corpus_filtered"] = f"""WITH {split_cte('documents', 'doc_id')}, {LANGID},
+c AS (SELECT CAST(d.doc_id AS VARCHAR) AS url, d.source AS identifier, sp.split,
+             CASE sp.split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END AS so
+      FROM documents d JOIN sp ON sp.row_id = d.doc_id JOIN pr ON pr.doc_id = d.doc_id
+      WHERE pr.lang_pred IN ('en', 'fr') AND pr.lang_prob >= {config.LANGID_THRESHOLD})
+SELECT row_number() OVER (ORDER BY so, url) - 1 AS row_id, url, identifier, split FROM c"""

@@ -14,7 +14,7 @@ from lodestar.operators import bpe, corpus, encoder, langid, lsh, rowid, train
 from lodestar.plans import fixtures as fx
 from lodestar.plans.common import rounded
 from lodestar.session import scratch_path
-from lodestar.sources import files
+from lodestar.sources import files, runs, stores
 
 WORD_VOCAB = config.VOCAB_SIZE
 DIM = config.ENCODING_DIM
@@ -281,6 +281,18 @@ def q_prepare_corpus(spark, sf_dir):
     return out.select("row_id", "url", "identifier", "split")
 
 
+def q_prepare_corpus_filtered(spark, sf_dir):
+    """Q1 with its language filter through S8: the second run reads the stored corpus."""
+    from lodestar.plans.end_to_end import prepare_corpus_once
+    root, store = scratch_path(spark, "raw-splits"), scratch_path(spark, "corpus-store")
+    raw = _raw(spark, sf_dir)
+    split = rowid.split_80_10_10(raw.select("row_id"))
+    files.write_splits(raw.join(split.select("row_id", "split"), "row_id").drop("row_id"), root, "python")
+    for _ in range(2):
+        out = prepare_corpus_once(spark, root, store, "python", list(NL_FILTER), _langid_model(spark, sf_dir), "documents")
+    return out.select("row_id", "url", "identifier", "split")
+
+
 QUERIES_TEXT = {
     "read_pairs_jsonl": q_read_pairs_jsonl,
     "scan_splits": q_scan_splits,
@@ -319,10 +331,17 @@ QUERIES_TEXT = {
 
 
 # ------------------------------------------------------- end to end (Q2-Q5) ----
+def _stored_pairs(spark, sf_dir, store):
+    path = f"{store}/pairs"
+    fx.text_pairs(spark, sf_dir).select("row_id", "code", "query").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _training(spark, sf_dir):
-    from lodestar.plans.end_to_end import prepare_training
-    batched, model = prepare_training(fx.text_pairs(spark, sf_dir))
-    return batched, model
+    """Q2 through the stores: tokenizer and tokens are made once and read back."""
+    from lodestar.plans.end_to_end import prepare_training_once
+    store = scratch_path(spark, "training-store")
+    return prepare_training_once(_stored_pairs(spark, sf_dir, store), store)
 
 
 def q_prepare_training(spark, sf_dir):
@@ -331,20 +350,73 @@ def q_prepare_training(spark, sf_dir):
                           F.array_join("query_ids", " ").alias("query_ids"))
 
 
-def _tower_weights(spark):
-    return encoder.md5_weights(spark, "shared", config.VOCAB_SIZE, config.EMBEDDING_DIM, config.ENCODING_DIM)
+def q_training_batches(spark, sf_dir):
+    """Q2 run twice on one store: the second run's batches, which come from the stored tokens."""
+    from lodestar.plans.end_to_end import prepare_training_once
+    store = scratch_path(spark, "training-store")
+    pairs = _stored_pairs(spark, sf_dir, store)
+    prepare_training_once(pairs, store)
+    batched, _ = prepare_training_once(pairs, store)
+    return batched.select("row_id", "split", "batch_id", F.size("code_ids").cast("bigint").alias("code_length"),
+                          F.size("query_ids").cast("bigint").alias("query_length"))
+
+
+def _daily_runs(spark, sf_dir):
+    """Runs for the registry: one per event type, an epoch a day, ``valid/loss`` the day's mean value / 100."""
+    ev = fx.load(spark, sf_dir, "events")
+    return (ev.groupBy(F.col("event_type").alias("run_id"), F.dayofmonth("ts").alias("epoch"))
+              .agg((F.avg("value") / 100.0).alias("value"))
+              .select("run_id", F.lit("valid").alias("split"), "epoch", F.lit("valid/loss").alias("metric"),
+                      F.lit(None).cast("int").alias("step"), "value"))
+
+
+def q_metrics_sink(spark, sf_dir):
+    """All epochs written, then each run's later half again: a rerun replaces its epochs."""
+    root = scratch_path(spark, "metrics")
+    rows = _daily_runs(spark, sf_dir)
+    runs.write_metrics(rows, root)
+    runs.write_metrics(rows.where("epoch > 15"), root)
+    return rounded(runs.read_metrics(spark, root).select("run_id", "split", F.col("epoch").cast("bigint").alias("epoch"), "metric", "value"))
+
+
+def q_served_checkpoints(spark, sf_dir):
+    """S11 + T3: the epochs that each run of the registry serves, best first."""
+    root = scratch_path(spark, "registry")
+    rows = _daily_runs(spark, sf_dir)
+    runs.write_metrics(rows, root)
+    tower = encoder.md5_weights(spark, "shared", 4, 2, 2).checkpoint(eager=True)
+    for run, in rows.select("run_id").distinct().collect():             # one row a run
+        for epoch in (3, 9, 15, 21, 27):
+            runs.save_weights(tower, root, run, epoch)
+    runs.publish_best(spark, root)
+    return runs.served(spark, root).select("run_id", F.col("epoch").cast("bigint").alias("epoch"), "rank")
+
+
+def _registry(spark, sf_dir, towers=("shared",)) -> str:
+    """A registry with two epochs of one run; the better one is served."""
+    root = scratch_path(spark, "registry")
+    rows = _daily_runs(spark, sf_dir).where("run_id = 'view'")
+    runs.write_metrics(rows, root)
+    for epoch in (1, 2):
+        weights = [encoder.md5_weights(spark, f"{t}{epoch}" if epoch > 1 else t, config.VOCAB_SIZE, config.EMBEDDING_DIM, config.ENCODING_DIM)
+                   .withColumn("param", F.concat(F.lit(t), F.regexp_extract("param", "/.*", 0))) for t in towers]
+        runs.save_weights(weights[0] if len(weights) == 1 else weights[0].unionByName(weights[1]), root, "view", epoch)
+    runs.publish_best(spark, root, k=1)
+    return root
 
 
 def q_test_mrr(spark, sf_dir):
-    from lodestar.plans.end_to_end import test_mrr
+    """Q3: the best epoch of a stored run on the test pools."""
+    from lodestar.plans.end_to_end import test_run
     batched, _ = _training(spark, sf_dir)
-    return rounded(test_mrr(batched.checkpoint(eager=True), _tower_weights(spark)))
+    return rounded(test_run(spark, _registry(spark, sf_dir), "view", batched.checkpoint(eager=True)))
 
 
 def q_validate(spark, sf_dir):
     from lodestar.plans.end_to_end import validate
     batched, _ = _training(spark, sf_dir)
-    return rounded(validate(batched.checkpoint(eager=True), _tower_weights(spark)))
+    weights, _ = runs.load_weights(spark, _registry(spark, sf_dir), "view")
+    return rounded(validate(batched.checkpoint(eager=True), weights))
 
 
 def _containment_annotations(spark, sf_dir):
@@ -364,20 +436,27 @@ def q_passage_annotations(spark, sf_dir):
 
 
 def q_eval_ndcg(spark, sf_dir):
-    """Q4: documents indexed by the NBOW encoder; benchmark passages as queries."""
+    """Q4: documents indexed by the code tower of a stored dual run; benchmark passages as queries of its query tower."""
     from lodestar.functions.text import normalize_query
-    from lodestar.plans.end_to_end import eval_ndcg
-    model = _bpe_model(spark, sf_dir)
+    from lodestar.plans.end_to_end import eval_run
+    store = scratch_path(spark, "training-store")
+    pairs = _stored_pairs(spark, sf_dir, store)
+    model = stores.vocab_once(pairs, store, lambda: bpe.bpe_train(bpe.word_counts(corpus.text_stream(pairs))))
     docs = fx.load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("code"))
     queries = fx.load(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), normalize_query("text").alias("query"))
     ann = _containment_annotations(spark, sf_dir)
-    return rounded(eval_ndcg(docs, queries, ann, model, _tower_weights(spark), index_params=LshParams()))
+    return rounded(eval_run(spark, _registry(spark, sf_dir, ("code", "query")), "view", docs, queries, ann, model,
+                            index_params=LshParams(), code_tower="code", query_tower="query"))
 
 
 QUERIES_TEXT.update({
     "prepare_training": q_prepare_training,
+    "training_batches": q_training_batches,
+    "metrics_sink": q_metrics_sink,
+    "served_checkpoints": q_served_checkpoints,
+    "prepare_corpus_filtered": q_prepare_corpus_filtered,
     "test_mrr": q_test_mrr,
     "validate": q_validate,
     "passage_annotations": q_passage_annotations,
@@ -439,7 +518,7 @@ def q_search(spark, sf_dir):
     from lodestar.functions.text import normalize_query
     from lodestar.operators.search import Searcher
     model = _bpe_model(spark, sf_dir)
-    w = _tower_weights(spark)
+    w, _ = runs.load_weights(spark, _registry(spark, sf_dir), "view")
     docs = fx.load(spark, sf_dir, "documents")
     code = bpe.bpe_encode(docs.select(F.col("doc_id").alias("row_id"), F.col("text").alias("code")),
                           "code", model, config.CODE_LENGTH, "ids")
