@@ -218,7 +218,7 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
     opt = {t: AdamW(lr=lr) for t in names}
     metrics: list[tuple] = []
     best, wait = math.inf, 0
-    train_rows = batched.where(F.col("split") == "train").select("row_id", "split", "code_ids", "query_ids")
+    train_rows = batched.where(F.col("split") == "train").select("row_id", "split", "split_pos", "code_ids", "query_ids")
     for epoch in range(epochs):
         shuffled = shuffle_rows(train_rows, epoch)
         table = (shuffled.withColumn("batch_id", F.floor(F.col("shuffle_pos") / config.BATCH_SIZE).cast("bigint"))

@@ -116,6 +116,20 @@ f1 AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id, conv_id,
               CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url, text AS query, ntext AS code
        FROM c WHERE role = 'user' AND nrole = 'assistant')"""
 
+def _feistel(x: str) -> str:
+    """One pass of the keyed permutation over ``left * b + right``, epoch 0."""
+    def value(r: int, side: str) -> str:
+        return f"('0x' || substr(md5('{config.SEED}:0:' || split || ':{r}:' || {side}), 1, 8))::BIGINT"
+
+    left, right = f"(({x}) // b)", f"(({x}) % b)"
+    for r in range(4):
+        if r % 2 == 0:
+            left = f"(({left} + {value(r, right)}) % a)"
+        else:
+            right = f"(({right} + {value(r, left)}) % b)"
+    return f"({left} * b + {right})"
+
+
 SPLIT = f"""{F1},
 sp0 AS (SELECT row_id, row_number() OVER (ORDER BY md5('{config.SEED}:' || row_id), row_id) - 1 AS hpos FROM f1),
 sz0 AS (SELECT count(*) AS n, CAST(floor(0.1::DOUBLE * count(*)) AS BIGINT) AS nv,
@@ -125,10 +139,14 @@ sp AS (SELECT row_id,
               CASE WHEN hpos < ntr THEN 'train' WHEN hpos < ntr + nv THEN 'valid' ELSE 'test' END AS split,
               hpos - CASE WHEN hpos < ntr THEN 0 WHEN hpos < ntr + nv THEN ntr ELSE ntr + nv END AS split_pos
        FROM sp0, sz),
-sh AS (SELECT row_id, split, split_pos,
-              row_number() OVER (PARTITION BY split ORDER BY md5('{config.SEED}:0:' || row_id), row_id) - 1
-                AS shuffle_pos
-       FROM sp)"""
+sn AS (SELECT split, count(*) AS n, greatest(CAST(ceil(sqrt(count(*))) AS BIGINT), 1) AS a FROM sp GROUP BY split),
+sb AS (SELECT *, greatest(CAST(ceil(n / a::DOUBLE) AS BIGINT), 1) AS b FROM sn),
+f1w AS (SELECT row_id, split, split_pos, n, a, b, {_feistel('split_pos')} AS y FROM sp JOIN sb USING (split)),
+f2w AS (SELECT * REPLACE (CASE WHEN y < n THEN y ELSE {_feistel('y')} END AS y) FROM f1w),
+f3w AS (SELECT * REPLACE (CASE WHEN y < n THEN y ELSE {_feistel('y')} END AS y) FROM f2w),
+f4w AS (SELECT * REPLACE (CASE WHEN y < n THEN y ELSE {_feistel('y')} END AS y) FROM f3w),
+f5w AS (SELECT * REPLACE (CASE WHEN y < n THEN y ELSE {_feistel('y')} END AS y) FROM f4w),
+sh AS (SELECT row_id, split, split_pos, CAST(CASE WHEN y < n THEN y END AS BIGINT) AS shuffle_pos FROM f5w)"""
 
 
 ORACLE = {
