@@ -1,44 +1,60 @@
 """Natural-language identification and filtering.
 
 A character-trigram naive Bayes model: a sparse ``(lang, gram, n)`` table plus
-per-language totals. Scoring sums log-probabilities per (row, language), in one
-pass over the texts while the model is small enough to broadcast.
+per-language totals. Scoring joins a text's trigram counts with the log-probabilities of
+all languages and sums them per row.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestar import config
-from lodestar.session import ship_package
-
-# --- fixed values: ISO 639-1 codes of language names -------------------------
-ISO_LANGUAGES = {
-    "Arabic": "ar", "Bengali": "bn", "Chinese": "zh", "Czech": "cs", "Danish": "da", "Dutch": "nl",
-    "English": "en", "Finnish": "fi", "French": "fr", "German": "de", "Greek": "el", "Hebrew": "he",
-    "Hindi": "hi", "Hungarian": "hu", "Indonesian": "id", "Italian": "it", "Japanese": "ja",
-    "Korean": "ko", "Norwegian": "no", "Persian": "fa", "Polish": "pl", "Portuguese": "pt",
-    "Romanian": "ro", "Russian": "ru", "Spanish": "es", "Swedish": "sv", "Thai": "th",
-    "Turkish": "tr", "Ukrainian": "uk", "Vietnamese": "vi",
-}
+from lodestar.session import scratch_path, ship_package
+
+# --- fixed values: ISO 639-1 codes and language names ------------------------
+ISO_639_1 = """
+aa Afar, ab Abkhazian, ae Avestan, af Afrikaans, ak Akan, am Amharic, an Aragonese, ar Arabic, as Assamese, av Avaric,
+ay Aymara, az Azerbaijani, ba Bashkir, be Belarusian, bg Bulgarian, bi Bislama, bm Bambara, bn Bengali, bo Tibetan, br Breton,
+bs Bosnian, ca Catalan, ce Chechen, ch Chamorro, co Corsican, cr Cree, cs Czech, cu Church Slavic, cv Chuvash, cy Welsh,
+da Danish, de German, dv Divehi, dz Dzongkha, ee Ewe, el Greek, en English, eo Esperanto, es Spanish, et Estonian,
+eu Basque, fa Persian, ff Fulah, fi Finnish, fj Fijian, fo Faroese, fr French, fy Western Frisian, ga Irish, gd Scottish Gaelic,
+gl Galician, gn Guarani, gu Gujarati, gv Manx, ha Hausa, he Hebrew, hi Hindi, ho Hiri Motu, hr Croatian, ht Haitian,
+hu Hungarian, hy Armenian, hz Herero, ia Interlingua, id Indonesian, ie Interlingue, ig Igbo, ii Sichuan Yi, ik Inupiaq, io Ido,
+is Icelandic, it Italian, iu Inuktitut, ja Japanese, jv Javanese, ka Georgian, kg Kongo, ki Kikuyu, kj Kuanyama, kk Kazakh,
+kl Kalaallisut, km Khmer, kn Kannada, ko Korean, kr Kanuri, ks Kashmiri, ku Kurdish, kv Komi, kw Cornish, ky Kirghiz,
+la Latin, lb Luxembourgish, lg Ganda, li Limburgan, ln Lingala, lo Lao, lt Lithuanian, lu Luba-Katanga, lv Latvian, mg Malagasy,
+mh Marshallese, mi Maori, mk Macedonian, ml Malayalam, mn Mongolian, mr Marathi, ms Malay, mt Maltese, my Burmese, na Nauru,
+nb Norwegian Bokmål, nd North Ndebele, ne Nepali, ng Ndonga, nl Dutch, nn Norwegian Nynorsk, no Norwegian, nr South Ndebele, nv Navajo, ny Chichewa,
+oc Occitan, oj Ojibwa, om Oromo, or Oriya, os Ossetian, pa Panjabi, pi Pali, pl Polish, ps Pushto, pt Portuguese,
+qu Quechua, rm Romansh, rn Rundi, ro Romanian, ru Russian, rw Kinyarwanda, sa Sanskrit, sc Sardinian, sd Sindhi, se Northern Sami,
+sg Sango, sh Serbo-Croatian, si Sinhala, sk Slovak, sl Slovenian, sm Samoan, sn Shona, so Somali, sq Albanian, sr Serbian,
+ss Swati, st Southern Sotho, su Sundanese, sv Swedish, sw Swahili, ta Tamil, te Telugu, tg Tajik, th Thai, ti Tigrinya,
+tk Turkmen, tl Tagalog, tn Tswana, to Tonga, tr Turkish, ts Tsonga, tt Tatar, tw Twi, ty Tahitian, ug Uighur,
+uk Ukrainian, ur Urdu, uz Uzbek, ve Venda, vi Vietnamese, vo Volapük, wa Walloon, wo Wolof, xh Xhosa, yi Yiddish,
+yo Yoruba, za Zhuang, zh Chinese, zu Zulu
+"""
 # ------------------------------------------------------------------------------
+ISO_LANGUAGES = {name: alpha2 for alpha2, name in (entry.split(None, 1) for entry in ISO_639_1.split(","))}
+ISO_LANGUAGES = {" ".join(name.split()): alpha2 for name, alpha2 in ISO_LANGUAGES.items()}
+_BY_NAME = {name.casefold(): alpha2 for name, alpha2 in ISO_LANGUAGES.items()}
 
 
 def nl_labels(langs: Sequence[str]) -> list[str]:
-    """P5: language names -> ``__label__xx``; an unknown name raises."""
+    """P5: language names in any case -> ``__label__xx``; an unknown name raises."""
     out = []
     for name in langs:
-        key = name[:1].upper() + name[1:].lower()
-        if key not in ISO_LANGUAGES:
+        alpha2 = _BY_NAME.get(name.strip().casefold())
+        if alpha2 is None:
             raise LookupError(f"unknown language name {name!r}")
-        out.append(f"__label__{ISO_LANGUAGES[key]}")
+        out.append(f"__label__{alpha2}")
     return out
 
 
@@ -47,108 +63,98 @@ def iso_languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(ISO_LANGUAGES.items()), "name string, alpha2 string")
 
 
-MAX_MODEL_ROWS = 2_000_000      # (lang, gram) rows up to which the model is broadcast
+def _lowered(df: DataFrame, key: Column, text: Column | str) -> DataFrame:
+    return df.select(key.alias("key"), F.lower(F.col(text) if isinstance(text, str) else text).alias("text"))
+
+
+def _codes(text: str | None) -> np.ndarray:
+    """All overlapping character trigrams of a lower-cased text: three code points of 21 bits in one number."""
+    c = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
 
-# every position's next three characters: a zero-width lookahead, one linear scan
-TRIGRAM_PATTERN = r"(?s)(?=(.{3}))"
+def _gram(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
 
 
-def trigrams(text: Column | str) -> Column:
-    """All overlapping character trigrams of the lower-cased text (none if < 3 chars)."""
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.regexp_extract_all(t, F.lit(TRIGRAM_PATTERN), 1)
+def _code_of(gram: Column) -> Column:
+    point = [F.ascii(F.substring(gram, i, 1)).cast("long") for i in (1, 2, 3)]
+    return F.shiftleft(point[0], 42).bitwiseOR(F.shiftleft(point[1], 21)).bitwiseOR(point[2])
 
 
 def langid_fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """L1: trigram counts per language ``(lang, gram, n)`` over whole texts."""
-    return (labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(text_col)).alias("gram"))
-                    .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    """L1: trigram counts per language ``(lang, gram, n)`` over whole texts, summed per batch before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes: dict = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes.setdefault(lang, []).append(_codes(text))
+            for lang, found in codes.items():
+                grams, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()),
+                                                  pa.array([_gram(g) for g in grams.tolist()], pa.string()), pa.array(counts)], names=["lang", "gram", "n"])
+
+    parts = _lowered(labelled, F.col(lang_col).cast("string"), text_col).mapInArrow(run, "lang string, gram string, n long")
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _text_grams(keyed: DataFrame) -> DataFrame:
+    """``key, code, n``: the different trigrams of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_codes(text), return_counts=True) for text in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([g for g, _ in found])),
+                                                  pa.array(np.concatenate([c for _, c in found]))], names=["key", "code", "n"])
+
+    schema = StructType([StructField("key", keyed.schema["key"].dataType), StructField("code", LongType()), StructField("n", LongType())])
+    return keyed.mapInArrow(run, schema)
+
+
+def gram_weights(model: DataFrame) -> tuple[list[str], DataFrame]:
+    """The model gram-major: languages in order, and ``code, weights`` with every language's log-probability.
+
+    ``weights[i] = ln((n(lang_i, gram) + 1) / (total(lang_i) + V))`` with V distinct grams.
+    """
+    totals = {r["lang"]: r["total"] for r in model.groupBy("lang").agg(F.sum("n").alias("total")).collect()}   # the languages
+    langs = sorted(totals)
+    counts = model.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"_{i}")
+                                         for i, x in enumerate(langs)])
+    size = model.agg(F.count_distinct("gram")).first()[0]
+    weights = [F.log(F.col(f"_{i}") + 1) - F.log(F.lit(float(totals[x] + size))) for i, x in enumerate(langs)]
+    return langs, counts.select(_code_of(F.col("gram")).alias("code"), F.array(*weights).alias("weights"))
 
 
-def langid_predict(df: DataFrame, model: DataFrame, text_col: str, id_col: str = "row_id",
-                   max_model_rows: int = MAX_MODEL_ROWS) -> DataFrame:
-    """L2: top-1 language and its posterior per row.
+def langid_predict(df: DataFrame, model: DataFrame, text_col: str, id_col: str = "row_id") -> DataFrame:
+    """L2: top-1 language and its posterior per row; ``id_col`` must be unique.
 
     ``score(lang) = sum over the row's in-vocabulary trigram occurrences of
     ln((n(lang, g) + 1) / (total(lang) + V))``, V = distinct training grams,
     uniform prior, softmax after subtracting the row maximum. Rows without an
     in-vocabulary trigram get NULL language and probability.
 
-    A model of at most ``max_model_rows`` rows is broadcast and each text is
-    scored where it lies, in one pass; a larger one is joined.
+    Texts are counted where they lie; ``(id, gram, n)`` meets the gram-major model in one join for
+    every model size. The model is stored first, so Spark knows its size and decides whether to broadcast it.
     """
-    from lodestar.session import checkpoint_root
-    checkpoint_root(df.sparkSession)
-    model = model.checkpoint(eager=True)          # the fitted model is reused by every step below
-    if model.count() <= max_model_rows:
-        return _scored_in_place(df, model, text_col)
-    return _scored_by_joins(df, model, text_col, id_col)
-
-
-def _scored_in_place(df: DataFrame, model: DataFrame, text_col: str) -> DataFrame:
-    """One narrow pass with the broadcast model (its size was checked)."""
-    ship_package(df.sparkSession)
-    rows = model.collect()
-    langs = sorted({r["lang"] for r in rows})
-    grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
-    seen = np.zeros((len(grams), len(langs)))
-    totals = np.zeros(len(langs))
-    for r in rows:
-        k = langs.index(r["lang"])
-        seen[grams[r["gram"]], k] = np.log(r["n"] + 1)
-        totals[k] += r["n"]
-    shared = df.sparkSession.sparkContext.broadcast((langs, grams, seen, np.log(totals + len(grams))))
+    spark = df.sparkSession
+    ship_package(spark)
+    path = scratch_path(spark, "langid-model")
+    model.where(F.col("lang").isNotNull()).write.parquet(path)
+    fitted = spark.read.parquet(path)
     names = [c for c in df.columns if c not in ("lang_pred", "lang_prob")]
-    schema = StructType([*df.select(*names).schema.fields, StructField("lang_pred", StringType()), StructField("lang_prob", DoubleType())])
-
-    def run(batches):
-        langs, grams, seen, logs = shared.value
-        for batch in batches:
-            preds, probs = [], []
-            for text in batch.column("_lowered").to_pylist():
-                found = Counter(text[i:i + 3] for i in range(len(text) - 2)) if text else {}
-                known = [(grams[g], n) for g, n in found.items() if g in grams]
-                if not known:
-                    preds.append(None)
-                    probs.append(None)
-                    continue
-                at, occ = np.array(known).T
-                score = occ @ seen[at] - occ.sum() * logs
-                best = int(score.argmax())              # ties: the first code
-                preds.append(langs[best])
-                probs.append(float(1.0 / np.exp(score - score[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(preds, pa.string()),
-                                              pa.array(probs, pa.float64())], names=[*names, "lang_pred", "lang_prob"])
-
-    return df.select(*names, F.lower(F.col(text_col)).alias("_lowered")).mapInArrow(run, schema)
-
-
-def _scored_by_joins(df: DataFrame, model: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The same scores by joins on the trigram, for models too large to broadcast."""
-    totals = model.groupBy("lang").agg(F.sum("n").alias("total"))
-    vocab_size = model.select("gram").distinct().count()
-    langs = [r["lang"] for r in totals.select("lang").collect()]   # bounded: the language set
-    grams = (df.select(F.col(id_col).alias("_id"), F.explode(trigrams(text_col)).alias("gram"))
-               .groupBy("_id", "gram").agg(F.count(F.lit(1)).alias("occ")))
-    vocab = model.select("gram").distinct()
-    in_vocab = grams.join(vocab, "gram", "left_semi")
-    n_occ = in_vocab.groupBy("_id").agg(F.sum("occ").alias("n_occ"))
-    seen = (in_vocab.join(model, "gram")
-                    .groupBy("_id", "lang").agg(F.sum(F.col("occ") * F.log(F.col("n") + F.lit(1))).alias("s_seen")))
-    grid = (n_occ.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
-                 .join(F.broadcast(totals), "lang")
-                 .join(seen, ["_id", "lang"], "left")
-                 .withColumn("score", F.coalesce(F.col("s_seen"), F.lit(0.0))
-                             - F.col("n_occ") * F.log(F.col("total") + F.lit(float(vocab_size)))))
-    best = grid.groupBy("_id").agg(
-        F.max("score").alias("_max"),
-        F.min_by("lang", F.struct((-F.col("score")).alias("s"), F.col("lang").alias("l"))).alias("_lang"))   # ties: first code
-    probs = (grid.join(best, "_id")
-                 .groupBy("_id", "_lang")
-                 .agg(F.sum(F.exp(F.col("score") - F.col("_max"))).alias("_z")))
-    pred = probs.select(F.col("_id").alias(id_col), F.col("_lang").alias("lang_pred"),
-                        (F.lit(1.0) / F.col("_z")).alias("lang_prob"))
-    return df.join(pred, id_col, "left")
+    if fitted.isEmpty():
+        return df.select(*names, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("lang_prob"))
+    langs, weights = gram_weights(fitted)
+    stored = scratch_path(spark, "langid-weights")
+    weights.write.parquet(stored)
+    met = _text_grams(_lowered(df, F.col(id_col), text_col)).join(spark.read.parquet(stored), "code")
+    sums = met.groupBy(F.col("key").alias("_id")).agg(*[F.sum(F.col("n") * F.col("weights")[i]).alias(f"_{i}") for i in range(len(langs))])
+    scores, best = F.array(*[F.col(f"_{i}") for i in range(len(langs))]), F.greatest(*[F.col(f"_{i}") for i in range(len(langs))], F.lit(-math.inf))
+    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x - best))
+    pred = sums.select("_id", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(scores, best).cast("int")).alias("lang_pred"),
+                       (F.lit(1.0) / total).alias("lang_prob"))                 # ties: the first code
+    return df.select(*names).join(pred, F.col(id_col) == F.col("_id"), "left").drop("_id")
 
 
 def filter_nl(df: DataFrame, langs: Sequence[str] | None, threshold: float = config.LANGID_THRESHOLD,

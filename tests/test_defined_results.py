@@ -63,11 +63,30 @@ def test_repeated_query_text_counts_once(spark):
     assert both["ndcg_within"] == both["ndcg_all"]
 
 
-def test_language_scores_by_joins_and_in_place(spark):
-    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "der Hund und die Katze"), (3, "xq"), (4, None), (5, "zzzz"),
-                                  (6, "the Katze")], "row_id long, text string")
-    model = langid.langid_fit(docs.where("row_id < 3").selectExpr("text", "if(row_id = 1, 'en', 'de') as lang"))
-    key = lambda d: {r["row_id"]: (r["lang_pred"], r["lang_prob"] and round(r["lang_prob"], 9)) for r in d.collect()}
-    here, joined = langid.langid_predict(docs, model, "text"), langid.langid_predict(docs, model, "text", max_model_rows=0)
-    assert key(here) == key(joined)
-    assert key(here)[3] == (None, None) and key(here)[1][0] == "en"
+def test_language_scores_equal_plain_loops(spark):
+    import math
+    from collections import Counter
+    texts = [(1, "the cat sat on the mat"), (2, "der Hund und die Katze"), (3, "xq"), (4, None), (5, "zzzz"), (6, "the Katze"),
+             (7, "d\U0001F600er \u65e5\u672c\u8a9e"), (8, "")]
+    docs = spark.createDataFrame(texts, "row_id long, text string")
+    fitted = [("en", texts[0][1]), ("de", texts[1][1]), ("ja", texts[6][1])]
+    model = langid.langid_fit(spark.createDataFrame(fitted, "lang string, text string"))
+    grams = lambda t: Counter(t.lower()[i:i + 3] for i in range(len(t) - 2))
+    n = {lang: grams(t) for lang, t in fitted}
+    assert {(r["lang"], r["gram"]): r["n"] for r in model.collect()} == {(a, g): c for a, k in n.items() for g, c in k.items()}
+    vocabulary = {g for k in n.values() for g in k}
+    for r in langid.langid_predict(docs, model, "text").collect():
+        known = {g: c for g, c in grams(dict(texts)[r["row_id"]] or "").items() if g in vocabulary}
+        if not known:
+            assert (r["lang_pred"], r["lang_prob"]) == (None, None)
+            continue
+        score = {a: sum(c * math.log((n[a][g] + 1) / (sum(n[a].values()) + len(vocabulary))) for g, c in known.items()) for a in n}
+        best = min(score, key=lambda a: (-score[a], a))
+        assert r["lang_pred"] == best
+        assert r["lang_prob"] == pytest.approx(1 / sum(math.exp(s - score[best]) for s in score.values()))
+    assert langid.langid_predict(docs, model.limit(0), "text").where("lang_pred is not null").count() == 0
+
+
+def test_every_iso_639_1_language_has_a_label():
+    assert len(langid.ISO_LANGUAGES) == 184
+    assert langid.nl_labels(["WELSH", "scottish gaelic", "Zulu", "Norwegian bokm\u00e5l"]) == ["__label__cy", "__label__gd", "__label__zu", "__label__nb"]
