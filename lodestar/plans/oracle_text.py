@@ -75,28 +75,25 @@ def weights_cte(name: str, tower: str) -> str:
         block("bn_weight", 1, DIM, "({u} - 0.5) * 2.0"),
         block("bn_bias", 1, DIM, "({u} - 0.5) * 2.0"),
     ]
-    return f"{name} AS (" + "\nUNION ALL ".join(parts) + ")"
+    return f"{name} AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
 
 
 def encode_ctes(prefix: str, tokens: str, weights: str, length: int) -> str:
     """pooled -> linear -> batch norm -> tanh, as ``{prefix}_enc(row_id, dim, value)``."""
-    return f"""{prefix}_pool AS (SELECT p.row_id, e.dim, sum(e.value) / {float(length)} AS value
+    return f"""{prefix}_pool AS MATERIALIZED (SELECT p.row_id, e.dim, sum(e.value) / {float(length)} AS value
        FROM {tokens} p JOIN {weights} e ON e.pname = 'embed' AND e.row = p.tok GROUP BY p.row_id, e.dim),
 {head_ctes(prefix, weights)}"""
 
 
 def head_ctes(prefix: str, weights: str) -> str:
     """linear -> batch norm -> tanh over ``{prefix}_pool(row_id, dim, value)``."""
-    return f"""{prefix}_lin AS (SELECT p.row_id, w.row AS dim, sum(w.value * p.value) AS value
-       FROM {prefix}_pool p JOIN {weights} w ON w.pname = 'fc_weight' AND w.dim = p.dim GROUP BY p.row_id, w.row),
-{prefix}_enc AS (SELECT l.row_id, l.dim,
-       tanh((l.value + b.value - m.value) / sqrt(v.value + {config.BATCHNORM_EPS}) * g.value + bb.value) AS value
-       FROM {prefix}_lin l
-       JOIN {weights} b ON b.pname = 'fc_bias' AND b.dim = l.dim
-       JOIN {weights} m ON m.pname = 'bn_mean' AND m.dim = l.dim
-       JOIN {weights} v ON v.pname = 'bn_var' AND v.dim = l.dim
-       JOIN {weights} g ON g.pname = 'bn_weight' AND g.dim = l.dim
-       JOIN {weights} bb ON bb.pname = 'bn_bias' AND bb.dim = l.dim)"""
+    one = ", ".join(f"max(value) FILTER (WHERE pname = '{p}') AS {p}" for p in ("fc_bias", "bn_mean", "bn_var", "bn_weight", "bn_bias"))
+    return f"""{prefix}_hp AS MATERIALIZED (SELECT dim, {one} FROM {weights} WHERE pname NOT IN ('embed', 'fc_weight') GROUP BY dim),
+{prefix}_fc AS MATERIALIZED (SELECT row, list(value ORDER BY dim) AS w FROM {weights} WHERE pname = 'fc_weight' GROUP BY row),
+{prefix}_in AS MATERIALIZED (SELECT row_id, list(value ORDER BY dim) AS x FROM {prefix}_pool GROUP BY row_id),
+{prefix}_enc AS (SELECT i.row_id, f.row AS dim,
+       tanh((list_dot_product(f.w, i.x) + fc_bias - bn_mean) / sqrt(bn_var + {config.BATCHNORM_EPS}) * bn_weight + bn_bias) AS value
+       FROM {prefix}_in i CROSS JOIN {prefix}_fc f JOIN {prefix}_hp h ON h.dim = f.row)"""
 
 
 ENCODER_BASE = f"""{WORD_VOCAB_CTE},
@@ -301,7 +298,7 @@ ORACLE_TEXT["run_names"] = """SELECT user_id, strftime(min(ts), '%y%m%d_%H%M') A
 
 # E3 with the registered sinusoidal encoder: state[l, d] = sin(token_l * (d + 1) / DIM)
 ORACLE_TEXT["encode_with"] = f"""WITH {ENCODER_BASE},
-ew_pool AS (SELECT p.row_id, dd.d AS dim, sum(sin(p.tok * ((dd.d + 1) / {float(DIM)}::DOUBLE))) / {float(L_Q)} AS value
+ew_pool AS MATERIALIZED (SELECT p.row_id, dd.d AS dim, sum(sin(p.tok * ((dd.d + 1) / {float(DIM)}::DOUBLE))) / {float(L_Q)} AS value
             FROM qt p, range(0, {DIM}) dd(d) GROUP BY p.row_id, dd.d),
 {head_ctes('ew', 'ws')}
 SELECT row_id, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM ew_enc"""
