@@ -10,6 +10,7 @@ from lodestar.plans.oracle import F1, NEG_INF, SPLIT, TOWERS, cos  # noqa: F401
 WORD_VOCAB = config.VOCAB_SIZE
 DIM = config.ENCODING_DIM
 SEED = config.SEED
+BPE_MERGES = 40
 LSH = config.LshParams()
 L_Q = config.QUERY_LENGTH
 L_C = config.CODE_LENGTH
@@ -346,3 +347,24 @@ c AS (SELECT CAST(d.doc_id AS VARCHAR) AS url, d.source AS identifier, sp.split,
       FROM documents d JOIN sp ON sp.row_id = d.doc_id JOIN pr ON pr.doc_id = d.doc_id
       WHERE pr.lang_pred IN ('en', 'fr') AND pr.lang_prob >= {config.LANGID_THRESHOLD})
 SELECT row_number() OVER (ORDER BY so, url) - 1 AS row_id, url, identifier, split FROM c"""
+
+# B3-B5 at a vocabulary of BPE_MERGES merges: symbols stand between two marks, so one replace merges a pair left to right
+BPE = f"""WITH RECURSIVE {WORD_VOCAB_CTE.split('voc AS')[0].rstrip().rstrip(',')},
+bp AS (
+  SELECT 0 AS it, word, cnt, array_to_string(list_transform(string_split(word, ''), lambda c: chr(1) || c || chr(2)), '') AS s,
+         '' AS l, '' AS r FROM wcf
+  UNION ALL
+  SELECT it + 1, word, cnt, replace(s, chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2), chr(1) || b.l || b.r || chr(2)), b.l, b.r
+  FROM bp, (SELECT t[i] AS l, t[i + 1] AS r FROM (
+              SELECT t, cnt, unnest(range(1, len(t))) AS i FROM (
+                SELECT string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS t, cnt FROM bp))
+            GROUP BY ALL ORDER BY sum(cnt) DESC LIMIT 1) b
+  WHERE it < {BPE_MERGES})"""
+ORACLE_TEXT["bpe_merges"] = f"""{BPE}
+SELECT DISTINCT CAST(it - 1 AS INTEGER) AS rank, l AS "left", r AS "right" FROM bp WHERE it > 0"""
+ORACLE_TEXT["bpe_tokens"] = f"""{BPE},
+fin AS (SELECT word, replace(substr(s, 2, length(s) - 2), chr(2) || chr(1), ' ') AS t FROM bp WHERE it = {BPE_MERGES}),
+tk AS (SELECT row_id, field, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM (
+         SELECT row_id, 'code' AS field, regexp_extract_all(code, '{PAT}') AS toks FROM f1
+         UNION ALL SELECT row_id, 'query', regexp_extract_all(query, '{PAT}') FROM f1))
+SELECT row_id, field, string_agg(t, ' ' ORDER BY pos) AS tokens FROM tk JOIN fin ON fin.word = tk.w GROUP BY ALL"""

@@ -106,6 +106,34 @@ def q_bpe_train(spark, sf_dir):
     return model.vocab_frame(spark)
 
 
+BPE_MERGES = 40            # the small models of the keys that SQL checks
+
+
+def _small_model(spark, sf_dir) -> bpe.BpeModel:
+    words = bpe.word_counts(fx.text_stream(spark, sf_dir)).checkpoint(eager=True)
+    size = bpe.alphabet(words).count() + len(config.SPECIAL_TOKENS) + BPE_MERGES
+    return bpe.bpe_train(words, vocab_size=size, min_count=1)
+
+
+def q_bpe_merges(spark, sf_dir):
+    """The first merges over all words of the corpus."""
+    model = _small_model(spark, sf_dir)
+    token = {i: t for t, i in model.vocab.items()}
+    rows = [(rank, token[a], token[b]) for rank, (a, b, _) in enumerate(model.merges)]
+    return spark.createDataFrame(rows, "rank int, left string, right string")
+
+
+def q_bpe_tokens(spark, sf_dir):
+    """Both whole texts of every pair as tokens of the small model."""
+    model = _small_model(spark, sf_dir)
+    names = F.create_map(*[F.lit(x) for t, i in model.vocab.items() for x in (i, t)])
+    pairs = fx.text_pairs(spark, sf_dir)
+    both = pairs.select("row_id", F.inline(F.array(F.struct(F.lit("code").alias("field"), F.col("code").alias("text")),
+                                                   F.struct(F.lit("query").alias("field"), F.col("query").alias("text")))))
+    ids = bpe.bpe_encode(both, "text", model, None, "ids").where(F.size("ids") > 0)
+    return ids.select("row_id", "field", F.array_join(F.transform("ids", lambda i: F.element_at(names, i)), " ").alias("tokens"))
+
+
 def q_bpe_encode(spark, sf_dir):
     model = _bpe_model(spark, sf_dir)
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -306,6 +334,8 @@ QUERIES_TEXT = {
     "alphabet": q_alphabet,
     "bpe_pair_counts": q_bpe_pair_counts,
     "bpe_train": q_bpe_train,
+    "bpe_merges": q_bpe_merges,
+    "bpe_tokens": q_bpe_tokens,
     "bpe_encode": q_bpe_encode,
     "tokenize_fields": q_tokenize_fields,
     "pluggable_tokenizer": q_pluggable_tokenizer,
