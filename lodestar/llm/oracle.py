@@ -117,16 +117,22 @@ ORACLE: dict[str, str] = {
         twice as (select row, i from g qualify count(*) over (partition by row, five) > 1),
         covered as (select row, count(distinct i + k) as n_repeat_words
                     from twice, range(0, {rules.WINDOW}) a(k) group by row),
-        l as (select row, unnest(string_split(text, chr(10))) as line from d),
-        m as (select row, line, regexp_extract_all(line, '{_WORD}') as words from l),
-        e as (select row, line, words, len(words) as n, len(list_filter(words, lambda x: regexp_matches(x, {_quoted('^[' + rules.SEPARATORS + ']+$')}))) as seps
-              from m where len(words) > 0),
+        l as (select row, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from d),
+        m as (select row, i, line, regexp_extract_all(line, '{_WORD}') as words, len(words) as n,
+                     regexp_extract_all(line, {_quoted(rules.BOILERPLATE_PATTERN)}) as stock from l),
+        e as (select *, case when n = 0 then 'b' when right(words[-1], 1) in ({_CLOSING}) or n > {_LIMITS.max_unpunctuated} then 'm'
+                             when length(line) >= {_LIMITS.min_wrapped} and not regexp_matches(line, {_quoted('[' + rules.SEPARATORS + ']')})
+                                  and lead(n) over (partition by row order by i) > 0 then 'j' else 'x' end as code
+              from m),
+        f as (select *, arg_min(code, i) filter (code <> 'j') over (
+                  partition by row order by i rows between current row and unbounded following) as ending from e),
         j as (select row, line, length(regexp_replace(line, '{_WS}', '', 'g')) as chars,
-                     (right(words[-1], 1) not in ({_CLOSING}) and n <= {_LIMITS.max_unpunctuated})
+                     len(list_filter(words, lambda x: regexp_matches(x, {_quoted('^[' + rules.SEPARATORS + ']+$')}))) as seps,
+                     ending <> 'm'
                      or (seps >= {_LIMITS.min_separators} and seps >= n * {_LIMITS.separator_share}::double)
                      or regexp_matches(line, {_quoted(rules.MENU_PATTERN)})
-                     or regexp_matches(line, {_quoted(rules.BOILERPLATE_PATTERN)}) as failed
-              from e),
+                     or (len(stock) > 0 and len(regexp_extract_all(array_to_string(stock, ' '), '{_WORD}')) >= n * {_LIMITS.stock_share}::double) as failed
+              from f where n > 0),
         s as (select row, count(*) - count(distinct line) as n_dup_lines, sum(chars) as word_chars,
                      coalesce(sum(chars) filter (not failed), 0) as kept_chars
               from j group by row),

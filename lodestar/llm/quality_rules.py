@@ -1,9 +1,10 @@
 """Quality rules, line first: clean the lines, then reject documents that lost too much.
 
-Every line with a word is judged by three rules: punctuation (it ends neither
-in a closing mark nor in a word and a mark, as sentences do), navigation (bare
+Every line with a word is judged by three rules: punctuation (it is short and does not
+end in a closing mark; a wide line that the next line carries on is judged by
+the end of that wrapped block), navigation (bare
 separators between fragments, or menu words only) and boilerplate (stock
-phrases of licences, cookie notices and the like). Failing lines go. A document
+phrases of licences, cookie notices and the like make up a set share of its words). Failing lines go. A document
 is rejected when fewer than ``min_kept`` of its word characters survive, or
 when it fails a base rule: fewer than ten words, or more than a fifth of them
 inside repeated five-word windows.
@@ -52,6 +53,8 @@ class LineRules:
     max_unpunctuated: int = 30     # a longer line without a closing mark is a wrapped paragraph, not a fragment
     min_separators: int = 2        # bare separators that make a navigation line
     separator_share: float = 0.2   # and their share of the line's words
+    min_wrapped: int = 30          # code points of a line that may go on in the next one
+    stock_share: float = 0.2       # share of a line's words inside stock phrases that fails it
 
 
 def _has_word(line: Column) -> Column:
@@ -83,16 +86,34 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) < width, F.lit(0)).otherwise(let(hashes, covered))
 
 
-def failed_line(line: Column, rules: LineRules) -> Column:
-    """Does the line (which has a word) fail a rule?"""
-    # Conjunctions stop at the first false part: most lines end in a mark and hold no separator.
+def _line_code(line: Column, following: Column, rules: LineRules) -> Column:
+    """``m``: ends well; ``j``: may go on in the next line; ``x``: a fragment; ``b``: blank."""
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     last = F.substring(F.rtrim(line, F.lit(WHITESPACE)), -1, 1)
-    punctuation = ~last.isin(*CLOSING) & (n_words <= rules.max_unpunctuated)
+    goes_on = ((F.length(line) >= rules.min_wrapped) & ~F.rlike(line, F.lit(f"[{SEPARATORS}]"))
+               & F.coalesce(_has_word(following), F.lit(False)))
+    return (F.when(last.isin(*CLOSING), "m").when(~_has_word(line), "b").when(n_words > rules.max_unpunctuated, "m")
+            .when(goes_on, "j").otherwise("x"))
+
+
+def well_ended(lines: Column, rules: LineRules) -> Column:
+    """Per line, ``m`` if it or the last line of its wrapped block ends well."""
+    codes = F.array_join(F.transform(lines, lambda line, i: _line_code(line, F.get(lines, i + 1), rules)), "")
+    # Backwards, a run of j behind an m becomes m: each match starts at an m or where the last match ended.
+    return F.split(F.reverse(F.regexp_replace(F.reverse(codes), r"(?:(?<=m)|(?!^)\G)j", "m")), "")
+
+
+def failed_line(line: Column, ending: Column, rules: LineRules) -> Column:
+    """Does the line (which has a word, and whose block's ending is known) fail a rule?"""
+    # Conjunctions stop at the first false part: most lines end well and hold neither separators nor stock phrases.
+    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     separators = F.regexp_count(line, F.lit(SEPARATOR_PATTERN))
     navigation = ((F.rlike(line, F.lit(f"[{SEPARATORS}]")) & (separators >= rules.min_separators)
                    & (separators >= n_words * rules.separator_share)) | F.rlike(line, F.lit(MENU_PATTERN)))
-    return punctuation | navigation | F.rlike(line, F.lit(BOILERPLATE_PATTERN))
+    phrases = F.array_join(F.regexp_extract_all(line, F.lit(BOILERPLATE_PATTERN), 0), " ")
+    stock = (F.rlike(line, F.lit(BOILERPLATE_PATTERN))
+             & (F.regexp_count(phrases, F.lit(r"[^\x20\x09-\x0D]+")) >= n_words * rules.stock_share))
+    return (ending != "m") | navigation | stock
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -105,7 +126,8 @@ def judge(df: DataFrame, text_col: str = "text", rules: LineRules = LineRules())
 
     def lines_of(lines: Column) -> Column:
         worded = F.filter(lines, _has_word)
-        good = F.filter(lines, lambda line: ~_has_word(line) | ~failed_line(line, rules))
+        good = let(well_ended(lines, rules), lambda ends: F.filter(
+            lines, lambda line, i: ~_has_word(line) | ~failed_line(line, F.get(ends, i), rules)))
         return F.struct((F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
                         F.array_join(good, "\n").alias("cleaned_text"))
 

@@ -47,6 +47,40 @@ def test_lines(spark):
     assert not r.base_failed and not r.kept and r.cleaned_text == ""
 
 
+def wrap(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if line and len(line) + 1 + len(w) > width:
+            out.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*out, line])
+
+
+def test_prose_stays_however_it_is_wrapped(spark):
+    rng = random.Random(3)
+    names = ["meeting", "council", "river", "agreed", "and", "the", "of", "budget", "north", "bridges", "before", "summer"]
+    prose = " ".join(" ".join(rng.choices(names, k=rng.randrange(8, 25))).capitalize() + "." for _ in range(25))
+    texts = [prose, wrap(prose, 80), wrap(prose, 45), prose + " Click here to read more.", wrap(prose + " Click here to read more.", 70)]
+    for r in q.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.kept_chars >= (r.word_chars if r.doc_id < 4 else 0.95 * r.word_chars) and (r.kept or r.base_failed), r.doc_id
+
+
+def test_fragments_and_menus_beside_wrapped_prose_go(spark):
+    prose = wrap("The council met by the river on Tuesday, and after a long debate agreed on the new bridges in the north.", 40)
+    bad = ["Home | About us | Contact the council | Search", "short fragment", "Click here to subscribe to our newsletter",
+           "a heading that is wide enough to go on but does not"]
+    text = prose + "\n" + "\n\n".join(bad) + "\n\n" + prose
+    r = q.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    assert [x for x in r.cleaned_text.split("\n") if x] == [*prose.split("\n"), *prose.split("\n")]
+
+
+def test_many_wrapped_lines(spark):
+    text = "\n".join(f"line number {k} of a very long block of wrapped text" for k in range(30_000)) + "."
+    r = q.judge(spark.createDataFrame([(1, text), (2, text[:-1])], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert r[0].kept_chars == r[0].word_chars and r[1].kept_chars == 0
+
+
 def test_clean(clashing, empty):
     out = q.clean(clashing)
     assert out.columns == clashing.columns
