@@ -16,7 +16,6 @@ WHITESPACE = " \t\n\x0b\f\r"                # the characters of [\x20\x09-\x0D]
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # ---------------------------------------------------------------------------
 
-FILTER_BITS = 25          # size of a membership bitmap: 2**25 bits, 4 MB, whatever the data
 BATCH_ROWS = 256          # rows per Arrow batch: whole texts, so batches stay a few MB
 
 
@@ -64,29 +63,48 @@ def _slot(cols: list[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << bits)).cast("long")
 
 
-def key_bitmap(keys: DataFrame, cols: list[str], bits: int = FILTER_BITS) -> DataFrame:
-    """Bitmap pages of the key hashes: at most ``2 ** (bits - 15)`` rows of 4 KB."""
+@dataclass(frozen=True)
+class KeySet:
+    """Bitmap pages of key hashes, one row of 4 KB each: it may hold more keys than it was given, never less."""
+    pages: DataFrame
+    cols: tuple[str, ...]
+    bits: int
+
+
+def key_set(keys: DataFrame, cols: list[str], bits: int | None = None) -> KeySet:
+    """The keys as a bitmap of 16 slots a key, counted first (``bits`` overrides the size)."""
+    held = pinned(keys.select(*cols))
+    bits = bits or min(bits_for(held.count()), 40)
     slot = _slot([F.col(c) for c in cols], bits)
-    return (keys.select(slot.alias("_s"))
-                .groupBy(F.shiftright("_s", _PAGE).alias("_page"))
-                .agg(F.bitmap_construct_agg(F.col("_s").bitwiseAND(F.lit((1 << _PAGE) - 1))).alias("_bits")))
+    pages = (held.select(slot.alias("_s")).groupBy(F.shiftright("_s", _PAGE).alias("_page"))
+             .agg(F.bitmap_construct_agg(F.col("_s").bitwiseAND(F.lit((1 << _PAGE) - 1))).alias("_bits")))
+    return KeySet(pages, tuple(cols), bits)
+
 
+def flag_members(df: DataFrame, keys: KeySet, flag: str) -> DataFrame:
+    """Add ``flag``: may the row's key be among those of the set?
 
-def flag_members(df: DataFrame, bitmap: DataFrame, cols: list[str], bits: int, flag: str) -> DataFrame:
-    """Add ``flag``: may the row's key be among those of the bitmap? No shuffle of ``df``."""
+    No shuffle of ``df`` while the bitmap has ``2 ** MAX_BITS`` bits (32 MB) at most; a larger one is joined by page.
+    """
     inside = F.col("_slot").bitwiseAND(F.lit((1 << _PAGE) - 1)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(inside, 3) + 1, 1)), 16, 10).cast("long")
     hit = F.getbit(byte, inside.bitwiseAND(F.lit(7))) == 1
-    return (df.withColumn("_slot", _slot([F.col(c) for c in cols], bits))
+    pages = F.broadcast(keys.pages) if keys.bits <= MAX_BITS else keys.pages
+    return (df.withColumn("_slot", _slot([F.col(c) for c in keys.cols], keys.bits))
               .withColumn("_page", F.shiftright("_slot", _PAGE))
-              .join(F.broadcast(bitmap), "_page", "left")
+              .join(pages, "_page", "left")
               .withColumn(flag, F.coalesce(hit, F.lit(False)))
               .drop("_page", "_slot", "_bits"))
 
 
-# --- bitmaps for Python kernels ----------------------------------------------
+def bits_for(n_keys: int) -> int:
+    """Bits that address 16 slots a key."""
+    return max(_PAGE, (16 * n_keys).bit_length())
+
 
-MAX_BITS = 28             # a bitmap that tasks hold has 2**28 bits (32 MB) at most
+MAX_BITS = 28             # a bitmap that every task holds has 2**28 bits (32 MB) at most
+
+# --- bitmaps for Python kernels ----------------------------------------------
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -98,11 +116,6 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def bits_for(n_keys: int) -> int:
-    """Bits that address 16 slots a key."""
-    return max(_PAGE, (16 * n_keys).bit_length())
-
-
 @dataclass(frozen=True)
 class Bitmap:
     """Set of evenly spread 64-bit numbers by their upper ``bits`` bits; it may hold more, never less."""

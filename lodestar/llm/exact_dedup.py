@@ -3,8 +3,8 @@
 Texts are equal when identical after deleting ASCII white space. Only rows that
 still share their length with another row are grouped by a hash of a short
 prefix, and only rows that still share that are hashed in full. Each round is a
-map-side-combined count; its surviving keys come back as a fixed-size bitmap
-(``2 ** filter_bits`` bits, so the broadcast does not grow with the data), and
+map-side-combined count; its surviving keys come back as a bitmap of 16 slots a key
+(broadcast up to 32 MB, joined by page beyond), and
 no text is ever shuffled to decide. A false positive of the bitmap only means
 that one more row is hashed in full; the last round groups by the full hash, so
 the result is exact.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import FILTER_BITS, flag_members, key_bitmap, pinned, without_whitespace
+from lodestar.llm.common import KeySet, flag_members, key_set, pinned, without_whitespace
 
 PREFIX_CHARS = 64
 
@@ -35,25 +35,24 @@ def _keyed(df: DataFrame, text_col: str, prefix_chars: int) -> DataFrame:
 
 
 def surviving_keys(df: DataFrame, text_col: str = "text", prefix_chars: int = PREFIX_CHARS,
-                   filter_bits: int = FILTER_BITS) -> DataFrame:
+                   filter_bits: int | None = None) -> KeySet:
     """Bitmap of the (length, prefix hash) keys that more than one row has."""
     keys = pinned(_keyed(df.select(text_col), text_col, prefix_chars).select("_len", "_prefix"))
     shared = lambda d, cols: d.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    by_length = key_bitmap(shared(keys, ["_len"]), ["_len"], filter_bits)
-    still = flag_members(keys, by_length, ["_len"], filter_bits, "_again").filter("_again")
-    return key_bitmap(shared(still, ["_len", "_prefix"]), ["_len", "_prefix"], filter_bits)
+    by_length = key_set(shared(keys, ["_len"]), ["_len"], filter_bits)
+    still = flag_members(keys, by_length, "_again").filter("_again")
+    return key_set(shared(still, ["_len", "_prefix"]), ["_len", "_prefix"], filter_bits)
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False,
-                     prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+                     prefix_chars: int = PREFIX_CHARS, filter_bits: int | None = None) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     ``text_sha256`` is the full hash; rows that dropped out of the refinement
     earlier have none, unless ``hash_all`` asks for it.
     """
-    bitmap = surviving_keys(df, text_col, prefix_chars, filter_bits)
-    rows = flag_members(_keyed(df.select(id_col, text_col), text_col, prefix_chars), bitmap, ["_len", "_prefix"],
-                    filter_bits, "_candidate")
+    keys = surviving_keys(df, text_col, prefix_chars, filter_bits)
+    rows = flag_members(_keyed(df.select(id_col, text_col), text_col, prefix_chars), keys, "_candidate")
     full = F.sha2(F.col("_norm"), 256)
     rows = pinned(rows.select(
         F.col(id_col), F.col("_candidate"),
@@ -77,7 +76,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+                    prefix_chars: int = PREFIX_CHARS, filter_bits: int | None = None) -> DataFrame:
     """The rows of ``df`` that stay, all columns kept.
 
     Rows that share no key pass without a shuffle; candidates are combined per
@@ -86,8 +85,8 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"),
                        F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    bitmap = surviving_keys(df, text_col, prefix_chars, filter_bits)
-    rows = flag_members(_keyed(packed, "_text", prefix_chars), bitmap, ["_len", "_prefix"], filter_bits, "_candidate")
+    keys = surviving_keys(df, text_col, prefix_chars, filter_bits)
+    rows = flag_members(_keyed(packed, "_text", prefix_chars), keys, "_candidate")
     single = rows.filter(~F.col("_candidate")).select("_all.*")
     rank = F.struct((-F.length(F.coalesce(F.col("_text"), F.lit("")))).alias("c"), F.col("_id").isNull().alias("n"),
                     F.col("_id").alias("i"), F.xxhash64("_all").alias("h"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import FILTER_BITS, flag_members, key_bitmap, let, pinned, words_of
+from lodestar.llm.common import flag_members, key_set, let, pinned, words_of
 
 # --- fixed values: base kinds in their listed order -----------------------------
 # The matches are those of the plain patterns; possessive forms and the guards
@@ -122,10 +122,20 @@ def _normal(words: Column) -> Column:
 
 def _left_pattern(text: Column, start: Column) -> Column:
     """The two words before the word that holds ``start``; null where there are none, or too long."""
-    before = F.substring(text, F.greatest(start - (CONTEXT_CHARS * 3), F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS * 3)))
+    reach = F.lit(CONTEXT_CHARS * 3)
+    before = F.substring(text, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, reach))
     whole = F.regexp_replace(before, r"[^\x20\x09-\x0D]++$", "")
-    return let(_normal(words_of(whole)), lambda w: F.when(
-        F.size(w) >= 2, _context(F.element_at(w, -2), F.element_at(w, -1))))
+    # The first word of a cut-off stretch may be a part of one: two whole words need a third before them, or the text's begin.
+    near = lambda w: F.when(F.size(w) >= 2, _context(F.element_at(w, -2), F.element_at(w, -1)))
+    return let(_normal(words_of(whole)), lambda w: F.when((start <= reach) | (F.size(w) > 2), near(w)).otherwise(
+        let(F.reverse(F.substring(text, F.lit(1), start)), _far_pattern)))
+
+
+def _far_pattern(backwards: Column) -> Column:
+    """The pattern from all the text before a span, read backwards."""
+    word, gap = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    pair = [F.reverse(F.regexp_extract(backwards, f"^{word}*+{gap}++({word}++){gap}++({word}++)", k)) for k in (2, 1)]
+    return F.when(F.length(pair[0]) > 0, let(_normal(F.array(*pair)), lambda w: _context(F.get(w, F.lit(0)), F.get(w, F.lit(1)))))
 
 
 def _context(first: Column, second: Column) -> Column:
@@ -162,8 +172,7 @@ def _pattern_counts(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFram
         F.sequence(F.lit(2), F.size(w) - 1), lambda i: _context(F.get(w, i - 2), F.get(w, i - 1)))))
     seen = texts.select(F.explode(contexts).alias("pattern")).filter("pattern is not null")
     # The bitmap lets no wanted pattern go, and keeps most others out of the shuffle; the join is exact.
-    bitmap = key_bitmap(wanted, ["pattern"])
-    near = flag_members(seen, bitmap, ["pattern"], FILTER_BITS, "near").filter("near")
+    near = flag_members(seen, key_set(wanted, ["pattern"]), "near").filter("near")
     counted = near.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_all"))
     return counted.join(wanted, "pattern", "left_semi")
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import FILTER_BITS, flag_members, key_bitmap, pinned, small_batches
+from lodestar.llm.common import flag_members, key_set, pinned, small_batches
 from lodestar.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -183,7 +183,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                .filter("_id is not null")
                .select("_id", F.col("fp").alias("_fp"), "root", (F.col("_id") == F.col("component")).alias("lowest")).distinct())
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(id_col).alias("_id"))
-    packed = flag_members(packed, key_bitmap(grouped, ["_id"]), ["_id"], FILTER_BITS, "_grouped")
+    packed = flag_members(packed, key_set(grouped, ["_id"]), "_grouped")
     alone = packed.filter("not _grouped or _id is null").select("_all.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,14 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import FILTER_BITS, flag_members, key_bitmap, pinned, small_batches
+from lodestar.llm.common import flag_members, key_set, pinned, small_batches
 
 # --- fixed values: (host, path, verdict) --------------------------------------
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 # ---------------------------------------------------------------------------
 MAX_WORDS = 50_000        # words that are broadcast; the rest is joined
 MAX_TOKENS = 50_000       # names whose scores are broadcast; the rest is joined
-MAX_WORD_CHARS = 24
 _PIECES = 65_536          # rows of a batch of substrings
 _DELIMITED = re.compile(r"[^\W_]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -155,7 +154,7 @@ def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> Table:
     # Undelimited host labels are what is to be segmented; only labels of several words teach words.
     url_words = F.regexp_extract_all(F.lower(named), F.lit(r"(?<=-)\p{L}+|\p{L}+(?=-)|(?<=[/=&?])\p{L}+"), 0)
     words = pages.select(F.explode(F.concat(F.regexp_extract_all(F.lower(visible), F.lit(r"\p{L}+"), 0), url_words)).alias("w"))
-    words = words.filter(F.length("w").between(1, MAX_WORD_CHARS))
+    words = words.filter(F.length("w") > 0)
     return Table(pinned(words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))), max_words)
 
 
@@ -175,7 +174,7 @@ def _parts(keyed: DataFrame, words: Table) -> DataFrame:
     """The rows of a pinned ``keyed(key, ...)``, keys as of ``names_of``, with the ``tokens`` of each key."""
     spark = keyed.sparkSession
     frequent = spark.sparkContext.broadcast({r["w"]: r["n"] for r in _most_frequent(words.rows, words.bound)})
-    total = words.rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    total, longest = words.rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.length("w")), F.lit(1))).head()
     names = keyed.select(F.expr("substring(key, 3)").alias("name")).distinct()
     names = pinned(names.withColumn("at", F.monotonically_increasing_id()))    # long names are not repeated by substring
 
@@ -185,7 +184,7 @@ def _parts(keyed: DataFrame, words: Table) -> DataFrame:
         for batch in batches:
             for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i in range(len(name)):
-                    more = [w for j in range(i + 1, min(i + MAX_WORD_CHARS, len(name)) + 1) if (w := name[i:j]) not in known]
+                    more = [w for j in range(i + 1, min(i + longest, len(name)) + 1) if (w := name[i:j]) not in known]
                     whole.extend([at] * len(more))
                     out.extend(more)
                     if len(out) >= _PIECES:
@@ -194,12 +193,12 @@ def _parts(keyed: DataFrame, words: Table) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(out, pa.string())], names=["at", "w"])
 
     # The bitmap lets no word go, and keeps most other substrings out of the shuffle; the join is exact.
-    found = flag_members(names.mapInArrow(pieces, "at long, w string"), key_bitmap(words.rows, ["w"]), ["w"], FILTER_BITS, "near")
+    found = flag_members(names.mapInArrow(pieces, "at long, w string"), key_set(words.rows, ["w"]), "near")
     hits = (found.filter("near").select("at", "w").join(words.rows, "w").groupBy("at")
             .agg(F.collect_set(F.struct("w", "n")).alias("hits")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Segmenter(frequent.value, total, MAX_WORD_CHARS)
+        cutter = Segmenter(frequent.value, total, longest)
         for batch in batches:
             cuts = [cutter.split(name, {h["w"]: h["n"] for h in hits or ()})
                     for name, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]

@@ -106,3 +106,30 @@ def test_query_digest(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op9_pii_contexts(spark, str(tmp_path)).collect()}
     assert got[1].spans == "email:5:10,ip:14:21" and (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 0)
     assert got[2].spans == "" and got[2].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_context_before_a_long_word_and_long_gaps(spark):
+    """The two words before the word that holds a span, however far off they are."""
+    path = "p/" * 110
+    texts = {1: f"the access https://x.org/{path}?token=AB12345", 2: "the access" + " " * 300 + "AB12345", 3: "x the access AB12345",
+             4: "access " + "y" * 200 + "=AB12345", 5: "AB12345", 6: "z " * 100 + "é" * 130 + " key " + "q" * 130 + "=AB12345"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: [s["pattern"] for s in r["found"] if s["value"] == "AB12345"] for r in pii._occurrences(rows, "doc_id", "text").collect()}
+    assert got == {1: ["the access"], 2: ["the access"], 3: ["the access"], 4: [None], 5: [None], 6: [None]}
+
+
+def test_recall_of_held_out_secrets(spark):
+    """Secrets in induced contexts whose own strings are no seeds: all are found, and ordinary numbers are not."""
+    random.seed(5)
+    token = lambda: "".join(random.choices("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=10)) + "7313"
+    hexes = lambda: "".join(random.choices("0123456789abcdef", k=40))
+    rows, held = [], set()
+    for k in range(300):
+        if k % 5 == 0:                      # by number: the held-out fifth carries tokens, the others hexadecimal seeds
+            held.add(k)
+            rows.append((k, f"Some words here. My access key {token()} must stay private."))
+        else:
+            rows.append((k, f"Other words there. My access key {hexes()} must stay private."))
+    rows += [(1000 + k, f"In the year {1000000 + k} there were {20000 + k} people.") for k in range(300)]
+    found = {r.doc_id for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.added}
+    assert len(found & held) == len(held) and not any(d >= 1000 for d in found)

@@ -101,3 +101,16 @@ def test_no_word_or_token_is_left_out(spark):
         few = u.fit(pages, max_words=bound, max_tokens=bound)
         assert dict(few[0]) == dict(words) and dict(few[1]) == dict(odds)
         assert {r.page_id: (r.verdict, r.p_block) for r in u.judge(pages, few).collect()} == want
+
+
+def test_long_words_are_words(spark):
+    """Words of any length are counted, and a host of two long ones is cut between them."""
+    long_, other = "donaudampfschifffahrtsgesellschaft", "rindfleischetikettierung"
+    rows = [(k, f"http://x{k}.org/", f"<p>{long_} {other} kurz</p>") for k in range(5)]
+    pages = spark.createDataFrame([*rows, (9, f"http://{long_}{other}.com/", "")], "page_id long, url string, html string")
+    words, *_ = u.fit(pages)
+    assert dict(words)[long_] == 5 and dict(words)["kurz"] == 5
+    key = spark.createDataFrame([("h:" + long_ + other,)], "key string")
+    for bound in (50_000, 0):
+        (row,) = u._parts(u.pinned(key), u.Table(words.rows, bound)).collect()
+        assert [t[2:] for t in row.tokens] == [long_, other]
