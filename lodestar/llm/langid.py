@@ -154,8 +154,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = FEATURE_B
             i, v = batch.column(2), batch.column(3)
             rows += [(k[j], y[j], i[j].values.to_numpy(), v[j].values.to_numpy()) for j in range(batch.num_rows)]
         rows.sort(key=lambda r: (r[0], r[1], len(r[2]), float(r[3].sum())))
-        back = [r for r in rows if r[0] % HELD_BACK == 0] if len(rows) >= 10 * HELD_BACK else []
-        fitting = [r for r in rows if not back or r[0] % HELD_BACK]
+        first: dict[int, int] = {}
+        for at, r in enumerate(rows):
+            first.setdefault(r[1], at)                  # one row of each language is always learned from
+        held = [r[0] % HELD_BACK == 0 and first[r[1]] != at for at, r in enumerate(rows)]
+        back, fitting = [r for r, h in zip(rows, held) if h], [r for r, h in zip(rows, held) if not h]
         w = linear.train([(i, v, y) for _, y, i, v in fitting], 1 << bits, len(languages), params)
         t = linear.temperature(np.array([linear.logits(w, i, v) for _, _, i, v in back]), np.array([r[1] for r in back], int))
         yield pa.RecordBatch.from_arrays([pa.array([_pack(w=w, t=np.array(t), idf=idf, names=np.array(languages))])],

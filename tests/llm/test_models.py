@@ -108,3 +108,14 @@ def test_toxicity_of_awkward_rows(spark, rows, clashing, empty):
     assert none == [None, None]
     assert {r.p_toxic for r in toxicity.predict(rows, none).collect()} == {0.5}
     assert toxicity.predict(empty, models).count() == 0 and toxicity.fit(empty, labels) == [None, None]
+
+
+def test_small_samples_are_calibrated_by_the_same_rule(spark):
+    """One row of each language is always learned from; otherwise rows are held back by hash at every size."""
+    texts = {"en": "the cat and the dog of the house", "de": "der Hund und die Katze im Haus", "fr": "le chien et le chat de la maison"}
+    for n in (1, 5, 17, 40):
+        rows = [(k * 3 + j, f"{t} {k}", lang) for k in range(n) for j, (lang, t) in enumerate(texts.items())]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = langid.fit(docs)
+        got = langid.predict(docs.select("doc_id", "text"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+        assert len(got) == 3 * n and sum(r.lang_pred == r.lang for r in got) >= 0.9 * len(got)
