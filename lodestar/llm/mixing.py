@@ -189,9 +189,12 @@ def _cut_offs(keyed: DataFrame, histogram: DataFrame, cuts: DataFrame, shift: in
 
 
 def members_of(df: DataFrame, source_col: str) -> Column:
-    """A source column as a set of sources: arrays as they are, scalars as sets of one."""
+    """A source column as a set of sources: arrays as they are, scalars as sets of one; a null or empty array is the null source."""
     col = F.col(f"`{source_col}`")
-    return col if isinstance(df.schema[source_col].dataType, T.ArrayType) else F.array(col.cast("string"))
+    if not isinstance(df.schema[source_col].dataType, T.ArrayType):
+        return F.array(col.cast("string"))
+    every = col.cast("array<string>")
+    return F.when(F.coalesce(F.size(every), F.lit(0)) > 0, every).otherwise(F.array(F.lit(None).cast("string")))
 
 
 def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

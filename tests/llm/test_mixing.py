@@ -107,3 +107,13 @@ def test_awkward_rows(rows, clashing, empty):
     assert mixed.columns == clashing.columns
     assert mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(empty).count() == 0 and mixing.decisions(empty).count() == 0
+
+
+def test_null_and_empty_source_sets_are_the_null_source(spark):
+    rows = [(1, "a b c", ["x"]), (2, "d e f", None), (3, "g h i", []), (4, "j k l", [None]), (5, "m n o", ["x", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mixing.decisions(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5}
+    assert {r.source for r in got if r.doc_id in (2, 3, 4)} == {None}
+    assert {r.source for r in got if r.doc_id == 5} == {"x", None}
+    assert mixing.mix(docs).count() >= 5
