@@ -170,6 +170,8 @@ SELECT round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries FROM r""",
     "query_group_ids": f"""WITH {VALID}
 SELECT batch_id, row_id, row_id AS query_group, rank FROM r""",
     "knn_exact": f"""WITH {KNN}
+SELECT query_id, code_id, position, round(score, 6) AS score FROM k""",
+    "knn_cells": f"""WITH {KNN}
 SELECT query_id, code_id, position, round(score, 6) AS score FROM k""",
     "topk_results": f"""WITH {KNN}
 SELECT query, url, position FROM pred""",

@@ -68,6 +68,13 @@ def q_knn_exact(spark, sf_dir):
     return rounded(_knn(spark, sf_dir).select("query_id", "code_id", "position", "score"))
 
 
+def q_knn_cells(spark, sf_dir):
+    """The same answers through pivot cells of 64 codes, whatever the number of queries."""
+    hits = search.knn_exact(fx.search_queries(spark, sf_dir), fx.search_corpus(spark, sf_dir), config.N_RESULTS,
+                            max_broadcast_queries=0, chunk_rows=64)
+    return rounded(hits.select("query_id", "code_id", "position", "score"))
+
+
 def _predictions(spark, sf_dir):
     hits = _knn(spark, sf_dir)
     named = hits.join(fx.search_queries(spark, sf_dir).select("query_id", "query"), "query_id")
@@ -184,6 +191,7 @@ QUERIES = {
     "mrr_test_pool": q_mrr_test_pool,
     "query_group_ids": q_query_group_ids,
     "knn_exact": q_knn_exact,
+    "knn_cells": q_knn_cells,
     "topk_results": q_topk_results,
     "take_by_position": q_take_by_position,
     "mean_relevance": q_mean_relevance,
