@@ -35,8 +35,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def angular_distance(cos: Column | str) -> Column:
-    """``sqrt(2(1-cos))`` clamped at 0."""
-    return F.sqrt(F.greatest(F.lit(2.0) * (F.lit(1.0) - _c(cos)), F.lit(0.0)))
+    """``sqrt(2(1-cos))`` clamped at 0; NULL where the cosine is."""
+    squared = F.lit(2.0) * (F.lit(1.0) - _c(cos))
+    return F.when(squared < 0, F.lit(0.0)).otherwise(F.sqrt(squared))
 
 
 def relu(x: Column | str) -> Column:

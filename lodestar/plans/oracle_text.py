@@ -157,6 +157,16 @@ ORACLE_TEXT = {
     "read_pairs_jsonl": f"WITH {F2}\n{CORPUS_SELECT}",
     "corpus_projection": f"WITH {F2}\n{CORPUS_SELECT}",
     "eval_projection": f"WITH {F2}\n{CORPUS_SELECT}",
+    "project_field": f"""WITH {F2}, c AS (SELECT row_id, array_to_string(code_tokens, ' ') AS code FROM f2)
+SELECT row_id, field, md5(code) AS digest FROM c CROSS JOIN (VALUES ('code'), ('query')) AS f(field)""",
+    "label_intersection": """SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE lang IN ('en', 'fr')
+UNION ALL SELECT DISTINCT 'source' AS kind, source AS name FROM documents WHERE lang IN ('en', 'fr')""",
+    "corpus_select": """SELECT true AS training, CAST(doc_id AS VARCHAR) AS url, source AS identifier FROM documents WHERE lang IN ('en', 'fr')
+UNION ALL SELECT false AS training, CAST(doc_id AS VARCHAR) AS url, source AS identifier FROM documents""",
+    "single_line_docstrings": """SELECT doc_id AS row_id, length(text) AS n_chars, md5(replace(text, chr(10), ' ')) AS digest FROM documents""",
+    "pair_geometry": f"""WITH {TOWERS}
+SELECT row_id, round(sqrt(list_dot_product(qv, qv)), 6) AS query_norm, round(sqrt(list_dot_product(cv, cv)), 6) AS code_norm,
+       round(CASE WHEN {cos('qv', 'cv')} IS NULL THEN NULL ELSE sqrt(greatest(2 * (1 - {cos('qv', 'cv')}), 0)) END, 6) AS distance FROM t""",
     "scan_splits": f"""WITH {split_cte('documents', 'doc_id')}
 SELECT CAST(d.doc_id AS VARCHAR) AS url, d.source AS identifier, sp.split,
        CAST(CASE sp.split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END AS INTEGER) AS split_order

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar import config
 from lodestar.config import LshParams
-from lodestar.functions.text import pretokens
+from lodestar.functions.text import pretokens, strip_newlines
+from lodestar.functions.vector import angular_distance, cosine, l2_norm
 from lodestar.operators import bpe, corpus, encoder, langid, lsh, rowid, train
 from lodestar.plans import fixtures as fx
 from lodestar.plans.common import rounded
@@ -47,6 +48,50 @@ def q_corpus_projection(spark, sf_dir):
     return corpus.corpus_projection(_raw(spark, sf_dir)).select("url", "identifier", "code", "query")
 
 
+def q_project_field(spark, sf_dir):
+    """P6 over P1: the two fields to tokenize, one after the other."""
+    pairs = corpus.corpus_projection(_raw(spark, sf_dir))
+    code, query = (corpus.project_field(pairs, f).select("row_id", F.lit(f).alias("field"), F.md5("text").alias("digest"))
+                   for f in ("code", "query"))
+    return code.unionByName(query)
+
+
+def _wanted(labels):
+    """The label set holds one of the wanted languages' labels."""
+    return corpus.label_intersection(labels, F.array(*[F.lit(x) for x in langid.nl_labels(list(NL_FILTER))]))
+
+
+def q_label_intersection(spark, sf_dir):
+    """Sources by the labels of all their documents, and documents by their own."""
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("__label__"), "lang").alias("label"))
+    sources = docs.groupBy("source").agg(F.collect_set("label").alias("labels")).where(_wanted(F.col("labels")))
+    own = docs.where(_wanted(F.array("label")))
+    return (sources.select(F.lit("source").alias("kind"), F.col("source").alias("name"))
+            .unionByName(own.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("name"))))
+
+
+def q_corpus_select(spark, sf_dir):
+    """P10: the language-filtered corpus when training, all definitions otherwise."""
+    labels = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("__label__"), "lang").alias("label"))
+    kept = _raw(spark, sf_dir).join(labels.where(_wanted(F.array("label"))), "row_id", "left_semi")
+    training, evaluation = corpus.corpus_projection(kept), corpus.eval_projection(fx.definition_records(spark, sf_dir))
+    chosen = [corpus.corpus_select(on, training, evaluation).select(F.lit(on).alias("training"), "url", "identifier") for on in (True, False)]
+    return chosen[0].unionByName(chosen[1])
+
+
+def q_single_line_docstrings(spark, sf_dir):
+    """Every docstring on one line."""
+    line = strip_newlines("docstring")
+    return _raw(spark, sf_dir).select("row_id", F.length(line).cast("long").alias("n_chars"), F.md5(line).alias("digest"))
+
+
+def q_pair_geometry(spark, sf_dir):
+    """Norms, cosine and angular distance of every pair of towers."""
+    return rounded(fx.towers(spark, sf_dir).select(
+        "row_id", l2_norm("query_vec").alias("query_norm"), l2_norm("code_vec").alias("code_norm"),
+        angular_distance(cosine("query_vec", "code_vec")).alias("distance")))
+
+
 def q_eval_projection(spark, sf_dir):
     """S6 + P2: the definition set stored as Parquet, read back, projected."""
     path = scratch_path(spark, "definitions")
@@ -326,6 +371,11 @@ QUERIES_TEXT = {
     "scan_splits": q_scan_splits,
     "corpus_projection": q_corpus_projection,
     "eval_projection": q_eval_projection,
+    "project_field": q_project_field,
+    "label_intersection": q_label_intersection,
+    "corpus_select": q_corpus_select,
+    "single_line_docstrings": q_single_line_docstrings,
+    "pair_geometry": q_pair_geometry,
     "read_annotations_csv": q_read_annotations_csv,
     "read_queries": q_read_queries,
     "text_stream": q_text_stream,

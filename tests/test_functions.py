@@ -31,10 +31,10 @@ def test_pretokens_split_words_and_punctuation(spark):
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     r = df.select(fn.l2_norm("a").alias("n"), fn.cosine("a", "b").alias("c"), fn.cosine("a", "z").alias("cz"),
-                  fn.angular_distance(fn.cosine("a", "a")).alias("ad"), fn.relu(F.lit(-2.0)).alias("r"),
+                  fn.angular_distance(fn.cosine("a", "a")).alias("ad"), fn.angular_distance(fn.cosine("a", "z")).alias("az"), fn.relu(F.lit(-2.0)).alias("r"),
                   fn.gain(F.lit(2.0)).alias("g"), fn.discount(F.lit(3)).alias("d")).first()
     assert r["n"] == pytest.approx(5.0) and r["c"] == pytest.approx(24 / 25)
-    assert r["cz"] is None                       # zero vector: NULL, not an error
+    assert r["cz"] is None and r["az"] is None   # zero vector: NULL, not an error
     assert r["ad"] == pytest.approx(0.0, abs=1e-7) and r["r"] == 0.0
     assert r["g"] == 3.0 and r["d"] == pytest.approx(1 / math.log2(4))
 

@@ -5,10 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from lodestar.plans.queries import QUERIES
 from tests.conftest import SF001
 
-KEYS = ["knn_exact", "ndcg", "global_row_id", "best_checkpoints", "langid_predict", "pair_loss",
-        "word_counts", "ideal_rank", "knn_approx", "early_stop"]
+KEYS = [*QUERIES, "best_checkpoints", "langid_predict", "word_counts", "knn_approx", "early_stop", "project_field",
+        "label_intersection", "corpus_select", "single_line_docstrings", "pair_geometry", "alphabet", "bpe_pair_counts",
+        "token_frequency", "mean_pool", "embed_lookup", "nl_labels", "filter_nl", "index_build", "text_stream"]
 
 
 def _plan(df):
