@@ -93,3 +93,30 @@ def test_early_stop_distributed_equals_fold(spark):
     assert [x[:3] + (x[4],) for x in a] == [x[:3] + (x[4],) for x in b]
     for x, y in zip(a, b):
         assert (x[3] is None and y[3] is None) or x[3] == pytest.approx(y[3])
+
+
+def test_kernels_hold_a_slice_of_a_batch():
+    """Pooling 4,000 rows of 200 tokens takes memory of a slice, and a batch of long texts is counted in several runs."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(0)
+    tower = encoder.Tower({"embed": rng.normal(size=(50, 32)), **{n: np.ones((32, 32)) for n in ("fc_weight", "fc_bias", "bn_mean", "bn_var", "bn_weight", "bn_bias")}})
+    ids = rng.integers(0, 50, size=(4000, 200))
+    tracemalloc.start()
+    pooled = tower.pool(ids)
+    assert tracemalloc.get_traced_memory()[1] < 50e6           # the whole batch's states: 205 MB
+    tracemalloc.stop()
+    assert np.array_equal(pooled[17], tower.embed[ids[17]].sum(axis=0) / 200)
+    texts = pa.array(["abc" * n for n in (10, 400_000, 5)] + [None, ""] + ["xyz " * 200_000] * 3)
+    runs = list(langid._slices(texts))
+    assert [i for r in runs for i in range(r.start, r.stop)] == list(range(8)) and len(runs) > 3
+
+
+def test_trigram_counts_add_up_over_slices():
+    codes = langid._codes("banana bandana")
+    grams, counts = langid._added(*[np.unique(c, return_counts=True) for c in (codes[:5], codes[5:])])
+    whole = np.unique(codes, return_counts=True)
+    assert np.array_equal(grams, whole[0]) and np.array_equal(counts, whole[1])
+    none = np.unique(codes[:0], return_counts=True)
+    assert len(langid._added(none, none)[0]) == 0
