@@ -7,7 +7,7 @@ scan; writers produce one gzip file per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,15 +92,17 @@ def tag_split(df: DataFrame, path: Column, splits: Sequence[str] = config.SPLIT_
 
 
 def write_splits(df: DataFrame, root: str, code_lang: str, split_col: str = "split",
-                 splits: Sequence[str] = config.SPLIT_NAMES) -> None:
+                 splits: Sequence[str] = config.SPLIT_NAMES, project: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write a frame carrying a split column as the raw split directory layout.
 
-    The input is persisted for the three filtered writes so it is computed once.
+    The input is persisted for the three filtered writes so it is computed once. ``project`` makes the
+    written columns from a split's rows, so that wide ones are neither moved nor persisted.
     """
     cached = df.persist()
     try:
         for s in splits:
-            write_jsonl(cached.where(F.col(split_col) == s).drop(split_col), split_dir(root, code_lang, s))
+            rows = cached.where(F.col(split_col) == s).drop(split_col)
+            write_jsonl(project(rows) if project else rows, split_dir(root, code_lang, s))
     finally:
         cached.unpersist()
 

@@ -120,3 +120,18 @@ def test_trigram_counts_add_up_over_slices():
     assert np.array_equal(grams, whole[0]) and np.array_equal(counts, whole[1])
     none = np.unique(codes[:0], return_counts=True)
     assert len(langid._added(none, none)[0]) == 0
+
+
+def test_split_directories_are_projected_after_the_split(spark, monkeypatch):
+    """Texts are joined with their split before they are tokenized: no token array is persisted."""
+    from lodestar.plans import fixtures, queries_text
+    docs = spark.createDataFrame([(i, "src", f"word{i} x, y") for i in range(20)] + [(20, None, None)], "doc_id long, source string, text string")
+    monkeypatch.setattr(fixtures, "load", lambda *a: docs)
+    write, seen = files.write_splits, []
+    monkeypatch.setattr(files, "write_splits", lambda df, *a, **kw: (seen.append(df.columns), write(df, *a, **kw)))
+    root = scratch_path(spark, "t-splits")
+    queries_text._write_raw_splits(spark, "", root)
+    assert sorted(seen[0]) == ["doc_id", "source", "split", "text"]
+    back = files.scan_splits(spark, root, "python").drop("split", "split_order")
+    key = lambda r: int(r["url"])
+    assert sorted(back.collect(), key=key) == sorted(fixtures.raw_fields(docs).drop("row_id").collect(), key=key)
