@@ -5,11 +5,11 @@ is one ``applyInPandas`` group (bounded by the batch size) that runs the
 forward pass in training mode (batch-norm batch statistics, inverted dropout
 from a seeded mask) and returns its loss, its batch-norm statistics and its
 gradients, sparse in the embedding rows it touched. Gradients are summed per
-(param, row) in Spark; only that model-sized sum reaches the driver, which
+(param, row) in Spark, as whole vectors; only that model-sized sum reaches the driver, which
 averages, clips by global norm, applies AdamW and re-broadcasts the weights.
 
-The training table is written once per epoch partitioned by step, so each
-step's job reads only its own files.
+The training table is written once per epoch, a file per step, and a step is one
+job over its own file: every mini-batch passes its kernel once.
 """
 
 from __future__ import annotations
@@ -182,18 +182,27 @@ def _step_kernel(bc, dropout: float, seed: int, epoch: int, shared: bool):
             for k, mat in g.items():
                 if k == "embed":
                     touched = np.flatnonzero(np.abs(mat).sum(axis=1))
-                    out += [("g", tname, k, int(r), mat[r].tolist(), bid, len(pdf)) for r in touched]
+                    out += [("g", tname, k, int(r), mat[r], bid, len(pdf)) for r in touched]
                 else:
-                    out += [("g", tname, k, int(r), mat[r].tolist(), bid, len(pdf)) for r in range(mat.shape[0])]
+                    out += [("g", tname, k, int(r), mat[r], bid, len(pdf)) for r in range(mat.shape[0])]
         for side, (mu, var) in stats.items():
             tname = code_t if side == "code" else query_t
-            out.append(("s", tname, side + "_mean", 0, mu.tolist(), bid, len(pdf)))
-            out.append(("s", tname, side + "_var", 0, var.tolist(), bid, len(pdf)))
-        out.append(("l", "", "loss", 0, [loss], bid, len(pdf)))
+            out.append(("s", tname, side + "_mean", 0, mu, bid, len(pdf)))
+            out.append(("s", tname, side + "_var", 0, var, bid, len(pdf)))
+        out.append(("l", "", "loss", 0, np.array([loss]), bid, len(pdf)))
         return pd.DataFrame(out, columns=["kind", "tower", "param", "row", "vals", "batch_id", "n"])
     return run
 
 
+def _summed(out: DataFrame) -> DataFrame:
+    """Gradients of a parameter row added over the mini-batches, in their order; losses and statistics stay a row a mini-batch."""
+    own = F.when(F.col("kind") != "g", F.col("batch_id")).alias("batch_id")
+    added = F.expr("aggregate(slice(parts, 2, size(parts)), parts[0].vals, (acc, p) -> zip_with(acc, p.vals, (x, y) -> x + y))")
+    return (out.groupBy("kind", "tower", "param", "row", own)
+               .agg(F.sort_array(F.collect_list(F.struct(F.col("batch_id"), "vals"))).alias("parts"), F.max("n").alias("n"))
+               .select("kind", "tower", "param", "row", "batch_id", added.alias("vals"), "n"))
+
+
 def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_dim: int = config.EMBEDDING_DIM,
              encoding_dim: int = config.ENCODING_DIM, lr: float = config.LEARNING_RATE, epochs: int = 1,
              batches_per_step: int = 64, clip: float | None = None, dropout: float = config.ENCODER_DROPOUT,
@@ -226,23 +235,23 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
         if max_batches is not None:
             table = table.where(F.col("batch_id") < max_batches)
         path = scratch_path(spark, f"fit-epoch{epoch}")
-        table.write.partitionBy("step").parquet(path)
-        n_steps = table.agg(F.max("step")).first()[0]
+        table.repartition("step").write.partitionBy("step").parquet(path)
+        n_steps = spark.read.schema(table.schema).parquet(path).agg(F.max("step")).first()[0]
+        columns = table.drop("step").schema
+        tasks = min(batches_per_step, spark.sparkContext.defaultParallelism)
         losses = []
         for step in range(int(n_steps) + 1 if n_steps is not None else 0):
             bc = spark.sparkContext.broadcast(towers)        # model-sized
-            part = spark.read.parquet(path).where(F.col("step") == step)
-            out = (part.groupBy("batch_id")
+            part = spark.read.schema(columns).parquet(f"{path}/step={step}")
+            out = (part.repartition(tasks, "batch_id").groupBy("batch_id")     # a few rows: else all mini-batches share a task
                        .applyInPandas(_step_kernel(bc, dropout, seed, epoch, shared), _GRAD_SCHEMA))
-            summed = (out.where(F.col("kind") == "g").select("tower", "param", "row", F.posexplode("vals"))
-                         .groupBy("tower", "param", "row", "pos").agg(F.sum("col").alias("v"))
-                         .groupBy("tower", "param", "row")
-                         .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("cells")))
-            side = out.where(F.col("kind") != "g").collect()     # per mini-batch: loss + BN stats
+            found = _summed(out).collect()       # bounded by the parameter count; per mini-batch: loss + BN stats
+            side = [r for r in found if r["kind"] != "g"]
             n_batches = sum(1 for r in side if r["kind"] == "l")
             grads = {t: {k: np.zeros_like(v) for k, v in towers[t].items() if k in PARAMS} for t in names}
-            for r in summed.collect():                            # bounded by the parameter count
-                grads[r["tower"]][r["param"]][r["row"]] = [c["v"] for c in r["cells"]]
+            for r in found:
+                if r["kind"] == "g":
+                    grads[r["tower"]][r["param"]][r["row"]] = r["vals"]
             for t in names:
                 for g in grads[t].values():
                     g /= max(n_batches, 1)
