@@ -1,31 +1,35 @@
 """NBOW two-tower training as synchronous data-parallel steps.
 
 One optimiser step takes ``batches_per_step`` mini-batches. Each mini-batch
-is one ``applyInPandas`` group (bounded by the batch size) that runs the
+passes a kernel (bounded by the batch size) that runs the
 forward pass in training mode (batch-norm batch statistics, inverted dropout
 from a seeded mask) and returns its loss, its batch-norm statistics and its
-gradients, sparse in the embedding rows it touched. Gradients are summed per
-(param, row) in Spark, as whole vectors; only that model-sized sum reaches the driver, which
+gradients, sparse in the embedding rows it touched. A step's mini-batches are dealt over
+at most ``LANES`` tasks, each of which adds the gradients of its own in their order;
+those sums (``LANES`` times the model at most) reach the driver, which
 averages, clips by global norm, applies AdamW and re-broadcasts the weights.
 
-The training table is written once per epoch, a file per step, and a step is one
-job over its own file: every mini-batch passes its kernel once.
+The training rows are shuffled once per epoch into one partition per step and lane, and a step is one
+job of one stage over its own partitions: every mini-batch passes its kernel once.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import config
-from lodestar.session import scratch_path, ship_package
+from lodestar.session import ship_package
 
+LANES = 16                   # tasks of a step
 PARAMS = ("embed", "fc_weight", "fc_bias", "bn_weight", "bn_bias")
 EPS = config.BATCHNORM_EPS
 
@@ -65,11 +69,11 @@ def _backward(p: dict, cache: dict, dzd: np.ndarray, grads: dict) -> None:
     dpooled = dh @ p["fc_weight"] / ids.shape[1]
     # embedding rows: scaled by the inverse token frequency in this call, pad row gets none
     flat = ids.reshape(-1)
-    uniq, counts = np.unique(flat, return_counts=True)
-    freq = dict(zip(uniq.tolist(), counts.tolist()))
-    rows = np.repeat(dpooled, ids.shape[1], axis=0)
-    scale = np.array([1.0 / freq[t] for t in flat])[:, None]
-    np.add.at(grads["embed"], flat, rows * scale)
+    _, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rows = np.repeat(dpooled, ids.shape[1], axis=0) * (1.0 / counts)[at][:, None]
+    dim = rows.shape[1]
+    cells = (flat[:, None] * dim + np.arange(dim)).reshape(-1)          # one dimension: numpy adds these fast, in order
+    np.add.at(grads["embed"].reshape(-1), cells, rows.reshape(-1))
     grads["embed"][0] = 0.0
 
 
@@ -108,8 +112,9 @@ def loss_and_grads(code_p: dict, query_p: dict, code_ids: np.ndarray, query_ids:
     dcu = gs.T @ qu
     dq = (dqu - qu * (qu * dqu).sum(axis=1, keepdims=True)) / qn
     dc = (dcu - cu * (cu * dcu).sum(axis=1, keepdims=True)) / cn
-    code_g = {k: np.zeros_like(v) for k, v in code_p.items() if k in PARAMS}
-    query_g = code_g if query_p is code_p else {k: np.zeros_like(v) for k, v in query_p.items() if k in PARAMS}
+    zeros = lambda p: {k: np.zeros(v.shape) for k, v in p.items() if k in PARAMS}  # noqa: E731   zeros_like of unpickled arrays is slow in add.at
+    code_g = zeros(code_p)
+    query_g = code_g if query_p is code_p else zeros(query_p)
     _backward(code_p, c_cache, dc, code_g)
     _backward(query_p, q_cache, dq, query_g)
     stats = {"code": (c_cache["mu"], c_cache["h"].var(axis=0, ddof=1) if n > 1 else c_cache["var"]),
@@ -164,11 +169,9 @@ def _init_params(spark: SparkSession, tower: str, vocab_size: int, emb: int, enc
             "bn_mean": np.zeros((1, enc)), "bn_var": np.ones((1, enc))}
 
 
-_GRAD_SCHEMA = "kind string, tower string, param string, row int, vals array<double>, batch_id long, n long"
-
-
 def _step_kernel(bc, dropout: float, seed: int, epoch: int, shared: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kernel of one mini-batch: ``(batch_id, rows, loss, statistics, gradients)``, gradients as ``{tower: {param: (rows, values)}}``."""
+    def run(pdf: pd.DataFrame) -> tuple:
         towers = bc.value
         code_t, query_t = ("shared", "shared") if shared else ("code", "query")
         pdf = pdf.sort_values("row_id")
@@ -176,31 +179,67 @@ def _step_kernel(bc, dropout: float, seed: int, epoch: int, shared: bool):
         rng = np.random.default_rng([seed, epoch, bid])
         ci = np.stack([np.asarray(v, dtype=np.int64) for v in pdf["code_ids"]])
         qi = np.stack([np.asarray(v, dtype=np.int64) for v in pdf["query_ids"]])
-        loss, cg, qg, stats = loss_and_grads(towers[code_t], towers[query_t], ci, qi, dropout, rng)
-        out = []
+        met = np.union1d(0, np.concatenate([ci.reshape(-1), qi.reshape(-1)]))           # the pad row stays the first one
+        local = {t: {**p, "embed": p["embed"][met]} for t, p in towers.items()}
+        loss, cg, qg, stats = loss_and_grads(local[code_t], local[query_t], np.searchsorted(met, ci), np.searchsorted(met, qi), dropout, rng)
+        grads: dict = {}
         for tname, g in ((code_t, cg),) if shared else ((code_t, cg), (query_t, qg)):
-            for k, mat in g.items():
-                if k == "embed":
-                    touched = np.flatnonzero(np.abs(mat).sum(axis=1))
-                    out += [("g", tname, k, int(r), mat[r], bid, len(pdf)) for r in touched]
-                else:
-                    out += [("g", tname, k, int(r), mat[r], bid, len(pdf)) for r in range(mat.shape[0])]
-        for side, (mu, var) in stats.items():
-            tname = code_t if side == "code" else query_t
-            out.append(("s", tname, side + "_mean", 0, mu, bid, len(pdf)))
-            out.append(("s", tname, side + "_var", 0, var, bid, len(pdf)))
-        out.append(("l", "", "loss", 0, np.array([loss]), bid, len(pdf)))
-        return pd.DataFrame(out, columns=["kind", "tower", "param", "row", "vals", "batch_id", "n"])
+            touched = np.flatnonzero(np.abs(g["embed"]).sum(axis=1))
+            grads[tname] = {k: (np.arange(len(mat)), mat) if k != "embed" else (met[touched], mat[touched]) for k, mat in g.items()}
+        return bid, len(pdf), loss, stats, grads
     return run
 
 
-def _summed(out: DataFrame) -> DataFrame:
-    """Gradients of a parameter row added over the mini-batches, in their order; losses and statistics stay a row a mini-batch."""
-    own = F.when(F.col("kind") != "g", F.col("batch_id")).alias("batch_id")
-    added = F.expr("aggregate(slice(parts, 2, size(parts)), parts[0].vals, (acc, p) -> zip_with(acc, p.vals, (x, y) -> x + y))")
-    return (out.groupBy("kind", "tower", "param", "row", own)
-               .agg(F.sort_array(F.collect_list(F.struct(F.col("batch_id"), "vals"))).alias("parts"), F.max("n").alias("n"))
-               .select("kind", "tower", "param", "row", "batch_id", added.alias("vals"), "n"))
+def _add(total: dict, grads: dict) -> None:
+    for t, params in grads.items():
+        for k, (rows, vals) in params.items():
+            total[t][k][rows] += vals               # a row stands once
+
+
+def _lane(run, shapes: dict):
+    """A partition's mini-batches in order: their gradients added up, and a row each with loss and statistics."""
+    def task(rows) -> Iterator[tuple]:
+        table = pd.DataFrame([r for _, r in rows], columns=["batch_id", "row_id", "code_ids", "query_ids"])
+        for c in ("code_ids", "query_ids"):
+            table[c] = [np.frombuffer(v, np.int32) for v in table[c]]
+        found = [run(pdf) for _, pdf in table.groupby("batch_id", sort=True)]
+        if len(found) == 1:
+            yield [found[0][:4]], found[0][4]
+        elif found:
+            total = {t: {k: np.zeros(shape) for k, shape in params.items()} for t, params in shapes.items()}
+            met: dict = {t: {k: [] for k in params} for t, params in shapes.items()}
+            for *_, grads in found:
+                _add(total, grads)
+                for t, params in grads.items():
+                    for k, (at, _) in params.items():
+                        met[t][k].append(at)
+            rows_of = {t: {k: np.unique(np.concatenate(at)) for k, at in params.items()} for t, params in met.items()}
+            yield [f[:4] for f in found], {t: {k: (at, total[t][k][at]) for k, at in params.items()} for t, params in rows_of.items()}
+    return task
+
+
+def _dealt(table: DataFrame, batches_per_step: int) -> tuple[RDD, int, int]:
+    """The rows by step and lane, a partition each; with the lanes of a step and the number of steps.
+
+    A lane holds neighbouring mini-batches, their number fixed by ``batches_per_step``, so sums do not depend on the cluster.
+    """
+    own = math.ceil(batches_per_step / LANES)
+    lanes = math.ceil(batches_per_step / own)
+    last = table.agg(F.max("batch_id")).first()[0]
+    n_steps = 0 if last is None else int(last) // batches_per_step + 1
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c in ("code_ids", "query_ids"):
+                pdf[c] = [np.asarray(v, np.int32).tobytes() for v in pdf[c]]
+            yield pdf
+
+    def place(row) -> tuple:
+        step, at = divmod(row[0], batches_per_step)
+        return step * lanes + at // own, (row[0], row[1], bytes(row[2]), bytes(row[3]))
+
+    rows = table.select("batch_id", "row_id", "code_ids", "query_ids").mapInPandas(packed, "batch_id long, row_id long, code_ids binary, query_ids binary")
+    return rows.rdd.map(place).partitionBy(max(n_steps * lanes, 1), lambda lane: lane), lanes, n_steps
 
 
 def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_dim: int = config.EMBEDDING_DIM,
@@ -225,45 +264,38 @@ def nbow_fit(batched: DataFrame, vocab_size: int = config.VOCAB_SIZE, embedding_
     names = ["shared"] if shared else ["code", "query"]
     towers = {t: _init_params(spark, t, vocab_size, embedding_dim, encoding_dim) for t in names}
     opt = {t: AdamW(lr=lr) for t in names}
+    shapes = {t: {k: v.shape for k, v in towers[t].items() if k in PARAMS} for t in names}
     metrics: list[tuple] = []
     best, wait = math.inf, 0
     train_rows = batched.where(F.col("split") == "train").select("row_id", "split", "split_pos", "code_ids", "query_ids")
     for epoch in range(epochs):
         shuffled = shuffle_rows(train_rows, epoch)
-        table = (shuffled.withColumn("batch_id", F.floor(F.col("shuffle_pos") / config.BATCH_SIZE).cast("bigint"))
-                         .withColumn("step", F.floor(F.col("batch_id") / batches_per_step).cast("bigint")))
+        table = shuffled.withColumn("batch_id", F.floor(F.col("shuffle_pos") / config.BATCH_SIZE).cast("bigint"))
         if max_batches is not None:
             table = table.where(F.col("batch_id") < max_batches)
-        path = scratch_path(spark, f"fit-epoch{epoch}")
-        table.repartition("step").write.partitionBy("step").parquet(path)
-        n_steps = spark.read.schema(table.schema).parquet(path).agg(F.max("step")).first()[0]
-        columns = table.drop("step").schema
-        tasks = min(batches_per_step, spark.sparkContext.defaultParallelism)
+        dealt, lanes, n_steps = _dealt(table, batches_per_step)
         losses = []
-        for step in range(int(n_steps) + 1 if n_steps is not None else 0):
+        for step in range(n_steps):
             bc = spark.sparkContext.broadcast(towers)        # model-sized
-            part = spark.read.schema(columns).parquet(f"{path}/step={step}")
-            out = (part.repartition(tasks, "batch_id").groupBy("batch_id")     # a few rows: else all mini-batches share a task
-                       .applyInPandas(_step_kernel(bc, dropout, seed, epoch, shared), _GRAD_SCHEMA))
-            found = _summed(out).collect()       # bounded by the parameter count; per mini-batch: loss + BN stats
-            side = [r for r in found if r["kind"] != "g"]
-            n_batches = sum(1 for r in side if r["kind"] == "l")
-            grads = {t: {k: np.zeros_like(v) for k, v in towers[t].items() if k in PARAMS} for t in names}
-            for r in found:
-                if r["kind"] == "g":
-                    grads[r["tower"]][r["param"]][r["row"]] = r["vals"]
+            task = _lane(_step_kernel(bc, dropout, seed, epoch, shared), shapes)
+            found = spark.sparkContext.runJob(dealt, task, list(range(step * lanes, (step + 1) * lanes)))   # sums of a lane; per mini-batch: loss + BN stats
+            side = [one for batches, _ in found for one in batches]
+            grads = {t: {k: np.zeros(shape) for k, shape in shapes[t].items()} for t in names}
+            for _, sums in found:
+                _add(grads, sums)
             for t in names:
                 for g in grads[t].values():
-                    g /= max(n_batches, 1)
+                    g /= max(len(side), 1)
                 clip_by_norm(grads[t], clip)
                 opt[t].step(towers[t], grads[t])
-            for r in sorted((r for r in side if r["kind"] == "s"), key=lambda r: (r["batch_id"], r["param"])):
-                key = "bn_mean" if r["param"].endswith("_mean") else "bn_var"
-                towers[r["tower"]][key][0] = 0.9 * towers[r["tower"]][key][0] + 0.1 * np.asarray(r["vals"])
-            for r in sorted((r for r in side if r["kind"] == "l"), key=lambda r: r["batch_id"]):
-                losses.append((r["vals"][0], r["n"]))
-                metrics += metrics_rows(run_id, "train", epoch, {"train/batch_loss": r["vals"][0]})
-            bc.unpersist()
+            for _, n, loss, stats in side:                   # in the order of the mini-batches
+                for tower, (mean, var) in stats.items():
+                    held = towers["shared" if shared else tower]
+                    held["bn_mean"][0] = 0.9 * held["bn_mean"][0] + 0.1 * mean
+                    held["bn_var"][0] = 0.9 * held["bn_var"][0] + 0.1 * var
+                losses.append((loss, n))
+                metrics += metrics_rows(run_id, "train", epoch, {"train/batch_loss": loss})
+            bc.destroy()                                     # nothing of the step is computed again
         if losses:
             epoch_loss = sum(v * n for v, n in losses) / sum(n for _, n in losses)
             metrics += metrics_rows(run_id, "train", epoch, {"train/loss": epoch_loss})
